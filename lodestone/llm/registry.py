@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from lodestone.llm.code_search import OP8_SQL, op8_code_search
 from lodestone.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from lodestone.llm.language_id import op2_language_id
 from lodestone.llm.mixing import op3_source_mix
 from lodestone.llm.piece_codec import op4_sentencepiece
+from lodestone.llm.secret_scan import op6_secret_scan
 from lodestone.llm.simhash import op7_simhash
 from lodestone.llm.url_filter import OP9_SQL, op9_url_filter
 from lodestone.llm.warc import OP5_SQL, op5_warc
@@ -16,8 +18,10 @@ QUERIES = {
     "op3_source_mix": op3_source_mix,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_warc": op5_warc,
+    "op6_secret_scan": op6_secret_scan,
     "op7_simhash": op7_simhash,
+    "op8_code_search": op8_code_search,
     "op9_url_filter": op9_url_filter,
 }
 
-SQL = {"op1_exact_dedup": OP1_SQL, "op5_warc": OP5_SQL, "op9_url_filter": OP9_SQL}
+SQL = {"op1_exact_dedup": OP1_SQL, "op5_warc": OP5_SQL, "op8_code_search": OP8_SQL, "op9_url_filter": OP9_SQL}
