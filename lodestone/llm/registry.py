@@ -7,6 +7,7 @@ from lodestone.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from lodestone.llm.language_id import op2_language_id
 from lodestone.llm.mixing import op3_source_mix
 from lodestone.llm.piece_codec import op4_sentencepiece
+from lodestone.llm.repeated_spans import op10_repeated_spans
 from lodestone.llm.secret_scan import op6_secret_scan
 from lodestone.llm.simhash import op7_simhash
 from lodestone.llm.url_filter import OP9_SQL, op9_url_filter
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_simhash": op7_simhash,
     "op8_code_search": op8_code_search,
     "op9_url_filter": op9_url_filter,
+    "op10_repeated_spans": op10_repeated_spans,
 }
 
 SQL = {"op1_exact_dedup": OP1_SQL, "op5_warc": OP5_SQL, "op8_code_search": OP8_SQL, "op9_url_filter": OP9_SQL}
