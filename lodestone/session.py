@@ -51,7 +51,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     the rows survive the loss of any executor."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
