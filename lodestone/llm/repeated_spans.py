@@ -251,7 +251,8 @@ def _expanded(pieces: DataFrame, length: int, block_bytes: int) -> DataFrame:
         if names:
             yield judged(names, bodies)
 
-    rows = pieces.select("key", "digest", "content").repartition(F.col("key")).sortWithinPartitions("key")
+    tasks = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = pieces.select("key", "digest", "content").repartition(tasks, "key").sortWithinPartitions("key")
     return rows.mapInArrow(expand, "digest binary, begin int, end int")
 
 
