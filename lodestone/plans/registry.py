@@ -1,4 +1,12 @@
 """Queries of the library and their SQL, by name."""
 
+from __future__ import annotations
+
+from lodestone.plans import retrieval_queries, source_queries, table_queries, text_queries
+
+MODULES = [text_queries, retrieval_queries, table_queries, source_queries]
 QUERIES: dict = {}
 SQL: dict = {}
+for module in MODULES:
+    QUERIES |= module.QUERIES
+    SQL |= module.SQL
