@@ -1,0 +1,211 @@
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from lodestone.llm import code_search, exact_dedup, language_id, mixing, secret_scan, simhash, url_filter, warc
+from lodestone.session import staged
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, keep_id long, fp string, size long"
+
+
+def documents(spark, rows):
+    """Rows of (doc_id, text) or more, with columns whose names clash."""
+    return spark.createDataFrame([(*r, *[None] * (4 - len(r)), 9, "x", 9) for r in rows], DOCS).repartition(3)
+
+
+TEXTS = [(1, "a  b"), (2, "a\tb"), (3, None), (4, ""), (5, "a b"), (2, "a b"), (None, "a b"), (6, "é " * 5000), (7, "c"), (8, " "), (None, "only null")]
+
+
+@pytest.mark.parametrize("digest", [None, lambda body: F.substring(body, 1, 1)])
+def test_exact_dedup(spark, digest):
+    found = exact_dedup.exact_dedup(documents(spark, TEXTS), salts=3, digest=digest)
+    groups = defaultdict(list)
+    for i, t in TEXTS:
+        groups[re.sub(r"[\x20\x09-\x0d]+", " ", t or "")].append(i)
+    expected = []
+    for body, ids in groups.items():
+        keep = min((i for i in ids if i is not None), default=None)
+        expected += [(i, keep, len(ids), i == keep) for i in ids]
+    assert sorted((tuple(r)[:4] for r in found.collect()), key=str) == sorted(expected, key=str)
+    if not digest:
+        assert {r["text_sha256"] for r in found.filter("doc_id = 7").collect()} == {hashlib.sha256(b"c").hexdigest()}
+
+
+@pytest.mark.parametrize("op", [exact_dedup.exact_dedup, mixing.mix_sources, simhash.simhash_groups])
+def test_empty_tables(spark, op):
+    assert op(documents(spark, [])).collect() == []
+
+
+def test_languages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.train(docs)
+    judged = docs.select("doc_id", "lang").join(language_id.identify_languages(docs, model), "doc_id").filter("held_out AND lang IS NOT NULL AND lang_pred <> 'und'").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in judged) > 0.9 * len(judged)
+    odd = language_id.identify_languages(documents(spark, [(1, None), (2, ""), (3, "12 !?"), (None, "the of and")]), model).collect()
+    assert sorted(((r["doc_id"], r["lang_pred"], r["held_out"]) for r in odd if r["doc_id"]), key=str) == [(i, "und", h) for i, h in ((1, _third(1)), (2, _third(2)), (3, _third(3)))]
+    assert all(0 <= r["score"] <= 1 for r in odd)
+    nothing = language_id.train(documents(spark, []))
+    assert {r["lang_pred"] for r in language_id.identify_languages(documents(spark, TEXTS), nothing).collect()} == {"und"}
+
+
+def _third(i):
+    import zlib
+
+    return zlib.crc32(str(i).encode()) % 3 == 1
+
+
+def test_mix_meets_its_targets(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join("w" for _ in range(rng.randint(0, 30))), None, rng.choice(["a", "b", "b", "b", "c", None])) for i in range(900)]
+    rows += [(1000, None, None, "a"), (5, rows[5][1], None, rows[5][3])]
+    found = mixing.mix_sources(documents(spark, rows)).collect()
+    assert len(found) == len(rows)
+    source = {i: s for i, _, _, s in rows}
+    words = Counter()
+    for i, t, _, s in rows:
+        words[s] += len((t or "").split())
+    targets = mixing.source_targets(list(words.items()))
+    assert sum(targets.values()) == pytest.approx(1.5 * sum(words.values()))
+    taken = Counter()
+    for r in found:
+        taken[source[r["doc_id"]]] += r["taken"]
+        assert 0 <= r["taken"] <= 2 * r["size"] and r["source_size"] == words[source[r["doc_id"]]]
+        assert r["target"] == pytest.approx(targets[source[r["doc_id"]]])
+    for s, t in targets.items():
+        assert abs(taken[s] - t) <= 1
+    again = mixing.mix_sources(documents(spark, rows[::-1])).collect()
+    assert Counter(map(tuple, found)) == Counter(map(tuple, again))
+
+
+def _print(text):
+    words = (text or "").encode().lower().split()
+    grams = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
+    hashed = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashed) * 2 > len(hashed))
+
+
+def _components(nodes, linked):
+    root = {n: n for n in nodes}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for i, a in enumerate(nodes):
+        for b in nodes[i + 1 :]:
+            if linked(a, b):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {n: find(n) for n in nodes}
+
+
+@pytest.mark.parametrize("crowd", [32, 2])
+def test_simhash_equals_brute_force(spark, crowd):
+    rng = random.Random(2)
+    prose = lambda n: " ".join(rng.choice("ab bc cd de ef fg gh hi".split()) for _ in range(n))
+    base = prose(300)
+    rows = [(i, prose(rng.randint(0, 4))) for i in range(60)] + [(100 + i, base + " " + prose(1)) for i in range(20)] + [(200, None), (201, "  "), (202, "One Two"), (203, "one two")]
+    prints = {i: _print(t) for i, t in rows}
+    roots = _components(sorted(prints), lambda a, b: bin(prints[a] ^ prints[b]).count("1") <= 2)
+    found = simhash.simhash_groups(documents(spark, rows), crowd=crowd).collect()
+    assert sorted(map(tuple, found)) == sorted((i, f"{p:016x}", roots[i]) for i, p in prints.items())
+
+
+@pytest.mark.parametrize("max_bits, blocks", [(2, 4), (3, 5), (4, 7)])
+def test_close_links_connect_what_is_close(spark, max_bits, blocks):
+    rng = random.Random(4)
+    seeds = [rng.getrandbits(64) for _ in range(6)]
+    prints = list({s ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))) for s in seeds for _ in range(20)})
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    links = simhash.close_links(spark.createDataFrame([(p,) for p in signed], "fp long"), max_bits, blocks, crowd=4).collect()
+    pairs = {(r["a"], r["b"]) for r in links} | {(r["b"], r["a"]) for r in links}
+    close = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1") <= max_bits
+    assert all(close(a, b) for a, b in pairs)
+    assert _components(sorted(signed), lambda a, b: (a, b) in pairs) == _components(sorted(signed), close)
+
+
+def test_code_search_equals_brute_force(spark):
+    rng = np.random.default_rng(1)
+    vectors = [rng.normal(size=64).tolist() for _ in range(150)]
+    rows = [(i, v) for i, v in enumerate(vectors)] + [(200 + i, vectors[0]) for i in range(15)] + [(300, None), (301, []), (302, [None] * 64), (5, vectors[5])]
+    frame = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, code int")
+    codes = [(i, [bool(x and x > 0) for x in v] + [False] * (64 - len(v))) for i, v in rows if v is not None]
+    expected = []
+    for q, c in codes:
+        if q % 50 == 0:
+            near = sorted((sum(a != b for a, b in zip(c, d, strict=True)), i) for i, d in codes)[:10]
+            expected += [(q, n + 1, i, d) for n, (d, i) in enumerate(near)]
+    found = code_search.search_top_k(frame, frame.filter("vec_id % 50 = 0")).collect()
+    assert sorted(map(tuple, found)) == sorted(expected)
+    assert code_search.search_top_k(frame.limit(0), frame).collect() == []
+
+
+def test_url_filter(spark):
+    urls = [None, "", "no scheme", "http://www.Example.com/en/a?b#c", "http://x.example.com/en/", "http://example.com", "https://a.net/es/x", "https://net/fr/", "http://m.casino-win.example.org/a/b", "http://casino-win.example.org", "http://other.example.org/a", "x://y://z/p", "http://notexample.com/en/", "http://a.org/dir/x", "http://a.org/dirx"]
+    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] + [(3, urls[3], "h"), (None, urls[6], "h")], "page_id long, url string, host string")
+    listed = spark.createDataFrame([(x,) for x in [*url_filter.LISTED, "a.org/dir", "a.org/dir", None]], "entry string")
+    found = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages, listed).collect()}
+    assert found[0] == found[1] == found[2] == ("", "", None, "allow")
+    assert found[3] == ("www.example.com", "/en/a", "www.example.com/en/", "allow")
+    assert found[4] == ("x.example.com", "/en/", "example.com/en/", "block")
+    assert found[5] == ("example.com", "", None, "allow")
+    assert found[6] == found[None] == ("a.net", "/es/x", "net/es/", "block")
+    assert found[7][2:] == ("net/fr/", "block")
+    assert [found[i][3] for i in (8, 9, 10, 12, 13, 14)] == ["block", "block", "allow", "allow", "block", "allow"]
+    assert found[11][:2] == ("y:", "//z/p")
+    assert url_filter.filter_urls(pages.limit(0), listed.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_archives_round_trip(spark, tmp_path, version):
+    big = "é\r\n\r\nWARC/1.1 " * 100
+    rows = [(1, "http://a/ b", big), (2, None, big), (3, "http://c", "small"), (4, "http://d", "small"), (5, "", None), (6, "http://e", big + "!"), (None, "http://f", big), (2, "http://g", big)]
+    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, record string").repartition(2)
+    warc.write_arc(pages, str(tmp_path / "arc"), version)
+    warc.arc_to_warc(spark, str(tmp_path / "arc"), str(tmp_path / "warc"))
+    found = warc.read_warc(spark, str(tmp_path / "warc")).collect()
+    sha = lambda t: hashlib.sha1((t or "").encode()).hexdigest()
+    expected = [(i, len((h or "").encode()), sha(h), "revisit" if h == big and i != 2 else "response", 2 if h == big and i != 2 else None) for i, _, h in rows]
+    assert sorted((tuple(r)[:5] for r in found), key=str) == sorted(expected, key=str)
+    assert {r["url"] for r in found} >= {"-", "http://a/%20b"} and len({r["record"] for r in found}) == len(rows)
+
+
+def test_secrets(spark):
+    held = secret_scan.labelled_findings(400, seed=99)
+    forest = secret_scan.train_forest(spark)
+    from pyspark.ml.functions import array_to_vector
+
+    rows = spark.createDataFrame([(float(x[5]), [float(v) for v in secret_scan.features(*x[:5])]) for x in held], "label double, numbers array<double>")
+    judged = forest.transform(rows.withColumn("features", array_to_vector("numbers"))).select((F.col("label") == F.col("prediction")).alias("ok"))
+    assert judged.filter("ok").count() > 0.95 * len(held)
+    key = "AKIA" + "Q7ZP2MWX4KD9TRB3"
+    found = secret_scan.scan_secrets(documents(spark, [(1, f"so aws uses {key} here"), (2, None), (3, ""), (4, "password = changeme123"), (None, f"again {key} there"), (1, f"so aws uses {key} here")]), forest).collect()
+    assert Counter((r["doc_id"], r["rule"], r["start"], r["length"]) for r in found if r["rule"] == "aws_key") == {(1, "aws_key", 12, 20): 2, (None, "aws_key", 6, 20): 1}
+    assert all(r["is_secret"] for r in found if r["rule"] == "aws_key")
+    assert [r["is_secret"] for r in found if r["doc_id"] == 4] == [False]
+    assert secret_scan.scan_secrets(documents(spark, []), forest).collect() == []
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = {}
+    for name, stage in P.STAGES:
+        docs = staged(stage(spark, docs, SF), f"test-{name}")
+        out[name] = docs
+    columns = spark.read.parquet(f"{SF}/documents.parquet").columns
+    for name, _ in P.STAGES[:-1]:
+        assert out[name].columns == columns
+    texts = [re.sub(r"[\x20\x09-\x0d]+", " ", r["text"] or "") for r in out["exact_dedup"].collect()]
+    assert len(texts) == len(set(texts))
+    assert out["simhash_near_dedup"].count() <= out["exact_dedup"].count()
+    assert out["sentencepiece"].count() == out["source_mix"].count()
