@@ -9,6 +9,7 @@ linked through midpoints instead of pairs.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -27,17 +28,28 @@ BLOCKS = 4
 CROWD = 32
 CHUNK = 1 << 16
 
+# Near copies of 0.8: five words; blocks that 7 bits can't all touch; verified on 64 and on 256 bits.
+NEAR_WORDS = 5
+SURE_BITS = 7
+NEAR_BITS = 12
+WIDE_LANES = 3
+WIDE_BITS = 44
+LEAST_SHARED = 3
 
-def simhash(text: str | None, words: int = SHINGLE_WORDS) -> int:
-    """The fingerprint, as a signed 64-bit integer; 0 without any word."""
+
+def hashed_shingles(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: ASCII letters and ASCII white space only
     if not tokens:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     if len(tokens) < words:
         shingles = [b" ".join(tokens)]
     else:
         shingles = map(b" ".join, zip(*(tokens[i:] for i in range(words)), strict=False))
-    hashed = np.fromiter((xxhash.xxh64_intdigest(s, HASH_SEED) for s in shingles), dtype=np.uint64)
+    return np.fromiter((xxhash.xxh64_intdigest(s, HASH_SEED) for s in shingles), dtype=np.uint64)
+
+
+def majority_bits(hashed: np.ndarray) -> int:
+    """The bits set in over half the hashes, as a signed 64-bit integer."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashed), CHUNK):
         bits = np.unpackbits(hashed[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -45,6 +57,21 @@ def simhash(text: str | None, words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(ones * 2 > len(hashed), bitorder="little").view(np.int64)[0])
 
 
+def simhash(text: str | None, words: int = SHINGLE_WORDS) -> int:
+    """The fingerprint, as a signed 64-bit integer; 0 without any word."""
+    return majority_bits(hashed_shingles(text, words))
+
+
+def wide_lanes(hashed: np.ndarray) -> list[int]:
+    """Further 64-bit fingerprints, from hashes mixed anew for each."""
+    lanes = []
+    for lane in range(1, WIDE_LANES + 1):
+        h = (hashed ^ np.uint64(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        lanes.append(majority_bits(h ^ (h >> np.uint64(29))))
+    return lanes
+
+
 def simhash_column(text: Column, words: int = SHINGLE_WORDS) -> Column:
     @F.pandas_udf("long")
     def fingerprints(texts: pd.Series) -> pd.Series:
@@ -98,6 +125,14 @@ def close_links(prints: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCK
     return links.unionByName(stars.distinct())
 
 
+def _named(prints: DataFrame, links: DataFrame) -> DataFrame:
+    """(fp, component_id) of fingerprints (`fp`, `first`) under links of them."""
+    member = components(links).withColumnRenamed("node", "fp")
+    linked = staged(prints.join(member, "fp"), "simhash-linked")
+    named = linked.join(linked.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
+    return prints.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+
+
 def simhash_groups(docs: DataFrame, max_bits: int = MAX_BITS, words: int = SHINGLE_WORDS, blocks: int = BLOCKS, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id,
     the smallest doc_id that can be reached over links of `max_bits` or fewer.
@@ -110,12 +145,83 @@ def simhash_groups(docs: DataFrame, max_bits: int = MAX_BITS, words: int = SHING
     """
     marked = staged(docs.select(F.col(id_col).alias("doc_id"), simhash_column(F.col(text_col), words).alias("fp")), "simhash")
     prints = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-prints")
-    member = components(close_links(prints.select("fp"), max_bits, blocks, crowd)).withColumnRenamed("node", "fp")
-    linked = staged(prints.join(member, "fp"), "simhash-linked")
-    named = linked.join(linked.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
-    by_print = prints.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    by_print = _named(prints, close_links(prints.select("fp"), max_bits, blocks, crowd))
     return marked.join(by_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def shared_blocks(prints: int) -> int:
+    """How many blocks a key holds: as many as give it a bit for each doubling
+    of the fingerprints, so that a key has about one however many there are."""
+    shared = LEAST_SHARED
+    while 64 * shared / (SURE_BITS + shared) < math.log2(max(prints, 2)):
+        shared += 1
+    return shared
+
+
+def _near(a: str, b: str, wide_a: str | None = None, wide_b: str | None = None) -> Column:
+    first = F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+    if wide_a is None:
+        return first <= NEAR_BITS
+    rest = sum((F.bit_count(F.col(wide_a)[i].bitwiseXOR(F.col(wide_b)[i])) for i in range(WIDE_LANES)), first)
+    return (first <= NEAR_BITS) & (rest <= WIDE_BITS)
+
+
+def near_links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """Links (a, b) between fingerprints (`fp`, `wide`) that share a key of
+    blocks and differ in NEAR_BITS of 64 and WIDE_BITS of all bits at most. The
+    links connect all such pairs, though not every pair is listed.
+
+    Keys of `crowd` fingerprints or fewer are joined with themselves. In larger
+    ones all are compared with two leaders; what those links leave outside a
+    key's largest component is then compared with the whole key.
+    """
+    shared = shared_blocks(prints.count())
+    masks = block_masks(SURE_BITS + shared, SURE_BITS)
+    keyed = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("part", "block"))
+    key = ["part", "block"]
+    sizes = keyed.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")
+    met = staged(keyed.join(sizes, key), "near-blocks")
+    few = met.filter(F.col("n") <= crowd)
+    pairs = few.select(*key, F.col("fp").alias("a")).join(few.select(*key, F.col("fp").alias("b")), key).filter((F.col("a") < F.col("b")) & _near("a", "b")).select("a", "b").distinct()
+    left, right = prints.select(F.col("fp").alias("a"), F.col("wide").alias("wide_a")), prints.select(F.col("fp").alias("b"), F.col("wide").alias("wide_b"))
+    links = pairs.join(left, "a").join(right, "b").filter(_near("a", "b", "wide_a", "wide_b")).select("a", "b")
+    crowded = staged(met.filter(F.col("n") > crowd).select(*key, "fp").join(prints.select("fp", "wide"), "fp"), "near-crowds")
+    if crowded.isEmpty():
+        return links
+    leaders = crowded.groupBy(*key).agg(*[F.min_by(F.struct("fp", "wide"), F.xxhash64("fp", "part", F.lit(i))).alias(f"leader{i}") for i in range(2)])
+    met_leaders = crowded.join(leaders.select(*key, F.explode(F.array("leader0", "leader1")).alias("leader")), key)
+    stars = met_leaders.select(F.col("fp").alias("a"), F.col("wide").alias("wide_a"), F.col("leader.fp").alias("b"), F.col("leader.wide").alias("wide_b")).filter((F.col("a") != F.col("b")) & _near("a", "b", "wide_a", "wide_b"))
+    links = staged(links.unionByName(stars.select("a", "b").distinct()), "near-links")
+    member = staged(components(links).select(F.col("node").alias("fp"), "root"), "near-members")
+    placed = staged(crowded.join(member, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "near-placed")
+    largest = placed.groupBy(*key, "root").agg(F.count("*").alias("n")).groupBy(*key).agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
+    outside = placed.join(largest, key).filter("root <> largest").select(*key, F.col("fp").alias("a"), F.col("wide").alias("wide_a"), F.col("root").alias("root_a"))
+    whole = placed.select(*key, F.col("fp").alias("b"), F.col("wide").alias("wide_b"), F.col("root").alias("root_b"))
+    more = outside.join(whole, key).filter((F.col("root_a") != F.col("root_b")) & _near("a", "b", "wide_a", "wide_b"))
+    return links.unionByName(more.select("a", "b").distinct())
+
+
+def near_groups(docs: DataFrame, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id and component_id, the smallest doc_id that
+    can be reached over near copies of about 0.8 or more of their shingles.
+
+    Shingles have five words. Fingerprints within SURE_BITS always meet, most
+    within NEAR_BITS do; what meets is verified on 256 bits. Two texts that
+    share a part J of their shingles differ in acos(2J / (1 + J)) / pi of the
+    bits, so WIDE_BITS keeps most pairs of 0.8 and few of 0.7.
+
+    Defined cases: as in `simhash_groups`.
+    """
+
+    @F.pandas_udf("fp long, wide array<long>")
+    def fingerprints(texts: pd.Series) -> pd.DataFrame:
+        rows = [hashed_shingles(t, NEAR_WORDS) for t in texts]
+        return pd.DataFrame({"fp": [majority_bits(h) for h in rows], "wide": [wide_lanes(h) for h in rows]})
+
+    marked = staged(docs.select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col)).alias("p")).select("doc_id", "p.fp", "p.wide"), "near")
+    prints = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("wide").alias("wide")), "near-prints")
+    return marked.select("doc_id", "fp").join(_named(prints.select("fp", "first"), near_links(prints.select("fp", "wide"), crowd)), "fp").select("doc_id", "component_id")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
