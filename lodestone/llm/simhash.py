@@ -35,6 +35,7 @@ NEAR_BITS = 12
 WIDE_LANES = 3
 WIDE_BITS = 44
 LEAST_SHARED = 3
+NEAR_CROWD = 8
 
 
 def hashed_shingles(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -166,7 +167,7 @@ def _near(a: str, b: str, wide_a: str | None = None, wide_b: str | None = None)
     return (first <= NEAR_BITS) & (rest <= WIDE_BITS)
 
 
-def near_links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
+def near_links(prints: DataFrame, crowd: int = NEAR_CROWD) -> DataFrame:
     """Links (a, b) between fingerprints (`fp`, `wide`) that share a key of
     blocks and differ in NEAR_BITS of 64 and WIDE_BITS of all bits at most. The
     links connect all such pairs, though not every pair is listed.
@@ -188,7 +189,7 @@ def near_links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     crowded = staged(met.filter(F.col("n") > crowd).select(*key, "fp").join(prints.select("fp", "wide"), "fp"), "near-crowds")
     if crowded.isEmpty():
         return links
-    leaders = crowded.groupBy(*key).agg(*[F.min_by(F.struct("fp", "wide"), F.xxhash64("fp", "part", F.lit(i))).alias(f"leader{i}") for i in range(2)])
+    leaders = crowded.groupBy(*key).agg(*[F.min_by(F.struct("fp", "wide"), F.xxhash64("fp", F.lit(i))).alias(f"leader{i}") for i in range(2)])
     met_leaders = crowded.join(leaders.select(*key, F.explode(F.array("leader0", "leader1")).alias("leader")), key)
     stars = met_leaders.select(F.col("fp").alias("a"), F.col("wide").alias("wide_a"), F.col("leader.fp").alias("b"), F.col("leader.wide").alias("wide_b")).filter((F.col("a") != F.col("b")) & _near("a", "b", "wide_a", "wide_b"))
     links = staged(links.unionByName(stars.select("a", "b").distinct()), "near-links")
@@ -201,7 +202,7 @@ def near_links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     return links.unionByName(more.select("a", "b").distinct())
 
 
-def near_groups(docs: DataFrame, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, crowd: int = NEAR_CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id and component_id, the smallest doc_id that
     can be reached over near copies of about 0.8 or more of their shingles.
 
