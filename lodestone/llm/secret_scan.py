@@ -13,6 +13,7 @@ import random
 import re
 import string
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,13 +89,14 @@ def features(secret: str, before: str, after: str, path: str, rule: str) -> list
 
 def find_candidates(text: str) -> list[tuple[str, int, int]]:
     """(rule, start, end) of candidates, none over another: earlier rules win."""
-    taken: list[tuple[str, int, int]] = []
+    taken: list[tuple[int, int, str]] = []  # in order of their starts, so that only the neighbours can overlap
     for rule, pattern in _COMPILED.items():
         for m in pattern.finditer(text):
             a, b = m.span("secret")
-            if all(b <= x or a >= y for _, x, y in taken):
-                taken.append((rule, a, b))
-    return sorted(taken, key=lambda x: x[1])
+            at = bisect_left(taken, (a,))
+            if (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or b <= taken[at][0]):
+                taken.insert(at, (a, b, rule))
+    return [(rule, a, b) for a, b, rule in taken]
 
 
 def labelled_findings(rows: int = LABELLED_ROWS, seed: int = 11) -> list[tuple[str, str, str, str, str, int]]:

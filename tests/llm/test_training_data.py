@@ -247,3 +247,18 @@ def test_near_groups(spark):
     assert groups[0] == {*range(12), None} and groups[50] == {50, 51}
     assert all(groups[i] == {i} for i in [*range(12, 24), 52])
     assert simhash.near_groups(documents(spark, [])).collect() == []
+
+
+def test_candidates_never_overlap():
+    rng = random.Random(6)
+    parts = ["password=", "AKIA" + "Q7ZP2MWX4KD9TRB3", "0123456789abcdef" * 2, " ", "token: ", "ghp_" + "aB3" * 12, "xoxb-1234567890-", "eyJabcdefgh.eyJabcdefgh.abcdefgh", ";", "Aa1" * 9]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        taken = []
+        for rule, pattern in secret_scan.RULES.items():
+            for m in re.finditer(pattern, text):
+                a, b = m.span("secret")
+                if all(b <= x or a >= y for _, x, y in taken):
+                    taken.append((rule, a, b))
+        assert secret_scan.find_candidates(text) == sorted(taken, key=lambda x: x[1])
+    assert len(secret_scan.find_candidates(("0123456789abcdef" * 2 + " ") * 50_000)) == 50_000
