@@ -14,9 +14,10 @@ from lodestone.llm.language_id import UNDETERMINED, train
 from lodestone.llm.mixing import mix_sources
 from lodestone.llm.piece_codec import encode_documents, load_pieces
 from lodestone.llm.simhash import near_groups
-from lodestone.session import new_path, table
+from lodestone.session import new_path, staged, table
 
 LEAST_LANGUAGE_SCORE = 0.26  # both votes are won with 0.5 or more each
+ROW = "pipeline_row"
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,21 +29,25 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each text."""
-    kept = exact_dedup(docs).filter("kept").select("doc_id").distinct()
-    return _kept(docs, kept)
+    """Keep one row of each text: of the smallest id that has it."""
+    rows = _numbered(docs)
+    texts = exact_dedup(rows, id_col=ROW).select(F.col("doc_id").alias(ROW), F.col("keep_id").alias("group"))
+    return _first_rows(docs, rows, texts.join(rows.select(ROW, "doc_id"), ROW))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies."""
-    kept = near_groups(docs).filter("doc_id <=> component_id").select("doc_id").distinct()
-    return _kept(docs, kept)
+    """Keep one row of each group of near copies: of its smallest id."""
+    rows = _numbered(docs)
+    copies = near_groups(rows, id_col=ROW).select(F.col("doc_id").alias(ROW), F.col("component_id").alias("group"))
+    return _first_rows(docs, rows, copies.join(rows.select(ROW, "doc_id"), ROW))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat each document as often as the mix takes it, or drop it."""
-    copies = mix_sources(docs).select(F.col("doc_id").alias("mix_id"), F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int").alias("mix_copies")).filter("mix_copies > 0")
-    joined = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("d")).join(copies, F.col("d.doc_id").eqNullSafe(F.col("mix_id")))
+    """Repeat each row as often as the mix takes it, or drop it."""
+    rows = _numbered(docs)
+    taken = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
+    copies = mix_sources(rows, row_col=ROW).select(ROW, taken.alias("mix_copies")).filter("mix_copies > 0")
+    joined = rows.select(ROW, F.struct(*docs.columns).alias("d")).join(copies, ROW)
     return joined.select("d", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select("d.*")
 
 
@@ -51,9 +56,15 @@ def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return encode_documents(docs, load_pieces()).select("doc_id", "n_tokens", "ids", "score")
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    ids = ids.withColumnRenamed("doc_id", "kept_id")
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number each, written so that it stays: ids may repeat or be null."""
+    return staged(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
+
+
+def _first_rows(docs: DataFrame, rows: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Of each group of `grouped` (row, doc_id, group), the row with the smallest id; null ids last."""
+    first = grouped.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW)).alias("first"))
+    return rows.join(first.select(F.col(f"first.{ROW}").alias(ROW)), ROW, "left_semi").select(*docs.columns)
 
 
 STAGES = [

@@ -101,8 +101,9 @@ def _fit_source(rows: pd.DataFrame) -> pd.DataFrame:
     return rows[["source", "size", "n", "target", "source_size", "whole", "extra"]]
 
 
-def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, copies: int = MAX_COPIES, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken.
+def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, copies: int = MAX_COPIES, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, and
+    `row_col` where given, which tells rows that repeat an id apart.
 
     `taken` is the document's size times the copies the mix takes of it, 0 to
     `copies`. The catalogue of sources, one row each, passes through the driver.
@@ -115,7 +116,8 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, copies:
     gives an empty result; other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
-    sized = staged(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "mix-sizes")
+    row = [row_col] if row_col else []
+    sized = staged(docs.select(*row, F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "mix-sizes")
     lengths = staged(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-lengths")
     totals = [(r["source"], int(r["words"])) for r in lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words")).collect()]
     targets = source_targets(totals, weights, share, copies)
@@ -140,11 +142,11 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, copies:
         .select(*[F.col(c).alias(f"a_{c}") for c in key], F.coalesce("ahead", F.lit(0)).alias("ahead"))
     )
     ranked = (
-        dealt.withColumn("place", F.expr("row_number() OVER (PARTITION BY source, size, bucket ORDER BY draw, doc_id)"))
+        dealt.withColumn("place", F.expr(f"row_number() OVER (PARTITION BY source, size, bucket ORDER BY {', '.join(['draw', 'doc_id', *row])})"))
         .join(ahead, F.col("source").eqNullSafe(F.col("a_source")) & (F.col("size") == F.col("a_size")) & (F.col("bucket") == F.col("a_bucket")), "left")
     )
     one_more = F.when(F.col("ahead").isNull(), F.col("extra") > 0).otherwise(F.col("ahead") + F.col("place") <= F.col("extra"))
-    return ranked.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + one_more.cast("long"))).alias("taken"))
+    return ranked.select(*row, "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + one_more.cast("long"))).alias("taken"))
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -262,3 +262,28 @@ def test_candidates_never_overlap():
                     taken.append((rule, a, b))
         assert secret_scan.find_candidates(text) == sorted(taken, key=lambda x: x[1])
     assert len(secret_scan.find_candidates(("0123456789abcdef" * 2 + " ") * 50_000)) == 50_000
+
+
+def test_pipeline_with_repeated_ids(spark):
+    import corpus_pipeline as P
+
+    rng = random.Random(9)
+    prose = lambda: " ".join(rng.choice("ab bc cd de ef fg gh hi ij jk".split()) for _ in range(60))
+    a, b, c, d, e = (prose() for _ in range(5))
+    rows = [(1, a), (1, a), (1, a.replace(" ", "  ")), (2, a), (2, b), (3, b), (None, a), (None, c), (None, c), (None, d), (4, e), (4, d + " end")]
+    docs = documents(spark, [(i, t, None, "s") for i, t in rows])
+    exact = staged(P.exact_stage(spark, docs, SF), "test-exact")
+    assert exact.columns == docs.columns
+    assert sorted(((r["doc_id"], " ".join(r["text"].split())) for r in exact.collect()), key=str) == sorted([(1, a), (2, b), (None, c), (None, d), (4, e), (4, d + " end")], key=str)
+    near = staged(P.near_stage(spark, exact, SF), "test-near")
+    assert sorted(((r["doc_id"], " ".join(r["text"].split())) for r in near.collect()), key=str) == sorted([(1, a), (2, b), (None, c), (4, e), (4, d + " end")], key=str)
+    again = documents(spark, [(i, f"{t} w{n}", None, "ab"[n % 2]) for n, (i, t) in enumerate(rows * 20)])
+    mixed = P.mix_stage(spark, again, SF).collect()
+    words, taken, times = Counter(), Counter(), Counter()
+    for r in again.collect():
+        words[r["source"]] += len(r["text"].split())
+    for r in mixed:
+        taken[r["source"]] += len(r["text"].split())
+        times[r["text"]] += 1
+    targets = mixing.source_targets(list(words.items()))
+    assert max(times.values()) <= 2 and all(abs(taken[s] - t) <= 64 for s, t in targets.items())  # the longest text
