@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.exact_dedup import exact_dedup
 from lodestone.llm.language_id import UNDETERMINED, train
 from lodestone.llm.mixing import mix_sources
+from lodestone.llm.near_copies import near_groups
 from lodestone.llm.piece_codec import encode_documents, load_pieces
-from lodestone.llm.simhash import near_groups
 from lodestone.session import new_path, staged, table
 
 LEAST_LANGUAGE_SCORE = 0.26  # both votes are won with 0.5 or more each

@@ -1,0 +1,123 @@
+"""Near copies by their sets of shingles, for the near-copy stage of the pipeline.
+
+Two texts that share a part J of their shingles agree on a minimum of hashed
+shingles with chance J. Bands of BAND_ROWS such minima are the keys on which
+texts meet, and what meets is verified on the shingles themselves, so neither
+the chance to meet nor the verdict depends on how large the table is.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from lodestone.llm.components import components
+from lodestone.llm.simhash import NEAR_WORDS, hashed_shingles
+from lodestone.session import staged
+
+LEAST_SHARE = 0.8
+MINIMA = 256
+BANDS, BAND_ROWS = 36, 7  # a pair of 0.8 meets with 1 - (1 - 0.8 ** 7) ** 36 = 0.9998
+SKETCH_BITS = 48  # of 256; a pair of 0.8 differs in 25.6 on average, standard deviation 4.8
+LEADERS = 2
+CHUNK = 1 << 12
+
+_SEEDS = np.random.default_rng(7)
+_FACTORS = _SEEDS.integers(1, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_OFFSETS = _SEEDS.integers(0, 1 << 63, MINIMA, dtype=np.uint64)
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    return np.unique(hashed_shingles(text, NEAR_WORDS))
+
+
+def minima(shingles: np.ndarray) -> np.ndarray:
+    """The least of the shingles under each of MINIMA hash functions, as 32 bits."""
+    least = np.full(MINIMA, np.iinfo(np.uint32).max, dtype=np.uint32)
+    for at in range(0, len(shingles), CHUNK):
+        mixed = (shingles[None, at : at + CHUNK] * _FACTORS[:, None] + _OFFSETS[:, None]) >> np.uint64(32)
+        least = np.minimum(least, mixed.min(axis=1).astype(np.uint32))
+    return least
+
+
+def _signed(digest: int) -> int:
+    return digest - (1 << 64) if digest >> 63 else digest
+
+
+def _sketch(least: np.ndarray) -> list[int]:
+    """One bit of each minimum; it is mixed first, as minima are small."""
+    mixed = (least * np.uint32(0x9E3779B1)) ^ (least >> np.uint32(15))
+    return np.packbits(((mixed * np.uint32(0x85EBCA77)) >> np.uint32(31)).astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
+def _bands(least: np.ndarray) -> list[int]:
+    return [_signed(xxhash.xxh64_intdigest(least[i * BAND_ROWS : (i + 1) * BAND_ROWS].tobytes(), i)) for i in range(BANDS)]
+
+
+def _alike(a: str, b: str) -> Column:
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(MINIMA // 64)), F.lit(0)) <= SKETCH_BITS
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs (a, b), those that share LEAST_SHARE of their shingles or more."""
+    pairs = staged(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+    asked = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    held = staged(sets.join(asked, "fp", "left_semi").groupBy("fp").agg(F.first("shingles").alias("shingles")), "near-sets")
+    left, right = held.select(F.col("fp").alias("a"), F.col("shingles").alias("of_a")), held.select(F.col("fp").alias("b"), F.col("shingles").alias("of_b"))
+    both = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("of_a", "of_b")))
+    return staged(both.filter(F.col("shared") / (F.size("of_a") + F.size("of_b") - F.col("shared")) >= LEAST_SHARE).select("a", "b"), "near-links")
+
+
+def near_links(marked: DataFrame) -> DataFrame:
+    """Links (a, b) that connect all texts (`fp`, `sketch`, `bands`, `shingles`;
+    rows of one `fp` are equal) which share a band and LEAST_SHARE of their shingles.
+
+    All texts of a band are compared with LEADERS of them, the same ones in many
+    bands; what those links leave outside a band's largest component is then
+    compared with the whole band.
+    """
+    prints = marked.groupBy("fp").agg(F.first(F.struct("sketch", "bands")).alias("p")).select("fp", "p.*")
+    keyed = staged(prints.select("fp", "sketch", F.explode("bands").alias("band")), "near-bands")
+    sizes = keyed.groupBy("band").agg(F.count("*").alias("n"), *[F.min_by(F.struct("fp", "sketch"), F.xxhash64("fp", F.lit(i))).alias(f"leader{i}") for i in range(LEADERS)]).filter("n > 1")
+    met = staged(keyed.join(sizes, "band"), "near-met")
+    stars = met.select("fp", "sketch", F.explode(F.array(*[f"leader{i}" for i in range(LEADERS)])).alias("leader"))
+    stars = stars.select(F.col("fp").alias("a"), "sketch", F.col("leader.fp").alias("b"), F.col("leader.sketch").alias("sketch_b")).filter((F.col("a") != F.col("b")) & _alike("sketch", "sketch_b"))
+    sets = marked.select("fp", "shingles")
+    links = verified(stars.select("a", "b"), sets)
+    member = staged(components(links).select(F.col("node").alias("fp"), "root"), "near-members")
+    placed = staged(met.filter(F.col("n") > LEADERS).select("band", "fp", "sketch").join(member, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "near-placed")
+    largest = placed.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("parts")).filter("parts > 1")
+    split = staged(placed.join(largest, "band"), "near-split")
+    outside = split.filter("root <> largest").select("band", F.col("fp").alias("a"), "sketch", F.col("root").alias("root_a"))
+    whole = split.select("band", F.col("fp").alias("b"), F.col("sketch").alias("sketch_b"), F.col("root").alias("root_b"))
+    more = outside.join(whole, "band").filter((F.col("root_a") != F.col("root_b")) & _alike("sketch", "sketch_b"))
+    return links.unionByName(verified(more.select("a", "b"), sets))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id and component_id, the smallest doc_id that
+    can be reached over texts which share LEAST_SHARE of their shingles of
+    NEAR_WORDS words.
+
+    Defined cases: null, empty and blank texts have no shingles and are equal;
+    texts of fewer words than a shingle are one shingle; rows that repeat an id
+    keep their rows; a null id never names a component unless all of its ids
+    are null, which gives null; an empty table gives an empty result; other
+    columns are ignored, whatever their names.
+    """
+
+    @F.pandas_udf("fp long, sketch array<long>, bands array<long>, shingles array<long>")
+    def sets(texts: pd.Series) -> pd.DataFrame:
+        found = [shingle_set(t) for t in texts]
+        least = [minima(s) for s in found]
+        return pd.DataFrame({"fp": [_signed(xxhash.xxh64_intdigest(s.tobytes())) for s in found], "sketch": map(_sketch, least), "bands": [_bands(m) for m in least], "shingles": [s.view(np.int64) for s in found]})
+
+    marked = staged(docs.select(F.col(id_col).alias("doc_id"), sets(F.col(text_col)).alias("p")).select("doc_id", "p.*"), "near")
+    firsts = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    linked = components(near_links(marked)).withColumnRenamed("node", "fp")
+    named = staged(firsts.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "near-named")
+    component = named.join(named.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
+    return marked.select("doc_id", "fp").join(component, "fp").select("doc_id", "component_id")

@@ -207,7 +207,8 @@ def near_groups(docs: DataFrame, crowd: int = NEAR_CROWD, id_col: str = "doc_id"
     can be reached over near copies of about 0.8 or more of their shingles.
 
     Shingles have five words. Fingerprints within SURE_BITS always meet, most
-    within NEAR_BITS do; what meets is verified on 256 bits. Two texts that
+    within NEAR_BITS do; what meets is verified on 256 bits. The pipeline needs
+    all pairs of 0.8 and takes `near_copies` instead. Two texts that
     share a part J of their shingles differ in acos(2J / (1 + J)) / pi of the
     bits, so WIDE_BITS keeps most pairs of 0.8 and few of 0.7.
 
