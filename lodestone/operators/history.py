@@ -43,24 +43,27 @@ def question_of(messages: DataFrame) -> DataFrame:
 def rate_limited(events: DataFrame, seconds: int = 60, most: int = 10) -> DataFrame:
     """Whether each attempt (key, ts, id) is accepted: fewer than `most` were
     accepted in the seconds before it. Rejected attempts don't count, so a
-    key's attempts are walked in order, with a queue of at most `most` times."""
+    key's attempts are walked in order, with a queue of at most `most` times.
+    They are sorted by Spark and pass in batches: no key is gathered in memory,
+    though all of it is walked by one task."""
     from collections import deque
 
     import pandas as pd
 
-    def walk(_, parts):
-        recent: deque = deque()
+    def walk(parts):
+        key, recent = None, deque()
         for rows in parts:
             accepted = []
-            for ts in rows["ts"]:
+            for of, ts in zip(rows["key"], rows["ts"], strict=True):
+                of = None if pd.isna(of) else of
+                if of != key:
+                    key, recent = of, deque()
                 while recent and (ts - recent[0]).total_seconds() >= seconds:
                     recent.popleft()
                 accepted.append(len(recent) < most)
                 if accepted[-1]:
                     recent.append(ts)
-            yield pd.DataFrame({"id": rows["id"], "key": rows["key"], "accepted": accepted})
+            yield rows[["id", "key"]].assign(accepted=accepted)
 
-    def walk_group(key, rows: pd.DataFrame) -> pd.DataFrame:
-        return next(walk(key, [rows.sort_values(["ts", "id"])]))
-
-    return events.select("id", "key", "ts").groupBy("key").applyInPandas(walk_group, "id long, key long, accepted boolean")
+    in_order = events.select("id", "key", "ts").repartition("key").sortWithinPartitions("key", "ts", "id")
+    return in_order.mapInPandas(walk, "id long, key long, accepted boolean")

@@ -104,3 +104,21 @@ def test_facts_are_folded_by_batch(spark, tmp_path):
     memory.latest_facts(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(120)
     log = spark.read.parquet(str(tmp_path / "out")).drop("batch")
     assert [r["object"] for r in tables.latest(log, ["user_id", "subject", "predicate"], F.col("ts"), F.col("action") == "delete").collect()] == ["milk"]
+
+
+def test_a_large_key_is_walked_in_batches(spark):
+    start, most = datetime(2024, 1, 1), 2
+    rows = [(i, None if i % 5 == 4 else 1 if i % 5 else i % 3, start + timedelta(seconds=i * 7919 % 3000)) for i in range(3000)]
+    expected, recent = {}, {}
+    for i, key, ts in sorted(rows, key=lambda r: (r[2], r[0])):
+        times = recent[key] = [t for t in recent.get(key, []) if (ts - t).total_seconds() < 60]
+        expected[i] = len(times) < most
+        if expected[i]:
+            times.append(ts)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        limited = history.rate_limited(spark.createDataFrame(rows, "id long, key long, ts timestamp"), 60, most)
+        assert {r["id"]: r["accepted"] for r in limited.collect()} == expected
+        assert "FlatMapGroupsInPandas" not in limited._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
