@@ -33,8 +33,8 @@ RULES = {
     "jwt": r"(?<![0-9A-Za-z])(?P<secret>eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,})",
     "private_key": r"(?P<secret>-----BEGIN [A-Z ]*PRIVATE KEY-----)",
     "assignment": r"(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key|credential)[\"']?[ \t]*[:=][ \t]*[\"']?(?P<secret>[^\s\"',;]{6,})",
-    "hex_string": r"(?<![0-9A-Za-z])(?P<secret>[0-9a-f]{32,128})(?![0-9A-Za-z])",
-    "long_string": r"(?<![0-9A-Za-z+/_-])(?P<secret>(?=[A-Za-z+/_-]{0,60}[0-9])(?=[a-z0-9+/_-]{0,60}[A-Z])(?=[A-Z0-9+/_-]{0,60}[a-z])[0-9A-Za-z+/_-]{24,}={0,2})",
+    "hex_string": r"(?<![0-9A-Za-z])(?P<secret>[0-9a-f]{32,}+)(?![0-9A-Za-z])",
+    "long_string": r"(?<![0-9A-Za-z+/_-])(?P<secret>(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[0-9A-Za-z+/_-]{24,}={0,2})",
 }
 
 # Words that placeholders are made of, and words beside harmless strings.

@@ -287,3 +287,12 @@ def test_pipeline_with_repeated_ids(spark):
         times[r["text"]] += 1
     targets = mixing.source_targets(list(words.items()))
     assert max(times.values()) <= 2 and all(abs(taken[s] - t) <= 64 for s, t in targets.items())  # the longest text
+
+
+def test_long_candidates_are_seen():
+    for n in (32, 128, 129, 256, 100_000):
+        assert secret_scan.find_candidates("x " + "0123456789abcdef" * (n // 16) + "a" * (n % 16) + " y") == [("hex_string", 2, 2 + n)]
+    late = "a" * 61 + "B" * 70 + "7" + "c" * 9
+    for token in (late, late[::-1], "a" * 100_000 + "B7"):
+        assert secret_scan.find_candidates(f"x {token} y") == [("long_string", 2, 2 + len(token))]
+    assert secret_scan.find_candidates("z" * 200_000) == []
