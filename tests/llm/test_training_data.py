@@ -296,3 +296,22 @@ def test_long_candidates_are_seen():
     for token in (late, late[::-1], "a" * 100_000 + "B7"):
         assert secret_scan.find_candidates(f"x {token} y") == [("long_string", 2, 2 + len(token))]
     assert secret_scan.find_candidates("z" * 200_000) == []
+
+
+@pytest.mark.parametrize("max_blocks", [url_filter.MAX_BLOCKS, 256])
+def test_url_filter_with_a_long_list(spark, max_blocks):
+    rng = random.Random(14)
+    kinds, domains = ["adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm", "ads-track"], ["example.com", "example.net", "example.org", "test.de"]
+    entries = [f"{k}.{d}/" for k in kinds for d in domains] + [f"site{i}.{d}/" + ("dir" if i % 3 == 0 else "") for i in range(10_000) for d in domains]
+    listed = set(entries)
+    urls = [f"http://{k}.{d}/a/b" for k in kinds for d in domains] + [f"http://{'m.' * (i % 2)}site{rng.randrange(20_000)}.{rng.choice(domains)}/{rng.choice(['dir/x', 'dirx', ''])}" for i in range(5000)]
+
+    def blocked(url):
+        host, _, path = url[7:].partition("/")
+        sites = [host, host.removeprefix("m."), host.split(".", 1)[1]]
+        return any(f"{s}/" in listed or (path.startswith("dir/") and f"{s}/dir" in listed) for s in sites)
+
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = url_filter.filter_urls(pages, spark.createDataFrame([(x,) for x in entries], "entry string"), rules=[("allow", "none", "/")], max_blocks=max_blocks).collect()
+    assert {r["page_id"]: r["verdict"] == "block" for r in found} == {i: blocked(u) for i, u in enumerate(urls)}
+    assert 1000 < sum(map(blocked, urls)) < 4500
