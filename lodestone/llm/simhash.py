@@ -28,14 +28,17 @@ BLOCKS = 4
 CROWD = 32
 CHUNK = 1 << 16
 
-# Near copies of 0.8: five words; blocks that 7 bits can't all touch; verified on 64 and on 256 bits.
+# Near copies of the pipeline: five words, and LEAST_SHARE of the shingles of two texts.
 NEAR_WORDS = 5
-SURE_BITS = 7
-NEAR_BITS = 12
-WIDE_LANES = 3
-WIDE_BITS = 44
-LEAST_SHARED = 3
-NEAR_CROWD = 8
+LEAST_SHARE = 0.8
+LANES = 16
+WIDE = 64 * LANES
+DIFFERING = math.acos(2 * LEAST_SHARE / (1 + LEAST_SHARE)) / math.pi  # part of the bits in which such a pair differs: 0.151
+WIDE_BITS = round(WIDE * DIFFERING + 3.2 * math.sqrt(WIDE * DIFFERING * (1 - DIFFERING)))  # 192 of 1,024
+RARE_BITS = 6
+MEET = 0.975
+LEADERS = 2
+KEY_ROWS = 512
 
 
 def hashed_shingles(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -63,14 +66,18 @@ def simhash(text: str | None, words: int = SHINGLE_WORDS) -> int:
     return majority_bits(hashed_shingles(text, words))
 
 
-def wide_lanes(hashed: np.ndarray) -> list[int]:
-    """Further 64-bit fingerprints, from hashes mixed anew for each."""
-    lanes = []
-    for lane in range(1, WIDE_LANES + 1):
-        h = (hashed ^ np.uint64(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-        lanes.append(majority_bits(h ^ (h >> np.uint64(29))))
-    return lanes
+_MIX = np.random.default_rng(7).integers(1, 1 << 63, (2, LANES), dtype=np.uint64)
+
+
+def wide_print(hashed: np.ndarray) -> np.ndarray:
+    """A fingerprint of WIDE bits: LANES of 64, from hashes mixed anew for each."""
+    ones = np.zeros(WIDE, dtype=np.int64)
+    for at in range(0, len(hashed), CHUNK // LANES):
+        mixed = (hashed[at : at + CHUNK // LANES, None] ^ _MIX[0]) * (_MIX[1] | np.uint64(1))
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        mixed ^= mixed >> np.uint64(29)
+        ones += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(hashed), bitorder="little").view(np.int64)
 
 
 def simhash_column(text: Column, words: int = SHINGLE_WORDS) -> Column:
@@ -150,79 +157,131 @@ def simhash_groups(docs: DataFrame, max_bits: int = MAX_BITS, words: int = SHING
     return marked.join(by_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def shared_blocks(prints: int) -> int:
-    """How many blocks a key holds: as many as give it a bit for each doubling
-    of the fingerprints, so that a key has about one however many there are."""
-    shared = LEAST_SHARED
-    while 64 * shared / (SURE_BITS + shared) < math.log2(max(prints, 2)):
-        shared += 1
-    return shared
-
-
-def _near(a: str, b: str, wide_a: str | None = None, wide_b: str | None = None) -> Column:
-    first = F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
-    if wide_a is None:
-        return first <= NEAR_BITS
-    rest = sum((F.bit_count(F.col(wide_a)[i].bitwiseXOR(F.col(wide_b)[i])) for i in range(WIDE_LANES)), first)
-    return (first <= NEAR_BITS) & (rest <= WIDE_BITS)
-
-
-def near_links(prints: DataFrame, crowd: int = NEAR_CROWD) -> DataFrame:
-    """Links (a, b) between fingerprints (`fp`, `wide`) that share a key of
-    blocks and differ in NEAR_BITS of 64 and WIDE_BITS of all bits at most. The
-    links connect all such pairs, though not every pair is listed.
+def key_plan(texts: int) -> tuple[int, int]:
+    """(bits of a block, blocks a fingerprint is listed under) for so many texts.
 
-    Keys of `crowd` fingerprints or fewer are joined with themselves. In larger
-    ones all are compared with two leaders; what those links leave outside a
-    key's largest component is then compared with the whole key.
+    A block has RARE_BITS more bits than the texts have doublings, so about one
+    text in 64 meets a stranger on a block, however many texts there are; there
+    are as many blocks as let a pair that differs in DIFFERING of its bits
+    share one with chance MEET.
     """
-    shared = shared_blocks(prints.count())
-    masks = block_masks(SURE_BITS + shared, SURE_BITS)
-    keyed = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("part", "block"))
-    key = ["part", "block"]
-    sizes = keyed.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")
-    met = staged(keyed.join(sizes, key), "near-blocks")
-    few = met.filter(F.col("n") <= crowd)
-    pairs = few.select(*key, F.col("fp").alias("a")).join(few.select(*key, F.col("fp").alias("b")), key).filter((F.col("a") < F.col("b")) & _near("a", "b")).select("a", "b").distinct()
-    left, right = prints.select(F.col("fp").alias("a"), F.col("wide").alias("wide_a")), prints.select(F.col("fp").alias("b"), F.col("wide").alias("wide_b"))
-    links = pairs.join(left, "a").join(right, "b").filter(_near("a", "b", "wide_a", "wide_b")).select("a", "b")
-    crowded = staged(met.filter(F.col("n") > crowd).select(*key, "fp").join(prints.select("fp", "wide"), "fp"), "near-crowds")
-    if crowded.isEmpty():
-        return links
-    leaders = crowded.groupBy(*key).agg(*[F.min_by(F.struct("fp", "wide"), F.xxhash64("fp", F.lit(i))).alias(f"leader{i}") for i in range(2)])
-    met_leaders = crowded.join(leaders.select(*key, F.explode(F.array("leader0", "leader1")).alias("leader")), key)
-    stars = met_leaders.select(F.col("fp").alias("a"), F.col("wide").alias("wide_a"), F.col("leader.fp").alias("b"), F.col("leader.wide").alias("wide_b")).filter((F.col("a") != F.col("b")) & _near("a", "b", "wide_a", "wide_b"))
-    links = staged(links.unionByName(stars.select("a", "b").distinct()), "near-links")
-    member = staged(components(links).select(F.col("node").alias("fp"), "root"), "near-members")
-    placed = staged(crowded.join(member, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "near-placed")
-    largest = placed.groupBy(*key, "root").agg(F.count("*").alias("n")).groupBy(*key).agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
-    outside = placed.join(largest, key).filter("root <> largest").select(*key, F.col("fp").alias("a"), F.col("wide").alias("wide_a"), F.col("root").alias("root_a"))
-    whole = placed.select(*key, F.col("fp").alias("b"), F.col("wide").alias("wide_b"), F.col("root").alias("root_b"))
-    more = outside.join(whole, key).filter((F.col("root_a") != F.col("root_b")) & _near("a", "b", "wide_a", "wide_b"))
-    return links.unionByName(more.select("a", "b").distinct())
-
-
-def near_groups(docs: DataFrame, crowd: int = NEAR_CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    bits = math.ceil(math.log2(max(texts, 2))) + RARE_BITS
+    return bits, math.ceil(math.log(1 - MEET) / math.log1p(-((1 - DIFFERING) ** bits)))
+
+
+def block_keys(prints: np.ndarray, bits: int, blocks: int) -> np.ndarray:
+    """Keys (row, block) of wide prints (row, lane): the fingerprint is cut into
+    blocks of `bits`, then, permuted anew each time, cut again until there are
+    `blocks`. Under each permutation a pair that differs in fewer bits than
+    there are blocks shares one for certain."""
+    per = WIDE // bits
+    rng, keys = np.random.default_rng(11), []
+    spread = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8), axis=1, bitorder="little")
+    for first in range(0, blocks, per):
+        order = rng.permutation(WIDE)[: bits * per]
+        padded = np.zeros((len(prints), per, 64), dtype=np.uint8)
+        padded[:, :, :bits] = spread[:, order].reshape(len(prints), per, bits)
+        values = np.packbits(padded, axis=2, bitorder="little").view(np.uint64)[:, :, 0]
+        number = np.arange(first, first + per, dtype=np.uint64)
+        keys.append((values * np.uint64(0x9E3779B97F4A7C15) ^ (number << np.uint64(47)) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64))
+    return np.concatenate(keys, axis=1)[:, :blocks]
+
+
+def near_links(nodes: DataFrame, texts: int | None = None) -> DataFrame:
+    """Links (a, b) that connect all of `nodes` (node, wide, shingles) which
+    share a block and LEAST_SHARE of their shingles; not every pair is listed.
+
+    All nodes of a block are compared with LEADERS of them, which are the same
+    in many blocks. What is then outside the largest component of its block is
+    compared with a member of that component, another one in each block, and
+    what still is outside with the whole block. Candidates must be within
+    WIDE_BITS; the verdict is taken on the shingles.
+    """
+    bits, blocks = key_plan(nodes.count() if texts is None else texts)
+
+    @F.pandas_udf("array<long>")
+    def keys(wide: pd.Series) -> pd.Series:
+        found = [block_keys(np.stack(wide.iloc[at : at + KEY_ROWS].to_numpy()), bits, blocks) for at in range(0, len(wide), KEY_ROWS)]
+        return pd.Series([row for part in found for row in part], dtype=object)
+
+    prints = nodes.select("node", "wide", F.size("shingles").alias("size"))
+    keyed = nodes.select("node", F.explode(keys("wide")).alias("key")).repartition("key")  # one exchange for both sides of the join below
+    leaders = [F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"leader{i}") for i in range(LEADERS)]
+    met = staged(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n"), *leaders).filter("n > 1"), "key"), "near-met")
+    pairs = met.select(F.col("node").alias("a"), F.explode(F.array(*[f"leader{i}" for i in range(LEADERS)])).alias("b"))
+    links = verified(pairs, prints, nodes)
+    placed = _split_keys(met.filter(F.col("n") > LEADERS + 1).select("key", "node"), links)
+    guide = placed.filter("root = largest").groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key")).alias("b"))
+    pairs = placed.filter("root <> largest").select("key", F.col("node").alias("a")).join(guide, "key").select("a", "b")
+    links = staged(links.unionByName(verified(pairs, prints, nodes)), "near-links")
+    placed = staged(_split_keys(placed.select("key", "node"), links).join(prints, "node"), "near-split")
+    side = lambda c: [F.col("node").alias(c), F.col("root").alias(f"root_{c}"), F.col("wide").alias(f"wide_{c}"), F.col("size").alias(f"size_{c}")]
+    outside, whole = placed.filter("root <> largest").select("key", *side("a")), placed.select("key", *side("b"))
+    more = outside.join(whole, "key").filter((F.col("root_a") != F.col("root_b")) & _close("a", "b"))
+    return links.unionByName(verified(more.select("a", "b"), None, nodes))
+
+
+def _close(a: str, b: str) -> Column:
+    """Sizes and wide prints that two texts of LEAST_SHARE can have."""
+    sizes = F.least(f"size_{a}", f"size_{b}") >= LEAST_SHARE * F.greatest(f"size_{a}", f"size_{b}")
+    return sizes & (sum((F.bit_count(F.col(f"wide_{a}")[i].bitwiseXOR(F.col(f"wide_{b}")[i])) for i in range(LANES)), F.lit(0)) <= WIDE_BITS)
+
+
+def _split_keys(keyed: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, node, root, largest) of the keys whose nodes aren't all in one
+    component under `links`; largest is the root that most of them have."""
+    member = components(links).select("node", "root")
+    placed = staged(keyed.join(member, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-placed")
+    sums = placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("parts"))
+    return placed.join(sums.filter("parts > 1").drop("parts"), "key")
+
+
+def verified(pairs: DataFrame, prints: DataFrame | None, nodes: DataFrame) -> DataFrame:
+    """Of pairs (a, b), those within WIDE_BITS of each other (unless `prints` is
+    None, where they are known to be) that share LEAST_SHARE of their shingles."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
+    if prints is not None:
+        of = lambda c: prints.select(F.col("node").alias(c), F.col("wide").alias(f"wide_{c}"), F.col("size").alias(f"size_{c}"))
+        pairs = pairs.join(of("a"), "a").join(of("b"), "b").filter(_close("a", "b")).select("a", "b")
+    pairs = staged(pairs, "near-pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    held = staged(nodes.select("node", "shingles").join(asked, "node", "left_semi"), "near-sets")
+    left, right = held.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), held.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
+    shared = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("shared"), (F.size("of_a") + F.size("of_b")).alias("both"))
+    return staged(shared.filter(F.col("shared") / (F.col("both") - F.col("shared")) >= LEAST_SHARE).select("a", "b"), "near-links")
+
+
+def near_groups(docs: DataFrame, texts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id and component_id, the smallest doc_id that
-    can be reached over near copies of about 0.8 or more of their shingles.
-
-    Shingles have five words. Fingerprints within SURE_BITS always meet, most
-    within NEAR_BITS do; what meets is verified on 256 bits. The pipeline needs
-    all pairs of 0.8 and takes `near_copies` instead. Two texts that
-    share a part J of their shingles differ in acos(2J / (1 + J)) / pi of the
-    bits, so WIDE_BITS keeps most pairs of 0.8 and few of 0.7.
-
-    Defined cases: as in `simhash_groups`.
+    can be reached over texts which share LEAST_SHARE of their shingles of
+    NEAR_WORDS words.
+
+    Texts meet on blocks of SimHash fingerprints of WIDE bits, are compared by
+    Hamming distance and then, as fingerprints are estimates, by 32-bit hashes
+    of the shingles themselves. A lone pair of exactly LEAST_SHARE meets with
+    about chance MEET at every size of the table, a closer one more surely;
+    `texts` stands for another size, as for tests.
+
+    Defined cases: null, empty and blank texts have no shingles and are equal;
+    texts of fewer words than a shingle are one shingle; rows that repeat an id
+    keep their rows; a null id never names a component unless all of its ids
+    are null, which gives null; an empty table gives an empty result; other
+    columns are ignored, whatever their names.
     """
 
-    @F.pandas_udf("fp long, wide array<long>")
-    def fingerprints(texts: pd.Series) -> pd.DataFrame:
-        rows = [hashed_shingles(t, NEAR_WORDS) for t in texts]
-        return pd.DataFrame({"fp": [majority_bits(h) for h in rows], "wide": [wide_lanes(h) for h in rows]})
-
-    marked = staged(docs.select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col)).alias("p")).select("doc_id", "p.fp", "p.wide"), "near")
-    prints = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("wide").alias("wide")), "near-prints")
-    return marked.select("doc_id", "fp").join(_named(prints.select("fp", "first"), near_links(prints.select("fp", "wide"), crowd)), "fp").select("doc_id", "component_id")
+    @F.pandas_udf("digest long, wide array<long>, shingles array<int>")
+    def prints(column: pd.Series) -> pd.DataFrame:
+        rows = [np.unique(hashed_shingles(t, NEAR_WORDS)) for t in column]
+        digests = [xxhash.xxh64_intdigest(h.tobytes()) for h in rows]
+        short = [np.unique((h >> np.uint64(32)).astype(np.uint32)).view(np.int32) for h in rows]
+        return pd.DataFrame({"digest": np.array(digests, dtype=np.uint64).view(np.int64), "wide": [wide_print(h) for h in rows], "shingles": short})
+
+    same = ["digest", "wide"]
+    marked = staged(docs.select(F.col(id_col).alias("doc_id"), prints(F.col(text_col)).alias("p")).select("doc_id", "p.*"), "near")
+    nodes = staged(marked.groupBy(*same).agg(F.min("doc_id").alias("first"), F.first("shingles").alias("shingles")).withColumn("node", F.monotonically_increasing_id()), "near-nodes")
+    named = _named(nodes.select(F.col("node").alias("fp"), "first"), near_links(nodes, texts))
+    component = nodes.select("node", *same).join(named.withColumnRenamed("fp", "node"), "node").select(*same, "component_id")
+    return marked.select("doc_id", *same).join(component, same).select("doc_id", "component_id")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

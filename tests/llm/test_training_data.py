@@ -211,27 +211,6 @@ def test_pipeline_stages(spark):
     assert out["sentencepiece"].count() == out["source_mix"].count()
 
 
-@pytest.mark.parametrize("crowd", [64, 4])
-def test_near_links_connect_what_meets(spark, crowd):
-    rng = random.Random(8)
-    flip = lambda lanes, n: [v ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, n))) for v in lanes]
-    seeds = [[rng.getrandbits(64) for _ in range(1 + simhash.WIDE_LANES)] for _ in range(4)]
-    lanes = list({x[0]: x for s in seeds for x in (flip(s, 6) for _ in range(25))}.values())
-    signed = [[v - (1 << 64) if v >> 63 else v for v in x] for x in lanes]
-    links = simhash.near_links(spark.createDataFrame([(x[0], x[1:]) for x in signed], "fp long, wide array<long>"), crowd).collect()
-    masks = simhash.block_masks(simhash.SURE_BITS + simhash.LEAST_SHARED, simhash.SURE_BITS)
-    by_print = {x[0]: x for x in signed}
-    bits = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1")
-
-    def near(a, b):
-        close = bits(a, b) <= simhash.NEAR_BITS and sum(map(bits, by_print[a], by_print[b])) <= simhash.WIDE_BITS
-        return close and any((a ^ b) & m == 0 for m in masks)
-
-    pairs = {(r["a"], r["b"]) for r in links} | {(r["b"], r["a"]) for r in links}
-    assert pairs and all(near(a, b) for a, b in pairs)
-    assert _components(sorted(by_print), lambda a, b: (a, b) in pairs) == _components(sorted(by_print), near)
-
-
 def test_near_groups(spark):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(500)]
@@ -239,7 +218,7 @@ def test_near_groups(spark):
     copies = [" ".join(w if rng.random() > 0.01 else "x" for w in base) for _ in range(12)]
     others = [" ".join(rng.choice(words) for _ in range(400)) for _ in range(12)]
     rows = [(i, t) for i, t in enumerate(copies + others)] + [(50, None), (51, ""), (52, "one"), (0, copies[0]), (None, copies[1])]
-    found = [tuple(r) for r in simhash.near_groups(documents(spark, rows), crowd=4).collect()]
+    found = [tuple(r) for r in simhash.near_groups(documents(spark, rows)).collect()]
     assert len(found) == len(rows)
     groups = defaultdict(set)
     for i, c in found:
