@@ -10,7 +10,6 @@ and indexed once.
 
 from __future__ import annotations
 
-import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,11 +31,15 @@ def sign_code(vector: Column) -> Column:
     return F.when(F.size(vector) > BITS, F.raise_error(F.lit(f"codes have {BITS} bits at most")).cast("bigint")).otherwise(code)
 
 
+# (codes, segments): up to so many codes a code is cut into so many segments. A
+# search's probes for a radius depend on the widths alone, so they stay as they
+# are over wide ranges of sizes; more codes only bring the kth one nearer.
+SEGMENTS = [(1 << 8, 8), (1 << 20, 5), (1 << 27, 4), (1 << 40, 3)]
+
+
 def segment_bounds(codes: int) -> list[tuple[int, int]]:
-    """(first bit, width): about as wide as the logarithm of the codes, so that
-    a value has a few codes on average however many there are."""
-    width = min(max(math.log2(max(codes, 2)), 8), 24)
-    parts = max(2, round(BITS / width))
+    """(first bit, width) of each segment."""
+    parts = next((parts for most, parts in SEGMENTS if codes <= most), 2)
     cuts = [BITS * i // parts for i in range(parts + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
