@@ -14,10 +14,11 @@ from lodestone.llm.language_id import UNDETERMINED, train
 from lodestone.llm.mixing import mix_sources
 from lodestone.llm.piece_codec import encode_documents, load_pieces
 from lodestone.llm.simhash import near_groups
-from lodestone.session import new_path, staged, table
+from lodestone.session import discard, new_path, staged, table
 
 LEAST_LANGUAGE_SCORE = 0.26  # both votes are won with 0.5 or more each
 ROW = "pipeline_row"
+READ: list[str] = []  # where the numbered rows of the stage before are
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +58,14 @@ def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """The rows with a number each, written so that it stays: ids may repeat or be null."""
-    return staged(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
+    """The rows with a number each, written so that it stays: ids may repeat or
+    be null. What the stage before wrote here is removed, as its result, the
+    rows of this one, has been written since."""
+    rows = staged(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
+    for path in READ:
+        discard(docs.sparkSession, path)
+    READ[:] = [rows.staged_path]
+    return rows
 
 
 def _first_rows(docs: DataFrame, rows: DataFrame, grouped: DataFrame) -> DataFrame:

@@ -30,12 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else
-    the context's checkpoint folder; a local one is set only when neither is."""
+    the context's checkpoint folder. A session of one machine gets a local one
+    where neither is set; on a cluster that is an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext._jsc.sc()
     if configured:
         return configured.rstrip("/")
     if context.getCheckpointDir().isEmpty():
+        if not context.isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINT_DIR)
     return context.getCheckpointDir().get().rstrip("/")
 
@@ -52,7 +55,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def unstage(*frames: DataFrame) -> None:
+    """Remove staged tables that later steps have replaced."""
+    for frame in frames:
+        discard(frame.sparkSession, frame.staged_path)
 
 
 def discard(spark: SparkSession, path: str) -> None:
