@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.session import staged
+from lodestone.session import staged, unstage
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,7 +20,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        edges = staged(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "component-edges")
+        old, edges = edges, staged(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "component-edges")
+        unstage(old)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == mark:
             break

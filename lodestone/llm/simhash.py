@@ -10,16 +10,18 @@ linked through midpoints instead of pairs.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
-from lodestone.session import staged, table
+from lodestone.session import staged, table, unstage
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -199,13 +201,15 @@ def near_links(nodes: DataFrame, texts: int | None = None) -> DataFrame:
     """
     bits, blocks = key_plan(nodes.count() if texts is None else texts)
 
-    @F.pandas_udf("array<long>")
-    def keys(wide: pd.Series) -> pd.Series:
-        found = [block_keys(np.stack(wide.iloc[at : at + KEY_ROWS].to_numpy()), bits, blocks) for at in range(0, len(wide), KEY_ROWS)]
-        return pd.Series([row for part in found for row in part], dtype=object)
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, KEY_ROWS):
+                part = batch.slice(at, KEY_ROWS)
+                wide = part.column(1).flatten().to_numpy().reshape(part.num_rows, LANES)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), blocks)), pa.array(block_keys(wide, bits, blocks).ravel())], ["node", "key"])
 
     prints = nodes.select("node", "wide", F.size("shingles").alias("size"))
-    keyed = nodes.select("node", F.explode(keys("wide")).alias("key")).repartition("key")  # one exchange for both sides of the join below
+    keyed = nodes.select("node", "wide").mapInArrow(keys, "node long, key long").repartition("key")  # one exchange for both sides of the join below
     leaders = [F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"leader{i}") for i in range(LEADERS)]
     met = staged(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n"), *leaders).filter("n > 1"), "key"), "near-met")
     pairs = met.select(F.col("node").alias("a"), F.explode(F.array(*[f"leader{i}" for i in range(LEADERS)])).alias("b"))
@@ -213,8 +217,12 @@ def near_links(nodes: DataFrame, texts: int | None = None) -> DataFrame:
     placed = _split_keys(met.filter(F.col("n") > LEADERS + 1).select("key", "node"), links)
     guide = placed.filter("root = largest").groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key")).alias("b"))
     pairs = placed.filter("root <> largest").select("key", F.col("node").alias("a")).join(guide, "key").select("a", "b")
-    links = staged(links.unionByName(verified(pairs, prints, nodes)), "near-links")
-    placed = staged(_split_keys(placed.select("key", "node"), links).join(prints, "node"), "near-split")
+    more = verified(pairs, prints, nodes)
+    unstage(met)
+    first, links = links, staged(links.unionByName(more), "near-links")
+    split = _split_keys(placed.select("key", "node"), links)
+    old, placed = placed, staged(split.join(prints, "node"), "near-split")
+    unstage(first, more, old, split)
     side = lambda c: [F.col("node").alias(c), F.col("root").alias(f"root_{c}"), F.col("wide").alias(f"wide_{c}"), F.col("size").alias(f"size_{c}")]
     outside, whole = placed.filter("root <> largest").select("key", *side("a")), placed.select("key", *side("b"))
     more = outside.join(whole, "key").filter((F.col("root_a") != F.col("root_b")) & _close("a", "b"))
@@ -231,9 +239,12 @@ def _split_keys(keyed: DataFrame, links: DataFrame) -> DataFrame:
     """(key, node, root, largest) of the keys whose nodes aren't all in one
     component under `links`; largest is the root that most of them have."""
     member = components(links).select("node", "root")
-    placed = staged(keyed.join(member, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-placed")
+    rooted = keyed.join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = staged(rooted, "near-placed")
     sums = placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("parts"))
-    return placed.join(sums.filter("parts > 1").drop("parts"), "key")
+    split = staged(placed.join(sums.filter("parts > 1").drop("parts"), "key"), "near-split")
+    unstage(placed)
+    return split
 
 
 def verified(pairs: DataFrame, prints: DataFrame | None, nodes: DataFrame) -> DataFrame:
@@ -248,7 +259,9 @@ def verified(pairs: DataFrame, prints: DataFrame | None, nodes: DataFrame) -> Da
     held = staged(nodes.select("node", "shingles").join(asked, "node", "left_semi"), "near-sets")
     left, right = held.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), held.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
     shared = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("shared"), (F.size("of_a") + F.size("of_b")).alias("both"))
-    return staged(shared.filter(F.col("shared") / (F.col("both") - F.col("shared")) >= LEAST_SHARE).select("a", "b"), "near-links")
+    links = staged(shared.filter(F.col("shared") / (F.col("both") - F.col("shared")) >= LEAST_SHARE).select("a", "b"), "near-links")
+    unstage(pairs, held)
+    return links
 
 
 def near_groups(docs: DataFrame, texts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -269,19 +282,33 @@ def near_groups(docs: DataFrame, texts: int | None = None, id_col: str = "doc_id
     columns are ignored, whatever their names.
     """
 
-    @F.pandas_udf("digest long, wide array<long>, shingles array<int>")
-    def prints(column: pd.Series) -> pd.DataFrame:
-        rows = [np.unique(hashed_shingles(t, NEAR_WORDS)) for t in column]
-        digests = [xxhash.xxh64_intdigest(h.tobytes()) for h in rows]
-        short = [np.unique((h >> np.uint64(32)).astype(np.uint32)).view(np.int32) for h in rows]
-        return pd.DataFrame({"digest": np.array(digests, dtype=np.uint64).view(np.int64), "wide": [wide_print(h) for h in rows], "shingles": short})
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, KEY_ROWS):
+                part = batch.slice(at, KEY_ROWS)
+                rows = [np.unique(hashed_shingles(t, NEAR_WORDS)) for t in part.column(1).to_pylist()]
+                digests = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in rows], dtype=np.uint64).view(np.int64)
+                wide = np.stack([wide_print(h) for h in rows])
+                short = [np.unique((h >> np.uint64(32)).astype(np.uint32)).view(np.int32) for h in rows]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(digests), _lists(list(wide), np.int64), _lists(short, np.int32)],
+                    ["doc_id", "digest", "wide", "shingles"],
+                )
 
     same = ["digest", "wide"]
-    marked = staged(docs.select(F.col(id_col).alias("doc_id"), prints(F.col(text_col)).alias("p")).select("doc_id", "p.*"), "near")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    marked = staged(rows.mapInArrow(prints, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest long, wide array<long>, shingles array<int>"), "near")
     nodes = staged(marked.groupBy(*same).agg(F.min("doc_id").alias("first"), F.first("shingles").alias("shingles")).withColumn("node", F.monotonically_increasing_id()), "near-nodes")
-    named = _named(nodes.select(F.col("node").alias("fp"), "first"), near_links(nodes, texts))
-    component = nodes.select("node", *same).join(named.withColumnRenamed("fp", "node"), "node").select(*same, "component_id")
-    return marked.select("doc_id", *same).join(component, same).select("doc_id", "component_id")
+    members = staged(marked.select("doc_id", *same).join(nodes.select("node", *same), same).select("doc_id", "node"), "near-members")
+    unstage(marked)
+    named = staged(_named(nodes.select(F.col("node").alias("fp"), "first"), near_links(nodes, texts)), "near-named")
+    unstage(nodes)
+    return members.join(named.withColumnRenamed("fp", "node"), "node").select("doc_id", "component_id")
+
+
+def _lists(rows: list[np.ndarray], kind: type) -> pa.ListArray:
+    ends = np.cumsum([0] + [len(r) for r in rows])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows).astype(kind)))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
