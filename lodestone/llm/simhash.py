@@ -36,10 +36,10 @@ LEAST_SHARE = 0.8
 LANES = 16
 WIDE = 64 * LANES
 DIFFERING = math.acos(2 * LEAST_SHARE / (1 + LEAST_SHARE)) / math.pi  # part of the bits in which such a pair differs: 0.151
-WIDE_BITS = round(WIDE * DIFFERING + 3.2 * math.sqrt(WIDE * DIFFERING * (1 - DIFFERING)))  # 192 of 1,024
+WIDE_BITS = round(WIDE * DIFFERING + 2.4 * math.sqrt(WIDE * DIFFERING * (1 - DIFFERING)))  # 183 of 1,024: one such pair in 120 differs in more
 RARE_BITS = 6
 MEET = 0.975
-LEADERS = 2
+FIRST_PART = 8
 KEY_ROWS = 512
 
 
@@ -193,11 +193,11 @@ def near_links(nodes: DataFrame, texts: int | None = None) -> DataFrame:
     """Links (a, b) that connect all of `nodes` (node, wide, shingles) which
     share a block and LEAST_SHARE of their shingles; not every pair is listed.
 
-    All nodes of a block are compared with LEADERS of them, which are the same
-    in many blocks. What is then outside the largest component of its block is
-    compared with a member of that component, another one in each block, and
-    what still is outside with the whole block. Candidates must be within
-    WIDE_BITS; the verdict is taken on the shingles.
+    In one block of FIRST_PART, all nodes are compared with one of them, the
+    same in many blocks, which links most copies. In each block, what is then
+    outside its largest component is compared with a member of that component,
+    another one in each block, and what still is outside with the whole block.
+    Candidates must be within WIDE_BITS; the verdict is taken on the shingles.
     """
     bits, blocks = key_plan(nodes.count() if texts is None else texts)
 
@@ -210,19 +210,18 @@ def near_links(nodes: DataFrame, texts: int | None = None) -> DataFrame:
 
     prints = nodes.select("node", "wide", F.size("shingles").alias("size"))
     keyed = nodes.select("node", "wide").mapInArrow(keys, "node long, key long").repartition("key")  # one exchange for both sides of the join below
-    leaders = [F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"leader{i}") for i in range(LEADERS)]
-    met = staged(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n"), *leaders).filter("n > 1"), "key"), "near-met")
-    pairs = met.select(F.col("node").alias("a"), F.explode(F.array(*[f"leader{i}" for i in range(LEADERS)])).alias("b"))
-    links = verified(pairs, prints, nodes)
-    placed = _split_keys(met.filter(F.col("n") > LEADERS + 1).select("key", "node"), links)
-    guide = placed.filter("root = largest").groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key")).alias("b"))
-    pairs = placed.filter("root <> largest").select("key", F.col("node").alias("a")).join(guide, "key").select("a", "b")
-    more = verified(pairs, prints, nodes)
+    leader = F.min_by("node", F.xxhash64("node")).alias("leader")
+    met = staged(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n"), leader).filter("n > 1"), "key"), "near-met")
+    first = met.filter(F.pmod(F.xxhash64("key"), F.lit(FIRST_PART)) == 0)
+    links = verified(first.select(F.col("node").alias("a"), F.col("leader").alias("b")), prints, nodes)
+    split = _split_keys(met.select("key", "node", "n"), links)
+    guide = split.filter("root = largest").groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key")).alias("b"))
+    more = verified(split.filter("root <> largest").select("key", F.col("node").alias("a")).join(guide, "key").select("a", "b"), prints, nodes)
     unstage(met)
-    first, links = links, staged(links.unionByName(more), "near-links")
-    split = _split_keys(placed.select("key", "node"), links)
-    old, placed = placed, staged(split.join(prints, "node"), "near-split")
-    unstage(first, more, old, split)
+    old, links = links, staged(links.unionByName(more), "near-links")
+    rest = _split_keys(split.filter("n > 2").select("key", "node", "n"), links)  # the one pair of two has been compared
+    placed = staged(rest.join(prints, "node"), "near-placed")
+    unstage(old, more, split, rest)
     side = lambda c: [F.col("node").alias(c), F.col("root").alias(f"root_{c}"), F.col("wide").alias(f"wide_{c}"), F.col("size").alias(f"size_{c}")]
     outside, whole = placed.filter("root <> largest").select("key", *side("a")), placed.select("key", *side("b"))
     more = outside.join(whole, "key").filter((F.col("root_a") != F.col("root_b")) & _close("a", "b"))
@@ -236,12 +235,11 @@ def _close(a: str, b: str) -> Column:
 
 
 def _split_keys(keyed: DataFrame, links: DataFrame) -> DataFrame:
-    """(key, node, root, largest) of the keys whose nodes aren't all in one
-    component under `links`; largest is the root that most of them have."""
+    """The rows (key, node, n), with root and largest, of the keys whose nodes
+    aren't all in one component under `links`; largest is the root of most."""
     member = components(links).select("node", "root")
-    rooted = keyed.join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = staged(rooted, "near-placed")
-    sums = placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("parts"))
+    placed = staged(keyed.join(member, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-placed")
+    sums = placed.groupBy("key", "root").agg(F.count("*").alias("held")).groupBy("key").agg(F.max_by("root", F.struct("held", "root")).alias("largest"), F.count("*").alias("parts"))
     split = staged(placed.join(sums.filter("parts > 1").drop("parts"), "key"), "near-split")
     unstage(placed)
     return split
@@ -255,7 +253,7 @@ def verified(pairs: DataFrame, prints: DataFrame | None, nodes: DataFrame) -> Da
         of = lambda c: prints.select(F.col("node").alias(c), F.col("wide").alias(f"wide_{c}"), F.col("size").alias(f"size_{c}"))
         pairs = pairs.join(of("a"), "a").join(of("b"), "b").filter(_close("a", "b")).select("a", "b")
     pairs = staged(pairs, "near-pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     held = staged(nodes.select("node", "shingles").join(asked, "node", "left_semi"), "near-sets")
     left, right = held.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), held.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
     shared = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("shared"), (F.size("of_a") + F.size("of_b")).alias("both"))

@@ -54,9 +54,9 @@ def test_blocks_grow_with_the_texts():
     assert all(same[:, at : at + per].any(axis=1).all() for at in range(0, 200 - per, per))
 
 
-@pytest.mark.parametrize("leaders", [2, 1])
-def test_crowds_equal_brute_force(spark, monkeypatch, leaders):
-    monkeypatch.setattr(simhash, "LEADERS", leaders)
+@pytest.mark.parametrize("first_part", [1, 8, 10_000])
+def test_crowds_equal_brute_force(spark, monkeypatch, first_part):
+    monkeypatch.setattr(simhash, "FIRST_PART", first_part)
     rng = random.Random(13)
     base = [f"w{rng.randrange(900)}" for _ in range(150)]
     texts = [" ".join(w if rng.random() > 0.012 else f"x{rng.randrange(9)}" for w in base) for _ in range(60)] + [None, "", "one two", "One two"]
