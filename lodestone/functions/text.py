@@ -11,6 +11,7 @@ BLANK = r"[\x09-\x0D\x20]"
 SIMPLIFIED = "医药汤气证伤阳阴经脉脏腑风湿热寒症与为无发补泻体疗参么黄"
 TRADITIONAL = "醫藥湯氣證傷陽陰經脈臟腑風濕熱寒癥與為無發補瀉體療參麼黃"
 
+# Patterns of personal data.
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 PHONE = r"(?<!\d)1[3-9]\d{9}(?!\d)"
 IDENTITY = r"(?<!\d)\d{15}(?:\d{2}[0-9Xx])?(?!\d)"
@@ -27,9 +28,16 @@ def windows(text: Column, size: int = 400, overlap: int = 80) -> Column:
     if size < 1:
         raise ValueError("size must be 1 or more")
     overlap = min(max(overlap, 0), size - 1)
-    step, body = size - overlap, strip(text)
-    count = F.greatest(F.lit(1), F.ceil((F.length(body) - overlap) / step)).cast("int")
-    return F.when(F.length(body) > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(body, i * step + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    step = size - overlap
+    held = -(-size // step)  # steps that a window reaches over
+
+    def joined(body: Column) -> Column:
+        # cut into steps once: substring would count from the start of the text for each window
+        steps = F.regexp_extract_all(body, F.lit(rf"(?s).{{1,{step}}}"), F.lit(0))
+        count = F.greatest(F.lit(1), F.ceil((F.length(body) - overlap) / step)).cast("int")
+        return F.transform(F.array(F.struct(steps.alias("steps"), count.alias("n"))), lambda s: F.transform(F.slice(s["steps"], 1, s["n"]), lambda part, i: F.substring(F.array_join(F.slice(s["steps"], i + 1, F.lit(held)), ""), 1, size)))[0]
+
+    return F.transform(F.array(strip(text)), lambda body: F.when(F.length(body) > 0, joined(body)).otherwise(F.array().cast("array<string>")))[0]
 
 
 def clean_markdown(text: Column) -> Column:

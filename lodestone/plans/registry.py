@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import corpus_queries, retrieval_queries, source_queries, table_queries, text_queries
+from lodestone.plans import corpus_queries, retrieval_queries, session_queries, source_queries, table_queries, text_queries
 
-MODULES = [text_queries, retrieval_queries, table_queries, source_queries, corpus_queries]
+MODULES = [text_queries, retrieval_queries, table_queries, source_queries, corpus_queries, session_queries]
 QUERIES: dict = {}
 SQL: dict = {}
 for module in MODULES:

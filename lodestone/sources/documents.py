@@ -75,7 +75,9 @@ def pages_to_markdown(pages: DataFrame, id_col: str = "page_id", html_col: str =
 
 def sections(text: Column) -> Column:
     """(level, title, body) of each heading; text before the first one is left
-    out, and a text without headings is one section of level 0."""
+    out, and a text without headings is one section of level 0. Headings are
+    marked by control characters; those of the text itself are dropped."""
+    text = F.translate(text, "\u0001\u0002\u0003", "")
     marked = F.regexp_replace(text, r"(?m)^(#{1,6})\s+(.+?)\s*$", "\u0001$1\u0002$2\u0003")
     parts = F.slice(F.split(marked, "\u0001"), 2, F.size(F.split(marked, "\u0001")))
     found = F.transform(
