@@ -7,6 +7,7 @@ scores go by id.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,10 +15,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.session import staged
+
 RRF_K = 60
 SPARSE_ONLY_SCORE = 0.45
 HIGH, LOW = 0.72, 0.30
 QUERIES_AT_ONCE = 4096
+SPARSE_QUERIES_AT_ONCE = 1024
+ROWS_AT_ONCE = 256
 
 
 def ranked(hits: DataFrame, k: int | None = None, order: str = "score DESC, id", by: str = "query_id") -> DataFrame:
@@ -31,7 +36,9 @@ def dense_search(index: DataFrame, queries: DataFrame, k: int, min_score: float
 
     Queries go in blocks of about QUERIES_AT_ONCE; a task multiplies its rows
     with a block and passes on the k best of each query, so what is shuffled
-    and held doesn't grow with the index. Null vectors match nothing.
+    and held doesn't grow with the index. The hits of a block are written
+    before the next one is fetched, so the driver holds one block at a time.
+    Null vectors match nothing.
     """
     queries = queries.filter("vector IS NOT NULL")
     blocks = math.ceil(queries.count() / QUERIES_AT_ONCE) or 1
@@ -41,24 +48,34 @@ def dense_search(index: DataFrame, queries: DataFrame, k: int, min_score: float
         ids, matrix = np.array([r["query_id"] for r in rows], dtype=np.int64), np.array([r["vector"] for r in rows], dtype=np.float64)
 
         def best(batches: Iterator[pd.DataFrame], ids=ids, matrix=matrix) -> Iterator[pd.DataFrame]:
-            kept = pd.DataFrame({"query_id": [], "id": [], "score": []})
+            kept = _no_hits()
             for batch in batches:
-                if not len(ids) or not len(batch):
-                    continue
-                scores = np.round(np.stack(batch["vector"].to_numpy()).astype(np.float64) @ matrix.T, digits)
-                top = np.argpartition(-scores, min(k, len(scores)) - 1, axis=0)[: min(k, len(scores))]
-                least = np.take_along_axis(scores, top, axis=0).min(axis=0)
-                at, q = np.nonzero(scores >= least)  # ties of the kth stay for now
-                new = pd.DataFrame({"query_id": ids[q], "id": batch["id"].to_numpy()[at], "score": scores[at, q]})
-                kept = pd.concat([kept, new]).sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id").head(k)
+                if len(ids) and len(batch):
+                    scores = np.round(np.stack(batch["vector"].to_numpy()).astype(np.float64) @ matrix.T, digits)
+                    kept = _best_of(kept, ids, batch["id"].to_numpy(), scores, k)
             yield kept
 
         hits = index.filter("vector IS NOT NULL").select("id", "vector").mapInPandas(best, "query_id long, id long, score double")
+        if blocks > 1:
+            hits = staged(ranked(hits, k).drop("rank"), "dense-hits")
         found = hits if found is None else found.unionByName(hits)
     found = ranked(found, k)
     return found if min_score is None else found.filter(F.col("score") >= min_score)
 
 
+def _no_hits() -> pd.DataFrame:
+    return pd.DataFrame({"query_id": [], "id": [], "score": []})
+
+
+def _best_of(kept: pd.DataFrame, queries: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int, above: float = -np.inf) -> pd.DataFrame:
+    """The k best hits of each query of those kept and of new scores (id, query)."""
+    n = min(k, len(scores))
+    least = np.partition(scores, len(scores) - n, axis=0)[len(scores) - n]
+    at, q = np.nonzero((scores >= least) & (scores > above))  # ties of the kth stay for now
+    new = pd.DataFrame({"query_id": queries[q], "id": ids[at], "score": scores[at, q]})
+    return pd.concat([kept, new]).sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id").head(k)
+
+
 def dropoff_cut(hits: DataFrame, least: float = 0.6, ratio: float = 0.6) -> DataFrame:
     """Hits of `least` or more, up to the first that falls below `ratio` times
     the one before."""
@@ -91,21 +108,58 @@ def postings(docs: DataFrame, words: Column) -> DataFrame:
     return docs.select("id", F.explode(words).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, words: Column, query_words: Column, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """Okapi scores (query_id, id, score) of documents that share a term with a
-    query; a query's repeated words count again, and terms in over half the
-    documents get epsilon times the mean idf."""
-    sizes = docs.select("id", F.size(words).cast("double").alias("length"))
-    corpus = sizes.agg(F.count("*").alias("corpus"), F.avg("length").alias("mean_length"))
-    posted = postings(docs, words)
-    df = posted.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus))  # one row
+def term_weights(docs: DataFrame, words: Column, epsilon: float = 0.25) -> DataFrame:
+    """(term, df, idf) of all terms; those in over half the documents get
+    epsilon times the mean idf. Counts are combined in each task first, so no
+    postings are shuffled."""
+    df = docs.select(F.explode(F.array_distinct(words)).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(docs.agg(F.count("*").alias("corpus"))))  # one row
     df = df.withColumn("idf", F.log(F.col("corpus") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = df.agg(F.avg("idf").alias("mean_idf"))
-    idf = df.crossJoin(F.broadcast(mean)).select("term", "mean_length", F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))  # one row
+    return df.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))  # one row
+
+
+def bm25_search(docs: DataFrame, queries: DataFrame, words: Column, query_words: Column, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """The k best Okapi scores above 0 (query_id, id, score, rank) of documents
+    (id) for each query; a query's repeated words count again.
+
+    Queries go in blocks of about SPARSE_QUERIES_AT_ONCE, whose weighted terms
+    the driver holds one block at a time. A task walks its documents once for a
+    block, adds up what their terms weigh and passes on the k best of each
+    query, so neither postings nor pairs are shuffled and a common term has no
+    task of its own.
+    """
+    mean = docs.agg(F.avg(F.size(words).cast("double"))).first()[0] or 1.0
+    idf = term_weights(docs, words)
     asked = queries.select("query_id", F.explode(query_words).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    met = asked.join(idf, "term").join(posted, "term").join(sizes, "id")
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    return met.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    asked = staged(asked.join(idf, "term").select("query_id", "term", (F.col("times") * F.col("idf") * (k1 + 1)).alias("weight")), "bm25-queries")
+    blocks = math.ceil(queries.count() / SPARSE_QUERIES_AT_ONCE) or 1
+    found = None
+    for block in range(blocks):
+        rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toPandas()
+        ids, at = np.unique(rows["query_id"].to_numpy(np.int64), return_inverse=True)
+        terms = {term: (at[i], rows["weight"].to_numpy()[i]) for term, i in rows.groupby("term").indices.items()}
+
+        def best(batches: Iterator[pd.DataFrame], ids=ids, terms=terms) -> Iterator[pd.DataFrame]:
+            kept = _no_hits()
+            for batch in batches:
+                for start in range(0, len(batch) if len(ids) else 0, ROWS_AT_ONCE):
+                    part = batch.iloc[start : start + ROWS_AT_ONCE]
+                    scores = np.zeros((len(part), len(ids)))
+                    for row, held in enumerate(part["words"]):
+                        met = {t: n for t, n in Counter(held).items() if t in terms}
+                        if met:
+                            size = k1 * (1 - b + b * len(held) / mean)
+                            pairs = [terms[t] for t in met]
+                            gain = np.repeat([n / (n + size) for n in met.values()], [len(p[0]) for p in pairs])
+                            scores[row] = np.bincount(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]) * gain, len(ids))
+                    kept = _best_of(kept, ids, part["id"].to_numpy(), np.round(scores, 6), k, 0.0)
+            yield kept
+
+        hits = docs.select("id", words.alias("words")).mapInPandas(best, "query_id long, id long, score double")
+        if blocks > 1:
+            hits = staged(ranked(hits, k).drop("rank"), "bm25-hits")
+        found = hits if found is None else found.unionByName(hits)
+    return ranked(found, k)
 
 
 def contained_terms(docs: DataFrame, queries: DataFrame, words: Column, query_words: Column) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.functions import vectors as V
 from lodestone.operators import retrieval as R
-from lodestone.session import table
+from lodestone.session import spread, staged, table
 
 QUERIES, SQL = {}, {}
 K = 10
@@ -111,7 +111,7 @@ def centrality_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", T.tokens(F.col("text")).alias("words"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(F.col("doc_id").alias("id"), "source", T.tokens(F.col("text")).alias("words"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.tokens(F.col("text")).alias("asked"))
     return docs, asked
 
@@ -130,7 +130,7 @@ sparse AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_i
 
 def _sparse(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
     docs, asked = _corpus(spark, sf_dir)
-    return R.ranked(R.bm25(docs, asked, F.col("words"), F.col("asked")).filter("score > 0"), k)
+    return R.bm25_search(docs, asked, F.col("words"), F.col("asked"), k)
 
 
 @query(f"WITH {SPARSE} SELECT * FROM sparse")
@@ -141,11 +141,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {SPARSE} SELECT term, df, round(idf, 6) AS idf FROM (SELECT df.term, df.df, idf.idf FROM df JOIN idf USING (term))")
 def bm25_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, _ = _corpus(spark, sf_dir)
-    n = F.broadcast(docs.agg(F.count("*").alias("n")))  # one row
-    df = R.postings(docs, F.col("words")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(n)
-    df = df.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = F.broadcast(df.agg(F.avg("idf").alias("mean")))  # one row
-    return df.crossJoin(mean).select("term", "df", F.round(F.when(F.col("idf") < 0, 0.25 * F.col("mean")).otherwise(F.col("idf")), 6).alias("idf"))
+    return R.term_weights(docs, F.col("words")).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"""
@@ -158,7 +154,7 @@ def term_contains_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hashed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), V.character_vector("text").alias("vector"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("id"), V.character_vector("text").alias("vector"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), V.character_vector("text").alias("vector"))
     return docs, asked
 
@@ -175,11 +171,12 @@ fused AS (SELECT query_id, id, sum(1.0 / (60 + rank)) AS w FROM (SELECT query_id
 fr AS (SELECT query_id, id, round(w, 6) AS rrf_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(w, 9) DESC, id) AS INTEGER) AS rank FROM fused)"""
 
 
-def _fused(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _fused(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs, asked = _hashed(spark, sf_dir)
     dense = R.dense_search(docs, asked, 20)
-    fused = R.rrf([dense, _sparse(spark, sf_dir)]).withColumn("order", F.round("rrf_score", 9)).withColumn("rrf_score", F.round("rrf_score", 6))
-    return R.ranked(fused, order="`order` DESC, id").drop("order"), dense
+    sparse = staged(_sparse(spark, sf_dir), "sparse-hits")
+    fused = R.rrf([dense, sparse]).withColumn("order", F.round("rrf_score", 9)).withColumn("rrf_score", F.round("rrf_score", 6))
+    return R.ranked(fused, order="`order` DESC, id").drop("order"), dense, sparse
 
 
 @query(f"WITH {SPARSE}, {HASHED} SELECT query_id, id, rrf_score, rank FROM fr")
@@ -196,23 +193,24 @@ rr AS (SELECT *, round(base_score + rule_score, 6) AS rerank_score FROM sc),
 rk AS (SELECT query_id, id, rule_score, rerank_score, least(1.0, rerank_score) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rule_score DESC, rank_before) AS INTEGER) AS rank FROM rr)"""
 
 
-def _reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fused, dense = _fused(spark, sf_dir)
-    docs, asked = _corpus(spark, sf_dir)
-    full = R.restore_scores(fused, dense).join(docs, "id").join(asked, "query_id")
-    body = F.size(F.array_intersect(F.filter("asked", lambda t: F.length(t) >= 6), F.col("words")))
-    return R.rule_rerank(full, (F.col("source") == "src1").cast("int"), body)
+def _reranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The reranked hits and the sparse ones among them."""
+    fused, dense, sparse = _fused(spark, sf_dir)
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "text")
+    full = R.restore_scores(fused, dense).join(texts, "id").join(_corpus(spark, sf_dir)[1], "query_id")
+    body = F.size(F.array_intersect(F.filter("asked", lambda t: F.length(t) >= 6), T.tokens(F.col("text"))))  # of the hits alone
+    return R.rule_rerank(full.withColumn("body_hits", body), (F.col("source") == "src1").cast("int"), F.col("body_hits")), sparse
 
 
 @query(f"{HYBRID} SELECT query_id, id, CAST(rule_score AS DOUBLE) AS rule_score, rerank_score, score, rank FROM rk")
 def rule_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reranked(spark, sf_dir).select("query_id", "id", "rule_score", "rerank_score", "score", "rank")
+    return _reranked(spark, sf_dir)[0].select("query_id", "id", "rule_score", "rerank_score", "score", "rank")
 
 
 @query(f"{HYBRID} SELECT query_id, id, score, rank FROM rk WHERE rank <= {K} AND (score >= 0.35 OR (query_id, id) IN (SELECT (query_id, id) FROM sparse))")
 def hybrid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sparse = _sparse(spark, sf_dir).select("query_id", "id", F.lit(True).alias("sparse"))
-    kept = _reranked(spark, sf_dir).filter(F.col("rank") <= K).join(sparse, ["query_id", "id"], "left")
+    ranked, sparse = _reranked(spark, sf_dir)
+    kept = ranked.filter(F.col("rank") <= K).join(sparse.select("query_id", "id", F.lit(True).alias("sparse")), ["query_id", "id"], "left")
     return kept.filter("score >= 0.35 OR sparse").select("query_id", "id", "score", "rank")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.functions import vectors as V
-from lodestone.session import table
+from lodestone.session import spread, table
 
 TERMS = ["the", "tion", "ment", "ein", "los", "example", "zzz"]
 SYNONYMS = [("感冒", ["伤风", "風寒"]), ("头痛", ["頭疼"]), ("失眠", ["不寐"])]
@@ -36,7 +36,7 @@ w AS (SELECT doc_id, body, unnest(range(0, greatest(1, CAST(ceil((length(body) -
 SELECT doc_id, CAST(i AS INTEGER) AS chunk_idx, substring(body, i * 320 + 1, 400) AS chunk FROM w
 """)
 def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.windows(F.col("text"))).alias("chunk_idx", "chunk"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(T.windows(F.col("text"))).alias("chunk_idx", "chunk"))
 
 
 @query(f"""
@@ -44,7 +44,7 @@ WITH b AS (SELECT doc_id, source, {STRIPPED} AS body FROM documents)
 SELECT source, count(*) AS documents, CAST(sum(CASE WHEN length(body) = 0 THEN 0 ELSE greatest(1, CAST(ceil((length(body) - 80) / 320.0) AS BIGINT)) END) AS BIGINT) AS chunks FROM b GROUP BY source
 """)
 def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunked = table(spark, sf_dir, "documents").select("source", F.size(T.windows(F.col("text"))).cast("bigint").alias("n"))
+    chunked = spread(table(spark, sf_dir, "documents").select("source", "text")).select("source", F.size(T.windows(F.col("text"))).cast("bigint").alias("n"))
     return chunked.groupBy("source").agg(F.count("*").alias("documents"), F.sum("n").alias("chunks"))
 
 
@@ -61,7 +61,7 @@ def markdown_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, regexp_replace(text, '{T.EMAIL}', '{T.REDACTED}', 'g') AS redacted FROM documents
 """)
 def pii_email_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", T.EMAIL, T.REDACTED).alias("redacted"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.regexp_replace("text", T.EMAIL, T.REDACTED).alias("redacted"))
 
 
 @query()
