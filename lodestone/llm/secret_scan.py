@@ -3,7 +3,8 @@
 Patterns find candidates in whole texts; a random forest over the candidate's
 length, its character transitions, its dictionary coverage, the path and the
 neighbouring words tells secrets from look-alikes. It is trained from labelled
-findings.
+findings. The dictionary is a short fixed list and the most frequent words of
+the scanned table itself.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -46,12 +48,15 @@ DICTIONARY = (
     "todo token undefined user value variable void with word write your"
 ).split()
 HARMLESS_WORDS = "blob build checksum commit digest etag example fingerprint guid hash id integrity md5 placeholder revision sample sha sha1 sha256 test uuid version".split()
+TELLING_WORDS = "auth bearer credential credentials hmac key keys login passphrase password private secret secrets signing token".split()
 TEST_PATHS = "doc docs demo example examples fixture fixtures mock readme sample spec test tests".split()
 
 NEIGHBOUR_BUCKETS = 16
 NEIGHBOUR_WORDS = 3
 TREES, DEPTH = 40, 8
 LABELLED_ROWS = 4000
+COMMON_WORDS = 2000
+LEAST_LETTERS = 4
 
 _CLASSES = "".join("d" if chr(i).isdigit() else "u" if chr(i).isupper() else "l" if chr(i).islower() else "o" for i in range(128))
 _PAIRS = {a + b: i for i, (a, b) in enumerate((a, b) for a in "dulo" for b in "dulo")}
@@ -59,7 +64,24 @@ _COMPILED = {name: re.compile(p) for name, p in RULES.items()}
 _WORD = re.compile(r"[^\W\d_]{2,}")
 
 
-def features(secret: str, before: str, after: str, path: str, rule: str) -> list[float]:
+def common_words(docs: DataFrame, text_col: str = "text") -> list[str]:
+    """The COMMON_WORDS most frequent words of LEAST_LETTERS letters or more in
+    all texts, ties by the word; what comes back is bounded by that number."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(rf"(?<![\p{{L}}\p{{N}}])(\p{{L}}{{{LEAST_LETTERS},20}})(?![\p{{L}}\p{{N}}])"), F.lit(1))).alias("word"))
+    return [r["word"] for r in words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(COMMON_WORDS).collect()]
+
+
+def dictionary(words: list[str] = ()) -> ahocorasick.Automaton:
+    """Finds the fixed words and the given ones inside candidates."""
+    found = ahocorasick.Automaton()
+    for word in {*DICTIONARY, *words}:
+        if len(word) > 2:
+            found.add_word(word, len(word))
+    found.make_automaton()
+    return found
+
+
+def features(secret: str, before: str, after: str, path: str, rule: str, words: ahocorasick.Automaton) -> list[float]:
     """The numbers the forest sees of one finding."""
     kinds = "".join(_CLASSES[ord(c)] if c < "\x80" else "o" for c in secret)
     moves = [0.0] * len(_PAIRS)
@@ -69,22 +91,21 @@ def features(secret: str, before: str, after: str, path: str, rule: str) -> list
     entropy = float(-(counts * np.log2(counts)).sum()) if len(counts) else 0.0
     repeats = sum(a == b for a, b in zip(secret, secret[1:], strict=False)) / max(1, len(secret) - 1)
     steps = sum(ord(b) - ord(a) == 1 for a, b in zip(secret, secret[1:], strict=False)) / max(1, len(secret) - 1)
-    low, covered = secret.lower(), bytearray(len(secret))
-    for word in DICTIONARY:
-        at = low.find(word) if len(word) > 2 else -1
-        while at >= 0:
-            covered[at : at + len(word)] = b"\x01" * len(word)
-            at = low.find(word, at + 1)
+    covered = bytearray(len(secret))
+    low = secret.lower() if secret.isascii() else "".join(c.lower() if len(c.lower()) == 1 else c for c in secret)
+    for end, size in words.iter(low):
+        covered[end + 1 - size : end + 1] = b"\x01" * size
     coverage = sum(covered) / max(1, len(secret))
     near = [w.lower() for w in _WORD.findall(before)[-NEIGHBOUR_WORDS:] + _WORD.findall(after)[:NEIGHBOUR_WORDS]]
     buckets = [0.0] * NEIGHBOUR_BUCKETS
     for w in near:
         buckets[zlib.crc32(w.encode()) % NEIGHBOUR_BUCKETS] = 1.0
     harmless = float(any(w in HARMLESS_WORDS for w in near))
+    telling = float(any(w in TELLING_WORDS for w in near))
     tests = float(any(p in TEST_PATHS for p in re.split(r"[^a-z]+", path.lower())))
     named = float(bool(re.search(r"(?i)(password|passwd|pwd|token|secret|key|credential)[\"']?\s*[:=]\s*[\"']?$", before)))
     rules = [float(rule == r) for r in RULES]
-    return [float(len(secret)), entropy, repeats, steps, coverage, harmless, tests, named, *moves, *buckets, *rules]
+    return [float(len(secret)), entropy, repeats, steps, coverage, harmless, telling, tests, named, *moves, *buckets, *rules]
 
 
 def find_candidates(text: str) -> list[tuple[str, int, int]]:
@@ -115,8 +136,10 @@ def labelled_findings(rows: int = LABELLED_ROWS, seed: int = 11) -> list[tuple[s
         given = f"{rng.choice(names)}{rng.choice(['=', ' = ', ': '])}{rng.choice(['', chr(34)])}"
         label = i % 2
         if label:
-            kind = rng.randrange(7)
-            if kind == 0:
+            kind = rng.randrange(8)
+            if kind == 7:
+                rule, s, before = "hex_string", draw(hexa, rng.choice([32, 40, 48, 64, 128])), before + rng.choice(TELLING_WORDS) + rng.choice([" ", " is ", " of ", ", "])
+            elif kind == 0:
                 rule, s = "aws_key", "AKIA" + draw(upper, 16)
             elif kind == 1:
                 rule, s = "github_token", "ghp_" + draw(alnum, 36)
@@ -151,25 +174,28 @@ def labelled_findings(rows: int = LABELLED_ROWS, seed: int = 11) -> list[tuple[s
     return out
 
 
-def train_forest(spark: SparkSession, findings=None, seed: int = 11) -> RandomForestClassificationModel:
-    """Fit the forest to labelled findings, LABELLED_ROWS of them by default."""
-    rows = [(float(x[5]), [float(v) for v in features(*x[:5])]) for x in (findings or labelled_findings())]
+def train_forest(spark: SparkSession, findings=None, words: list[str] = (), seed: int = 11) -> RandomForestClassificationModel:
+    """Fit the forest to labelled findings, LABELLED_ROWS of them by default,
+    under the dictionary that the scan will use."""
+    known = dictionary(words)
+    rows = [(float(x[5]), [float(v) for v in features(*x[:5], known)]) for x in (findings or labelled_findings())]
     data = spark.createDataFrame(rows, "label double, numbers array<double>").select("label", array_to_vector("numbers").alias("features")).coalesce(2)
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed, featureSubsetStrategy="sqrt").fit(data)
 
 
-def scan_secrets(docs: DataFrame, forest: RandomForestClassificationModel, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", threshold: float = 0.5) -> DataFrame:
+def scan_secrets(docs: DataFrame, forest: RandomForestClassificationModel, words: list[str] = (), id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", threshold: float = 0.5) -> DataFrame:
     """One row per candidate: doc_id, rule, start, length, secret_sha256,
     probability and is_secret, at `threshold`. The secret itself isn't returned.
 
     Positions count code points from 0. Defined cases: null and empty texts
     have no candidates; a null path is an empty one; equal candidates at
     different places are different findings, as are those of repeated rows;
-    null ids keep their findings; an empty table gives an empty result; other
+    null ids keep their findings, and ids of any type keep it; an empty table gives an empty result; other
     columns are ignored, whatever their names.
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = dictionary(words)
         for batch in batches:
             out = []
             for doc_id, text, path in zip(batch["doc_id"], batch["text"], batch["path"], strict=True):
@@ -177,7 +203,7 @@ def scan_secrets(docs: DataFrame, forest: RandomForestClassificationModel, id_co
                     continue
                 for rule, a, b in find_candidates(text):
                     s = text[a:b]
-                    numbers = features(s, text[max(0, a - 80) : a], text[b : b + 80], path or "", rule)
+                    numbers = features(s, text[max(0, a - 80) : a], text[b : b + 80], path or "", rule, known)
                     out.append((doc_id, rule, a, b - a, hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest(), numbers))
             yield pd.DataFrame(out, columns=["doc_id", "rule", "start", "length", "secret_sha256", "numbers"])
 
@@ -185,8 +211,10 @@ def scan_secrets(docs: DataFrame, forest: RandomForestClassificationModel, id_co
     found = rows.mapInPandas(scan, "doc_id string, rule string, start long, length long, secret_sha256 string, numbers array<double>")
     judged = forest.transform(found.withColumn("features", array_to_vector("numbers")))
     chance = vector_to_array("probability")[1]
-    return judged.select(F.col("doc_id").cast("long").alias("doc_id"), "rule", "start", "length", "secret_sha256", chance.alias("probability"), (chance >= threshold).alias("is_secret"))
+    return judged.select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias("doc_id"), "rule", "start", "length", "secret_sha256", chance.alias("probability"), (chance >= threshold).alias("is_secret"))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_secrets(table(spark, sf_dir, "documents"), train_forest(spark))
+    docs = table(spark, sf_dir, "documents")
+    words = common_words(docs)
+    return scan_secrets(docs, train_forest(spark, words=words), words)
