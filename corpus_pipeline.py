@@ -2,6 +2,14 @@
 
 Language ID, exact dedup, SimHash near-dedup, mixing to target weights and
 SentencePiece encoding. Every stage takes (spark, docs, sf_dir).
+
+Defined cases of all stages: an empty table gives an empty result; rows that
+repeat an id are rows of their own; further columns pass through, whatever
+their names but `pipeline_row`. Null and empty texts have no language and go in
+the first stage; a later stage that meets them takes them as equal and empty,
+and the mix, which counts words, drops texts without any. Of equal texts and of
+near copies the row of the smallest id stays, a null id only where no other has
+one; of equal ids the first row. The last stage gives each row that is left.
 """
 
 from __future__ import annotations

@@ -3,9 +3,12 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions import records
 from lodestone.functions import text as T
 from lodestone.operators import history, retrieval, tables
+from lodestone.operators import retrieval as R
 from lodestone.sources import documents as D
+from lodestone.sources.documents import sections
 from lodestone.streaming import memory
 
 
@@ -122,3 +125,57 @@ def test_a_large_key_is_walked_in_batches(spark):
         assert "FlatMapGroupsInPandas" not in limited._jdf.queryExecution().toString()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def _one(spark, column, **values):
+    frame = spark.createDataFrame([tuple(values.values())], list(values))
+    return frame.select(column.alias("x")).first()["x"]
+
+
+@pytest.mark.parametrize("size, overlap", [(400, 80), (10, 3), (10, 9), (7, 0), (1, 0)])
+def test_windows_equal_slices(spark, size, overlap):
+    step = size - overlap
+    for text in ["", "  ", "ab", "x" * 10, "é中😀 y\nz" * 40, " " + "word " * 300]:
+        body = text.strip(" \t\n\r\x0b\x0c")
+        count = max(1, -(-(len(body) - overlap) // step)) if body else 0
+        assert _one(spark, T.windows(F.col("t"), size, overlap), t=text) == [body[i * step : i * step + size] for i in range(count)]
+
+
+def test_records(spark):
+    assert _one(spark, records.json_flag(F.col("t"), "ok"), t='so: {"ok": "是"} then') is True
+    assert _one(spark, records.json_flag(F.col("t"), "ok"), t="nothing") is None
+    assert _one(spark, records.flat_content(F.col("t")), t='["a", {"text": "b"}, {"kind": 1}]') == "a\nb"
+    assert _one(spark, records.distinct_names(F.col("t")), t=["A", "a ", "", "x" * 21, "b"]) == ["A", "b"]
+    assert _one(spark, records.is_refusal_item(F.lit(None), F.col("t")), t=[" 未查到 "]) is True
+    assert _one(spark, records.front_matter_split(F.col("t")), t="---\nlicense: 'CC'\n---\n\nbody") == ("body", "CC")
+    assert str(_one(spark, records.log_bound(F.col("t"), end=True).cast("string"), t="2024-01-05")) == "2024-01-05 15:59:59.999999"
+    assert _one(spark, records.iso_instant(F.col("t")), t="never") is None
+
+
+def test_sections_keep_control_characters_from_cutting(spark):
+    found = _one(spark, sections(F.col("t")), t="# a\none \u0001 two\n# b\nx")
+    assert [(s["title"], s["body"]) for s in found] == [("a", "one  two"), ("b", "x")]
+
+
+@pytest.mark.parametrize("at_once", [2, 1000])
+def test_sparse_search_equals_brute_force(spark, monkeypatch, at_once):
+    import math
+    import random
+    from collections import Counter
+
+    monkeypatch.setattr(R, "SPARSE_QUERIES_AT_ONCE", at_once)
+    rng = random.Random(1)
+    word = lambda: rng.choice("a b c d e f g h i j k l".split())
+    docs = {i: [word() for _ in range(rng.randint(0, 12))] for i in range(60)}
+    asked = {i: [word() for _ in range(3)] + ["zz"] for i in range(7)}
+    df = Counter(t for d in docs.values() for t in set(d))
+    idf = {t: math.log(len(docs) - n + 0.5) - math.log(n + 0.5) for t, n in df.items()}
+    mean, size = sum(idf.values()) / len(idf), sum(map(len, docs.values())) / len(docs)
+    idf = {t: v if v >= 0 else 0.25 * mean for t, v in idf.items()}
+    want = set()
+    for q, terms in asked.items():
+        scores = [(-round(sum(idf.get(t, 0) * d.count(t) * 2.5 / (d.count(t) + 1.5 * (0.25 + 0.75 * len(d) / size)) for t in terms), 6), i) for i, d in docs.items()]
+        want |= {(q, i, n + 1) for n, (s, i) in enumerate(sorted(scores)[:5]) if s < 0}
+    frame = lambda rows, key: spark.createDataFrame(list(rows.items()), f"{key} long, words array<string>")
+    found = R.bm25_search(frame(docs, "id").repartition(3), frame(asked, "query_id"), F.col("words"), F.col("words"), 5)
+    assert {(r["query_id"], r["id"], r["rank"]) for r in found.collect()} == want
