@@ -44,3 +44,9 @@ def character_counts(texts: pd.Series) -> pd.Series:
 def character_vector(texts: pd.Series) -> pd.Series:
     """The counts at length 1; zeros for null and empty texts."""
     return pd.Series([n / max(np.sqrt(float((n * n).sum())), 1e-12) for n in map(_counts, texts)])
+
+
+@F.pandas_udf(ArrayType(ArrayType(DoubleType())))
+def character_vectors(lists: pd.Series) -> pd.Series:
+    """The vectors of each text of a list."""
+    return pd.Series([[n / max(np.sqrt(float((n * n).sum())), 1e-12) for n in map(_counts, texts)] for texts in lists])

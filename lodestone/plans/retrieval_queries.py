@@ -153,6 +153,23 @@ def term_contains_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.ranked(R.contained_terms(docs, asked, F.col("words"), F.col("asked")), K)
 
 
+VARIED = SPARSE.replace("asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '\\w+')) AS term FROM benchmark) GROUP BY query_id, term)", r"""
+variants AS (SELECT item_id AS query_id, item_id * 2 AS v, CASE WHEN item_id % 7 = 0 THEN [] ELSE regexp_extract_all(lower(text), '\w+') END AS asked FROM benchmark UNION ALL
+  SELECT item_id, item_id * 2 + 1, CASE WHEN item_id % 7 = 0 THEN [] ELSE regexp_extract_all(lower(text), '\w+')[1:5] END FROM benchmark),
+asked AS (SELECT v AS query_id, term, count(*) AS times FROM (SELECT v, unnest(asked) AS term FROM variants) GROUP BY ALL)""")
+
+
+@query(f"""
+WITH {VARIED}, best AS (SELECT v.query_id, id, max(score) AS score FROM scored JOIN variants v ON v.v = scored.query_id WHERE score > 0 GROUP BY ALL)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM best) WHERE rank <= {K}
+""")
+def sparse_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item as a whole and by its first five words; every seventh has no word and so no hit."""
+    docs, asked = _corpus(spark, sf_dir)
+    words = F.when(F.col("query_id") % 7 == 0, F.array().cast("array<string>")).otherwise(F.col("asked"))
+    return R.sparse_search(docs, asked.select("query_id", F.array(words, F.slice(words, 1, 5)).alias("variants")), F.col("words"), K)
+
+
 def _hashed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("id"), V.character_vector("text").alias("vector"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), V.character_vector("text").alias("vector"))

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import records as D
 from lodestone.functions import text as T
+from lodestone.functions import vectors as V
+from lodestone.operators import evaluation as E
+from lodestone.operators import history as H
 from lodestone.operators import retrieval as R
 from lodestone.operators import sessions as S
 from lodestone.plans.table_queries import GRAPH, _graph
@@ -278,3 +281,78 @@ def front_matter_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT substring(o_orderpriority, 1, 1) AS status, count(*) AS n FROM orders GROUP BY 1")
 def status_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy(F.substring("o_orderpriority", 1, 1).alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH g AS (SELECT item_id AS id, CASE WHEN item_id % 9 = 0 THEN ' ' WHEN item_id % 8 = 1 THEN ' same' ELSE text END AS q FROM benchmark)
+SELECT id, concat_ws(',', CASE WHEN trim(q) = '' THEN 'empty_query' WHEN id > min(id) OVER (PARTITION BY trim(q)) THEN 'duplicate_query' END,
+  CASE WHEN id % 5 = 2 THEN 'expect_not_list' WHEN id % 5 IN (1, 3) THEN 'expect_blank_item' END, CASE WHEN id % 4 = 0 THEN 'empty_category' WHEN id % 4 = 2 THEN 'unknown_category' END,
+  CASE WHEN id % 6 <> 0 AND id % 5 IN (0, 2) THEN 'no_expectation' END, CASE WHEN id % 7 IN (1, 2) THEN 'docs_not_strings' END) AS errors FROM g
+""")
+def golden_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = lambda n, *values: F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (F.col("item_id") % n + 1).cast("int"))
+    query = F.when(F.col("item_id") % 9 == 0, " ").when(F.col("item_id") % 8 == 1, " same").otherwise(F.col("text"))
+    expect, category = by(5, "[]", '["x", " "]', '"x"', '["x", 1]', '["x"]'), by(4, None, "方剂", "odd", "拒答")
+    docs, source = by(7, '["a"]', "[1]", '"a"', None, None, None, None), F.when(F.col("item_id") % 6 == 0, "feedback")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), query.alias("query"), expect.alias("expect"), category.alias("category"), source.alias("source"), docs.alias("relevant_docs"))
+    return E.golden_findings(items).select("id", F.array_join("errors", ",").alias("errors"))
+
+
+def _vector(text: str) -> str:
+    return f"list_transform(range(0, 64), lambda b: CAST(len(list_filter(string_split({text}, ''), lambda c: c <> '' AND unicode(c) % 64 = b)) AS DOUBLE))"
+
+
+def _cosine(a: str, b: str) -> str:
+    return f"(list_dot_product({a}, {b}) / (greatest(sqrt(list_dot_product({a}, {a})), 1e-12) * greatest(sqrt(list_dot_product({b}, {b})), 1e-12)))"
+
+
+def _share(one: str, many: str) -> str:
+    """SQL of the share of the texts of `one` (x.t, x.v) that are near to one of `many` or cover it."""
+    like = "len(list_intersect(list_distinct(string_split(x.t, '')), list_distinct(string_split(o.t, '')))) / greatest(1, len(list_distinct(list_concat(string_split(x.t, ''), string_split(o.t, '')))))"
+    near = f"{_cosine('x.v', 'o.v')} >= 0.35 OR contains(x.t, o.t) OR contains(o.t, x.t) OR {like} >= 0.7"
+    return f"len(list_filter({one}, lambda x: len(list_filter({many}, lambda o: {near})) > 0)) / len({one})"
+
+
+SAMPLES = f"""
+m AS (SELECT *, coalesce(last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), '') AS q, conv_id + turn AS n, coalesce(text, '') AS t FROM conversations),
+s AS (SELECT conv_id, turn, n, q, CASE WHEN n % 7 = 0 THEN '未查到相关内容' WHEN n % 11 = 0 THEN '' ELSE t END AS answer, CASE WHEN n % 13 = 0 THEN '' ELSE substring(q, 1, 40) END AS reference,
+  CASE WHEN n % 5 = 0 THEN [] ELSE ['the', 'and'] END AS expect, n % 6 = 0 AS refuse,
+  list_filter(CASE WHEN n % 3 = 0 THEN [] ELSE [trim(substring(q, 1, 20)), trim(substring(q, 21, 20))] END, lambda x: x <> '') AS refs, list_filter(CASE WHEN n % 4 = 0 THEN [] ELSE [trim(substring(t, 1, 30)), trim(q)] END, lambda x: x <> '') AS ret
+  FROM m WHERE role = 'assistant'),
+v AS (SELECT *, {_vector('q')} AS qv, {_vector('answer')} AS av, {_vector('reference')} AS rv, {_vector("array_to_string(ret, chr(10))")} AS jv,
+  list_transform(refs, lambda x: {{'t': x, 'v': {_vector('x')}}}) AS refx, list_transform(ret, lambda x: {{'t': x, 'v': {_vector('x')}}}) AS retx, contains(answer, '未查到') AS said FROM s),
+c AS (SELECT *, {_cosine('av', 'qv')} AS aq, {_cosine('av', 'rv')} AS ar, {_cosine('av', 'jv')} AS aj, list_avg(list_transform(retx, lambda x: {_cosine('x.v', 'qv')})) AS rq,
+  len(list_filter(expect, lambda k: contains(answer, k))) / 2 AS kw FROM v),
+e AS (SELECT *, CASE WHEN refuse AND said THEN 1.0 WHEN refuse OR reference <> '' THEN ar ELSE 0.0 END AS sem FROM c),
+six AS (SELECT conv_id * 1000 + turn AS id,
+  round(CASE WHEN refuse THEN CASE WHEN said OR ret = [] THEN 1.0 ELSE 0.0 END WHEN ret = [] OR trim(answer) = '' THEN 0.0 ELSE aj END, 4) AS faithfulness,
+  round(CASE WHEN refuse AND said THEN 1.0 WHEN NOT refuse AND trim(answer) = '' THEN 0.0 ELSE aq END, 4) AS answer_relevancy,
+  round(CASE WHEN ret = [] THEN CASE WHEN refuse THEN 1.0 ELSE 0.0 END WHEN refs = [] THEN rq ELSE {_share('retx', 'refx')} END, 4) AS context_precision,
+  round(CASE WHEN ret = [] THEN CASE WHEN refuse THEN 1.0 ELSE 0.0 END WHEN refs = [] THEN CASE WHEN refuse THEN 0.0 END ELSE {_share('refx', 'retx')} END, 4) AS context_recall,
+  round(sem, 4) AS answer_semantic_similarity, round(CASE WHEN expect = [] THEN sem ELSE (kw + sem) / 2 END, 4) AS answer_correctness FROM e)"""
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, text, asked = F.col("conv_id") + F.col("turn"), F.coalesce("text", F.lit("")), F.coalesce("question", F.lit(""))
+    none = F.array().cast("array<string>")
+    rows = H.question_of(table(spark, sf_dir, "conversations")).select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), asked.alias("question"),
+        F.when(n % 7 == 0, "未查到相关内容").when(n % 11 == 0, "").otherwise(text).alias("answer"), F.when(n % 13 == 0, "").otherwise(F.substring(asked, 1, 40)).alias("reference"),
+        F.when(n % 5 == 0, none).otherwise(F.lit(["the", "and"])).alias("expect"), F.when(n % 6 == 0, D.REFUSAL_CATEGORY).alias("category"),
+        T.clean_list(F.when(n % 3 == 0, none).otherwise(F.array(F.substring(asked, 1, 20), F.substring(asked, 21, 20)))).alias("refs"),
+        T.clean_list(F.when(n % 4 == 0, none).otherwise(F.array(F.substring(text, 1, 30), asked))).alias("ret"),
+    )
+    vectors = {"q": "question", "a": "answer", "r": "reference"}
+    encoded = rows.withColumns({c: V.character_vector(of) for c, of in vectors.items()} | {"joined": V.character_vector(F.array_join("ret", "\n"))})
+    return encoded.withColumns({"ref_vectors": V.character_vectors("refs"), "ret_vectors": V.character_vectors("ret")})
+
+
+@query(f"WITH {SAMPLES} SELECT * FROM six")
+def six_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.six_metrics(_samples(spark, sf_dir))
+
+
+@query(f"WITH {SAMPLES} SELECT count(*) AS n, round(avg(context_precision), 3) AS context_precision, round(avg(context_recall), 3) AS context_recall, count(context_recall) AS judged FROM six")
+def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    means = E.means(six_metrics(spark, sf_dir), ["context_precision", "context_recall"])
+    return means.select("n", F.round("context_precision", 3).alias("context_precision"), F.round("context_recall", 3).alias("context_recall"), F.col("n_context_recall").alias("judged"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import records
 from lodestone.functions import text as T
-from lodestone.operators import history, retrieval, tables
+from lodestone.operators import evaluation, history, retrieval, tables
 from lodestone.operators import retrieval as R
 from lodestone.sources import documents as D
 from lodestone.sources.documents import sections
@@ -179,3 +179,28 @@ def test_sparse_search_equals_brute_force(spark, monkeypatch, at_once):
     frame = lambda rows, key: spark.createDataFrame(list(rows.items()), f"{key} long, words array<string>")
     found = R.bm25_search(frame(docs, "id").repartition(3), frame(asked, "query_id"), F.col("words"), F.col("words"), 5)
     assert {(r["query_id"], r["id"], r["rank"]) for r in found.collect()} == want
+
+
+def test_variants_take_the_best_score_and_fall_back_on_contained_terms(spark):
+    docs = spark.createDataFrame([(1, ["red", "fox"]), (2, ["red", "dog"]), (3, ["cat"]), (4, ["owl", "owl"])], "id long, words array<string>")
+    asked = spark.createDataFrame([(7, [["cat"], ["dog", "owl"]]), (8, [["red"]]), (9, [["none"]]), (10, [[]])], "query_id long, variants array<array<string>>")
+    found = {(r["query_id"], r["id"]): r["score"] for r in retrieval.sparse_search(docs, asked, F.col("words"), 10).collect()}
+    single = spark.createDataFrame([(1, ["cat"]), (2, ["dog", "owl"])], "query_id long, asked array<string>")
+    scores = {r["id"]: r["score"] for r in retrieval.bm25_search(docs, single, F.col("words"), F.col("asked"), 10).collect()}
+    assert {i: s for (q, i), s in found.items() if q == 7} == scores and set(scores) == {2, 3, 4}
+    assert {i: s for (q, i), s in found.items() if q == 8} == {1: 1.0, 2: 1.0}  # in half of all documents, so its weight is 0
+    assert not {q for q, _ in found} & {9, 10}
+
+
+def test_golden_findings_of_odd_items(spark):
+    rows = [
+        (1, " a ", '["x"]', "方剂", None, None), (2, "a", None, " ", "feedback", "[]"), (3, None, "not json", "方剂", "feedback", '["d", null]'),
+        (4, " ", "[]", "no", "seed", '{"a": 1}'), (5, "b", "[null]", "拒答", "feedback", "null"), (6, "b\t", "[]", "其他", " feedback", '["d"]'),
+    ]
+    items = spark.createDataFrame(rows, "id long, query string, expect string, category string, source string, relevant_docs string")
+    found = {r["id"]: r["errors"] for r in evaluation.golden_findings(items).collect()}
+    assert found == {
+        1: [], 2: ["duplicate_query", "expect_not_list", "empty_category"], 3: ["empty_query", "expect_not_list", "docs_not_strings"],
+        4: ["empty_query", "unknown_category", "no_expectation", "docs_not_strings"], 5: ["expect_blank_item", "docs_not_strings"], 6: ["duplicate_query"],
+    }
+    assert evaluation.golden_findings(items.limit(0)).count() == 0
