@@ -39,13 +39,17 @@ def means(scores: DataFrame, columns: list[str]) -> DataFrame:
     return scores.agg(F.count("*").alias("n"), *parts)
 
 
-def precision_recall(pairs: DataFrame, tau: float = 0.35) -> DataFrame:
-    """Of pairs (sample, ref, ret, sim): the share of retrieved texts near some
-    reference, and of references near some retrieved text."""
-    near = F.max((F.col("sim") >= tau).cast("int"))
-    precision = pairs.groupBy("sample", "ret").agg(near.alias("hit")).groupBy("sample").agg(F.round(F.avg("hit"), 6).alias("context_precision"))
-    recall = pairs.groupBy("sample", "ref").agg(near.alias("hit")).groupBy("sample").agg(F.round(F.avg("hit"), 6).alias("context_recall"))
-    return precision.join(recall, "sample")
+def precision_recall(samples: DataFrame, tau: float = NEAR, digits: int = 6) -> DataFrame:
+    """Adds to samples (refs, ret: lists of unit vectors, as long as the search
+    before allows) context_precision, the share of retrieved vectors near some
+    reference, and context_recall, the share of references near some retrieved
+    one. With nothing retrieved both are 0; without references both are null."""
+    hit = lambda one, others: F.exists(others, lambda o: F.round(V.dot(o, one), digits) >= tau)
+    share = lambda of, others: F.round(F.size(F.filter(of, lambda x: hit(x, others))) / F.size(of), digits)
+    none = F.array().cast("array<array<double>>")
+    refs, ret = F.coalesce("refs", none), F.coalesce("ret", none)
+    either = lambda of, others: F.when(F.size(refs) == 0, None).when(F.size(ret) == 0, 0.0).otherwise(share(of, others))
+    return samples.withColumns({"context_precision": either(ret, refs), "context_recall": either(refs, ret)})
 
 
 def golden_findings(golden: DataFrame) -> DataFrame:

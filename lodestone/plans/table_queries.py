@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.functions import vectors as V
 from lodestone.operators import evaluation as E
 from lodestone.operators import governance as G
 from lodestone.operators import graph as K
@@ -181,10 +180,10 @@ def trace_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").filter(O.sampled(F.col("event_id"), 0.1)).select("event_id", "event_type")
 
 
-@query("SELECT b.item_id, b.text FROM benchmark b UNION ALL SELECT doc_id + 1000000, text FROM documents WHERE text NOT IN (SELECT text FROM benchmark) AND source = 'src1'")
+@query("SELECT b.item_id, b.text FROM benchmark b UNION ALL SELECT doc_id + 1000000, text FROM documents WHERE text IS NULL OR text NOT IN (SELECT text FROM benchmark)")
 def golden_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     golden = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    more = table(spark, sf_dir, "documents").filter("source = 'src1'").select((F.col("doc_id") + 1_000_000).alias("item_id"), "text")
+    more = table(spark, sf_dir, "documents").select((F.col("doc_id") + 1_000_000).alias("item_id"), "text")
     return golden.unionByName(O.without(more, golden, "text").select("item_id", "text"))
 
 
@@ -428,18 +427,3 @@ def golden_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "benchmark").select("item_id", F.when(F.col("item_id") % 9 == 0, " ").otherwise(F.col("text")).alias("query"), F.when(F.col("item_id") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("x"))).alias("expect"), F.lit("c").alias("category"))
     copies = rows.groupBy("query").agg(F.count("*").alias("copies"))
     return rows.join(copies, "query").select("item_id", F.array_join(E.golden_errors(), ",").alias("errors"))
-
-
-@query("""
-WITH p AS (SELECT a.label AS sample, a.vec_id AS ref, b.vec_id AS ret, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS sim
-  FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 50 = 0 AND b.vec_id % 50 = 25),
-x AS (SELECT sample, round(avg(h), 6) AS context_precision FROM (SELECT sample, ret, max(CASE WHEN sim >= 0.35 THEN 1 ELSE 0 END) AS h FROM p GROUP BY ALL) GROUP BY sample),
-y AS (SELECT sample, round(avg(h), 6) AS context_recall FROM (SELECT sample, ref, max(CASE WHEN sim >= 0.35 THEN 1 ELSE 0 END) AS h FROM p GROUP BY ALL) GROUP BY sample)
-SELECT sample, context_precision, context_recall FROM x JOIN y USING (sample)
-""")
-def context_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sample's references are its label's ids at 0 by 50, the retrieved ones those at 25."""
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("label").alias("sample"), "vec_id", "embedding")
-    refs = vectors.filter("vec_id % 50 = 0").select("sample", F.col("vec_id").alias("ref"), F.col("embedding").alias("a"))
-    found = vectors.filter("vec_id % 50 = 25").select("sample", F.col("vec_id").alias("ret"), F.col("embedding").alias("b"))
-    return E.precision_recall(refs.join(found, "sample").select("sample", "ref", "ret", F.round(V.dot(F.col("a"), F.col("b")), 6).alias("sim")))

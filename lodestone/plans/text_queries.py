@@ -81,28 +81,30 @@ def clip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.clip(text).alias("clipped"), T.title_of(text).alias("title"), T.truncate(text, 200).alias("cut"))
 
 
-def _samples(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(SAMPLES)), "id int, q string")
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn after one of five questions, as the table's own texts have no such words."""
+    question = F.element_at(F.array(*[F.lit(q) for q in SAMPLES]), F.pmod(F.col("turn"), F.lit(len(SAMPLES))).cast("int") + 1)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(question, F.lit(" "), F.coalesce("text", F.lit(""))).alias("q"))
 
 
-_ROWS = ", ".join(f"({i}, '{q}')" for i, q in enumerate(SAMPLES))
-_VARIANTS = f"[q, translate(q, '{T.TRADITIONAL}', '{T.SIMPLIFIED}'), translate(q, '{T.SIMPLIFIED}', '{T.TRADITIONAL}')]"
+_ASKED = f"c AS (SELECT conv_id, turn, {SAMPLES}[CAST(turn % {len(SAMPLES)} AS INTEGER) + 1] || ' ' || coalesce(text, '') AS q FROM conversations)"
+_VARIANTS = f"list_distinct([q, translate(q, '{T.TRADITIONAL}', '{T.SIMPLIFIED}'), translate(q, '{T.SIMPLIFIED}', '{T.TRADITIONAL}')])"
 
 
-@query(f"""
-WITH v AS (SELECT id, unnest(list_distinct({_VARIANTS})) AS variant FROM (VALUES {_ROWS}) t(id, q)) SELECT CAST(id AS INTEGER) AS id, variant FROM v
-""")
+@query(f"WITH {_ASKED} SELECT conv_id, turn, unnest({_VARIANTS}) AS variant FROM c")
 def script_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _samples(spark).select("id", F.explode(T.script_variants(F.col("q"))).alias("variant"))
+    return _asked(spark, sf_dir).select("conv_id", "turn", F.explode(T.script_variants(F.col("q"))).alias("variant"))
+
+
+_REPLACED = [f"list_transform(list_filter(v, lambda x: contains(x, '{n}')), lambda x: replace(x, '{n}', '{o}'))" for n, others in SYNONYMS for o in others]
 
 
 @query(f"""
-WITH v AS (SELECT id, unnest(list_distinct({_VARIANTS})) AS v FROM (VALUES {_ROWS}) t(id, q)),
-s(needle, other) AS (VALUES {', '.join(f"('{n}', '{o}')" for n, os in SYNONYMS for o in os)})
-SELECT DISTINCT CAST(id AS INTEGER) AS id, variant FROM (SELECT id, v AS variant FROM v UNION ALL SELECT id, replace(v, needle, other) FROM v, s WHERE contains(v, needle))
+WITH {_ASKED}, w AS (SELECT conv_id, turn, {_VARIANTS} AS v FROM c)
+SELECT conv_id, turn, unnest(list_distinct(flatten([v, {', '.join(_REPLACED)}]))) AS variant FROM w
 """)
 def synonym_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _samples(spark).select("id", F.explode(T.expand_synonyms(F.col("q"), SYNONYMS)).alias("variant"))
+    return _asked(spark, sf_dir).select("conv_id", "turn", F.explode(T.expand_synonyms(F.col("q"), SYNONYMS)).alias("variant"))
 
 
 @query(r"""

@@ -204,3 +204,11 @@ def test_golden_findings_of_odd_items(spark):
         4: ["empty_query", "unknown_category", "no_expectation", "docs_not_strings"], 5: ["expect_blank_item", "docs_not_strings"], 6: ["duplicate_query"],
     }
     assert evaluation.golden_findings(items.limit(0)).count() == 0
+
+
+def test_precision_recall_counts_near_vectors_and_keeps_samples_with_an_empty_side(spark):
+    x, y = [1.0, 0.0], [0.0, 1.0]
+    rows = [(1, [x, y], [x, x, y]), (2, [x, y], [x, x]), (3, [x], [y]), (4, [x], None), (5, [], [x]), (6, None, None)]
+    samples = spark.createDataFrame(rows, "sample int, refs array<array<double>>, ret array<array<double>>")
+    found = {r["sample"]: (r["context_precision"], r["context_recall"]) for r in evaluation.precision_recall(samples).collect()}
+    assert found == {1: (1.0, 1.0), 2: (1.0, 0.5), 3: (0.0, 0.0), 4: (0.0, 0.0), 5: (None, None), 6: (None, None)}
