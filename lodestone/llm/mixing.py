@@ -21,12 +21,22 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_COPIES = 2
 RANK_BUCKET = 500
+SALTS = 16
 
 
 def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("bigint")
 
 
+def _source_key(source: Column) -> Column:
+    """Tells a null source from every other by a value that joins can compare."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
+
+
+def _source_of(key: str) -> str | None:
+    return key[1:] if key else None
+
+
 def source_targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float = SHARE, copies: int = MAX_COPIES) -> dict:
     """Word targets by source: the budget is dealt by weight, a target stops at
     `copies` times its source, and what is cut off is dealt again."""
@@ -105,6 +115,10 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, copies:
     """One row per document: doc_id, size, source_size, target, taken, and
     `row_col` where given, which tells rows that repeat an id apart.
 
+    A length of a source may hold a third of all documents, so they meet its
+    plan by salt, in a merge join whatever the plan's size: it grows with the
+    sources, and its stored size says little of what it takes in memory.
+
     `taken` is the document's size times the copies the mix takes of it, 0 to
     `copies`. The catalogue of sources, one row each, passes through the driver.
 
@@ -117,19 +131,20 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, copies:
     """
     spark = docs.sparkSession
     row = [row_col] if row_col else []
-    sized = staged(docs.select(*row, F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "mix-sizes")
+    sized = staged(docs.select(*row, F.col(id_col).alias("doc_id"), _source_key(F.col(source_col)).alias("source"), word_count(F.col(text_col)).alias("size")), "mix-sizes")
     lengths = staged(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-lengths")
-    totals = [(r["source"], int(r["words"])) for r in lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words")).collect()]
+    totals = [(_source_of(r["source"]), int(r["words"])) for r in lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words")).collect()]
     targets = source_targets(totals, weights, share, copies)
-    catalogue = spark.createDataFrame([(s, n, float(targets[s])) for s, n in totals], "source string, source_size long, target double")
+    catalogue = spark.createDataFrame([("" if s is None else f"={s}", n, float(targets[s])) for s, n in totals], "source string, source_size long, target double")
     plan = (
-        lengths.join(catalogue, lengths["source"].eqNullSafe(catalogue["source"]))
-        .select(lengths["source"], "size", "n", "target", "source_size")
+        lengths.join(catalogue, "source")
         .groupBy("source")
         .applyInPandas(_fit_source, "source string, size long, n long, target double, source_size long, whole long, extra long")
     )
-    plan = staged(plan.withColumn("buckets", F.ceil(F.col("n") / RANK_BUCKET)), "mix-plan").withColumnsRenamed({"source": "plan_source", "size": "plan_size"})
-    dealt = sized.join(plan, (F.col("size") == F.col("plan_size")) & F.col("source").eqNullSafe(F.col("plan_source"))).withColumn("draw", F.xxhash64("doc_id", F.lit(seed)))
+    plan = staged(plan.withColumn("buckets", F.ceil(F.col("n") / RANK_BUCKET)), "mix-plan")
+    drawn = sized.withColumn("draw", F.xxhash64("doc_id", F.lit(seed))).withColumn("salt", F.pmod(F.xxhash64("doc_id", *row), F.lit(SALTS)).cast("int"))
+    salted = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = drawn.join(salted.hint("merge"), ["source", "size", "salt"]).drop("salt")
     dealt = dealt.withColumn("bucket", F.pmod(F.call_function("shiftright", F.col("draw"), F.lit(20)), F.col("buckets")))
     # A length of a hot source may hold a third of all rows: it is ranked bucket
     # by bucket, after the sizes of the buckets before.
@@ -139,12 +154,10 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, copies:
         .groupBy(*key)
         .agg(F.count("*").alias("in_bucket"))
         .withColumn("ahead", F.expr("sum(in_bucket) OVER (PARTITION BY source, size ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"))
-        .select(*[F.col(c).alias(f"a_{c}") for c in key], F.coalesce("ahead", F.lit(0)).alias("ahead"))
-    )
-    ranked = (
-        dealt.withColumn("place", F.expr(f"row_number() OVER (PARTITION BY source, size, bucket ORDER BY {', '.join(['draw', 'doc_id', *row])})"))
-        .join(ahead, F.col("source").eqNullSafe(F.col("a_source")) & (F.col("size") == F.col("a_size")) & (F.col("bucket") == F.col("a_bucket")), "left")
+        .select(*key, F.coalesce("ahead", F.lit(0)).alias("ahead"))
     )
+    place = F.expr(f"row_number() OVER (PARTITION BY source, size, bucket ORDER BY {', '.join(['draw', 'doc_id', *row])})")
+    ranked = dealt.withColumn("place", place).join(ahead.hint("merge"), key, "left")
     one_more = F.when(F.col("ahead").isNull(), F.col("extra") > 0).otherwise(F.col("ahead") + F.col("place") <= F.col("extra"))
     return ranked.select(*row, "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + one_more.cast("long"))).alias("taken"))
 
