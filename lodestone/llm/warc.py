@@ -2,9 +2,16 @@
 
 ARC 1 and 2 records are found by their version-specific header line and the
 length it declares. Each becomes a WARC 1.1 record with an identifier, a
-timestamp, a type and digests made from what the old header holds. Spark's text
-sink writes the WARC files: the record separator that the format asks for is
-the sink's line separator.
+timestamp, a type and digests made from what the old header holds. Records are
+gathered into files of about FILE_CHARS characters, and Spark's text sink writes
+each as one row, so a file is never much larger than one task can hold: a record
+longer than that stands alone in its file.
+
+Defined cases: a null or empty html has an empty payload, which is a response of
+0 bytes; a null url is written as `-`; repeated rows are records of their own;
+among equal payloads rows of the largest id are all responses, a null id only
+where no other row has one; an empty table gives an empty archive and an empty
+result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +28,7 @@ from pyspark.sql import functions as F
 from lodestone.session import discard, new_path, table
 
 LEAST_BYTES = 1000
-RECORDS_PER_FILE = 1000
+FILE_CHARS = 16_000_000
 ARC_DATE = "20240101000000"
 SALTS = 32
 
@@ -30,40 +37,48 @@ ARC_FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
+RECORD_END = "\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+def _files(records: Iterator[str], between: str, opening: str = "") -> Iterator[pd.DataFrame]:
+    """Texts of files: records one after another, after `opening` in each, a
+    new file where the next record would make it longer than FILE_CHARS."""
+    parts, chars = [], 0
+    for record in records:
+        if parts and chars + len(record) > FILE_CHARS:
+            yield pd.DataFrame({"value": [opening + between.join(parts)]})
+            parts, chars = [], 0
+        parts.append(record)
+        chars += len(record)
+    if parts:
+        yield pd.DataFrame({"value": [opening + between.join(parts)]})
+
+
 def write_arc(pages: DataFrame, path: str, version: int = 1, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """Write pages as gzipped ARC files of at most RECORDS_PER_FILE records.
+    """Write pages as gzipped ARC files, each with a version block of its own.
 
     The page's id travels in an HTTP header of its record. Null urls are
     written as `-`; white space in a url is percent-encoded, as the header line
     is split at blanks; a null html has an empty payload.
     """
-    fields = ARC_FIELDS[version]
+    extra = " 200 - - 0 -" if version == 2 else ""
+    about = f"{version} 0 lodestone\n{ARC_FIELDS[version]}\n"
+    opening = f"filedesc://lodestone.arc 0.0.0.0 {ARC_DATE} text/plain{extra} {len(about)}\n{about}\n"
 
-    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        written = 0
+    def records(batches: Iterator[pd.DataFrame]) -> Iterator[str]:
         for batch in batches:
-            out = []
             for page_id, url, html in zip(batch["page_id"], batch["url"], batch["html"], strict=True):
-                if written % RECORDS_PER_FILE == 0:
-                    text = f"{version} 0 lodestone\n{fields}\n"
-                    extra = " 200 - - 0 -" if version == 2 else ""
-                    out.append(f"filedesc://lodestone.arc 0.0.0.0 {ARC_DATE} text/plain{extra} {len(text)}\n{text}")
-                    written += 1
                 html = html if isinstance(html, str) else ""
-                payload = html.encode("utf-8", "surrogatepass")
+                size = len(html.encode("utf-8", "surrogatepass"))
                 known = "" if pd.isna(page_id) else f"X-Page-Id: {int(page_id)}\r\n"
-                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{known}Content-Length: {len(payload)}\r\n\r\n"
+                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{known}Content-Length: {size}\r\n\r\n"
                 address = "".join(f"%{ord(c):02X}" if c <= " " else c for c in url) if isinstance(url, str) and url else "-"
-                extra = " 200 - - 0 -" if version == 2 else ""
-                out.append(f"{address} 0.0.0.0 {ARC_DATE} text/html{extra} {len(head) + len(payload)}\n{head}{html}")
-                written += 1
-            yield pd.DataFrame({"value": out})
+                yield f"{address} 0.0.0.0 {ARC_DATE} text/html{extra} {len(head) + size}\n{head}{html}"
 
     rows = pages.select(F.col(id_col).cast("string").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    rows.mapInPandas(records, "value string").write.option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
+    files = rows.mapInPandas(lambda batches: _files(records(batches), "\n", opening), "value string")
+    files.write.option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
 
 
 def arc_records(data: bytes) -> Iterator[tuple[str, str, str, str, bytes]]:
@@ -158,7 +173,8 @@ def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, least_bytes:
         F.lit("\r\n"),
         F.col("block"),
     )
-    rows.select(text.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(warc_path)
+    files = rows.select(text.alias("value")).mapInPandas(lambda batches: _files((r for b in batches for r in b["value"]), RECORD_END), "value string")
+    files.write.option("lineSep", RECORD_END).option("maxRecordsPerFile", 1).option("compression", "gzip").text(warc_path)
 
 
 def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:

@@ -178,6 +178,22 @@ def test_archives_round_trip(spark, tmp_path, version):
     assert {r["url"] for r in found} >= {"-", "http://a/%20b"} and len({r["record"] for r in found}) == len(rows)
 
 
+def test_archive_files_end_at_a_number_of_characters(monkeypatch):
+    monkeypatch.setattr(warc, "FILE_CHARS", 10)
+    records = ["abcd", "efgh", "i" * 25, "", "jkl", "mnopqrs", "t"]
+    files = [f["value"][0] for f in warc._files(iter(records), "|", "#")]
+    assert files == ["#abcd|efgh", "#" + "i" * 25, "#|jkl|mnopqrs", "#t"]
+    assert "|".join(f[1:] for f in files).split("|") == records
+    assert list(warc._files(iter([]), "|")) == []
+
+
+def test_archives_of_an_empty_table(spark, tmp_path):
+    pages = spark.createDataFrame([], "page_id long, url string, html string, body string")
+    warc.write_arc(pages, str(tmp_path / "arc"))
+    warc.arc_to_warc(spark, str(tmp_path / "arc"), str(tmp_path / "warc"))
+    assert warc.read_warc(spark, str(tmp_path / "warc")).collect() == []
+
+
 def test_secrets(spark):
     held = secret_scan.labelled_findings(400, seed=99)
     forest = secret_scan.train_forest(spark)
