@@ -137,7 +137,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, copies:
     targets = source_targets(totals, weights, share, copies)
     catalogue = spark.createDataFrame([("" if s is None else f"={s}", n, float(targets[s])) for s, n in totals], "source string, source_size long, target double")
     plan = (
-        lengths.join(catalogue, "source")
+        lengths.join(catalogue.hint("merge"), "source")  # its partitions are those that the groups need
         .groupBy("source")
         .applyInPandas(_fit_source, "source string, size long, n long, target double, source_size long, whole long, extra long")
     )
