@@ -111,32 +111,30 @@ def centrality_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.groupBy("label").agg(F.max_by(F.struct("vec_id", "centrality"), F.struct("centrality", -F.col("vec_id"))).alias("s")).select("label", "s.*")
 
 
-REFERENCES = 3  # of each label, its most central vectors
+WIDE, REFERENCES = 50, 3  # a query's references: the first of its own label among the wide hits
 
 
 @query(f"""
-WITH {DENSE}, m AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM embeddings, range(1, 65) r(i) GROUP BY label, i),
-n AS (SELECT label, sqrt(sum(x * x)) AS size FROM m GROUP BY label),
-c AS (SELECT m.label, list(x / size ORDER BY i) AS centre FROM m JOIN n USING (label) GROUP BY m.label),
-s AS (SELECT e.label, vec_id, embedding, round(list_dot_product(CAST(embedding AS DOUBLE[]), centre), 6) AS centrality FROM embeddings e JOIN c USING (label)),
-refs AS (SELECT label, vec_id AS ref, embedding AS a FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY centrality DESC, vec_id) AS r FROM s) WHERE r <= {REFERENCES}),
-asked AS (SELECT vec_id AS query_id, label FROM embeddings WHERE vec_id % {EACH} = 0),
-ret AS (SELECT query_id, id, embedding AS b FROM dense JOIN embeddings ON vec_id = id WHERE id <> query_id AND score >= 0.35),
-pairs AS (SELECT query_id, ref, id, round(list_dot_product(CAST(a AS DOUBLE[]), CAST(b AS DOUBLE[])), 6) >= 0.35 AS near FROM asked JOIN refs USING (label) JOIN ret USING (query_id)),
+WITH {DENSE}, wide AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM p) WHERE rank <= {WIDE} AND id <> query_id),
+hits AS (SELECT w.*, e.embedding, e.label = q.label AS same FROM wide w JOIN embeddings e ON e.vec_id = w.id JOIN embeddings q ON q.vec_id = w.query_id),
+refs AS (SELECT query_id, id AS ref, embedding AS a FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r FROM hits WHERE same) WHERE r <= {REFERENCES}),
+ret AS (SELECT query_id, id, embedding AS b FROM hits WHERE rank <= {K} AND score >= 0.35),
+pairs AS (SELECT query_id, ref, id, round(list_dot_product(CAST(a AS DOUBLE[]), CAST(b AS DOUBLE[])), 6) >= 0.35 AS near FROM refs JOIN ret USING (query_id)),
 x AS (SELECT query_id, round(avg(CAST(h AS INTEGER)), 6) AS pre FROM (SELECT query_id, id, bool_or(near) AS h FROM pairs GROUP BY ALL) GROUP BY query_id),
 y AS (SELECT query_id, round(avg(CAST(h AS INTEGER)), 6) AS rec FROM (SELECT query_id, ref, bool_or(near) AS h FROM pairs GROUP BY ALL) GROUP BY query_id)
-SELECT query_id, CASE WHEN label IS NOT NULL THEN coalesce(pre, 0.0) END AS context_precision, CASE WHEN label IS NOT NULL THEN coalesce(rec, 0.0) END AS context_recall
-FROM asked LEFT JOIN x USING (query_id) LEFT JOIN y USING (query_id)
+SELECT v.vec_id AS query_id, CASE WHEN known THEN coalesce(pre, 0.0) END AS context_precision, CASE WHEN known THEN coalesce(rec, 0.0) END AS context_recall
+FROM embeddings v LEFT JOIN (SELECT DISTINCT query_id, true AS known FROM refs) r ON r.query_id = v.vec_id LEFT JOIN x ON x.query_id = v.vec_id LEFT JOIN y ON y.query_id = v.vec_id
+WHERE v.vec_id % {EACH} = 0
 """)
 def context_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each query finds over all vectors against the references of its label."""
-    vectors = table(spark, sf_dir, "embeddings")
-    central = vectors.join(_centroids(vectors), "label").select("label", "vec_id", "embedding", F.round(V.dot(F.col("embedding"), F.col("centre")), 6).alias("centrality"))
-    refs = R.ranked(central, REFERENCES, "centrality DESC, vec_id", "label").groupBy("label").agg(F.collect_list(F.col("embedding").cast("array<double>")).alias("refs"))
-    hits = _dense(spark, sf_dir).filter("id <> query_id AND score >= 0.35").select("query_id", F.col("id").alias("vec_id"))
-    ret = hits.join(vectors, "vec_id").groupBy("query_id").agg(F.collect_list(F.col("embedding").cast("array<double>")).alias("ret"))
-    asked = vectors.filter(f"vec_id % {EACH} = 0").select(F.col("vec_id").alias("query_id"), "label")
-    return E.precision_recall(asked.join(refs, "label", "left").join(ret, "query_id", "left")).select("query_id", "context_precision", "context_recall")
+    """What each query finds over all vectors against its nearest ones of its own label."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vector"))
+    asked = vectors.filter(f"vec_id % {EACH} = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("asked_label"))
+    hits = _dense(spark, sf_dir, WIDE).filter("id <> query_id").withColumnRenamed("id", "vec_id").join(vectors, "vec_id").join(asked, "query_id")
+    retrieved = F.when((F.col("rank") <= K) & (F.col("score") >= 0.35), F.col("vector"))
+    same = F.array_sort(F.collect_list(F.when(F.col("label") == F.col("asked_label"), F.struct("rank", "vector"))))
+    lists = hits.groupBy("query_id").agg(F.collect_list(retrieved).alias("ret"), F.slice(same, 1, REFERENCES)["vector"].alias("refs"))
+    return E.precision_recall(asked.join(lists, "query_id", "left")).select("query_id", "context_precision", "context_recall")
 
 
 def _corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
