@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lodestone.llm.code_search import OP8_SQL, op8_code_search
 from lodestone.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from lodestone.llm.importance import OP13_SQL, op13_importance
 from lodestone.llm.language_id import op2_language_id
 from lodestone.llm.mixing import op3_source_mix
 from lodestone.llm.piece_codec import op4_sentencepiece
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_code_search": op8_code_search,
     "op9_url_filter": op9_url_filter,
     "op10_repeated_spans": op10_repeated_spans,
+    "op13_importance": op13_importance,
 }
 
-SQL = {"op1_exact_dedup": OP1_SQL, "op5_warc": OP5_SQL, "op8_code_search": OP8_SQL, "op9_url_filter": OP9_SQL}
+SQL = {"op1_exact_dedup": OP1_SQL, "op5_warc": OP5_SQL, "op8_code_search": OP8_SQL, "op9_url_filter": OP9_SQL, "op13_importance": OP13_SQL}
