@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -67,7 +68,7 @@ class Tokens:
 
     def __init__(self, path: str):
         self.known: dict[str, int] = {}
-        self.odd = None
+        self.specials = self.cut = None
         if path.endswith(".json"):
             from tokenizers import Tokenizer
 
@@ -76,7 +77,9 @@ class Tokens:
             self.library.no_padding()
             if margin(path) is not None:
                 self.cut = regex.compile(PRE_TOKEN)
-                self.odd = regex.compile("|".join([*(regex.escape(t.content) for t in self.library.get_added_tokens_decoder().values()), self._unverified()]))
+                self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
+                self.odd = regex.compile(self._unverified())
+                self.letters = {b: self.library.pre_tokenizer.pre_tokenize_str(chr(b))[0][0][-1] for b in range(128)} | self._upper_half()
         else:
             import sentencepiece
 
@@ -86,6 +89,15 @@ class Tokens:
     def encoded_lengths(self, texts: list[str]) -> list[int]:
         return [len(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _upper_half(self) -> dict[int, str]:
+        """The letters that stand for bytes beyond ASCII, read from characters that hold them."""
+        found = {}
+        for c in map(chr, [*range(0x80, 0x800), *range(0x800, 0x10000, 0x800), *range(0x10000, 0x110000, 0x8000)]):
+            if not "\ud800" <= c <= "\udfff":
+                shown = "".join(x for x, _ in self.library.pre_tokenizer.pre_tokenize_str(c))
+                found.update(zip(c.encode(), shown, strict=True))
+        return found
+
     def _unverified(self) -> str:
         """A pattern of the characters that the library may cut otherwise."""
         wrong = []
@@ -93,30 +105,50 @@ class Tokens:
             text = f"a{c}{c}1 {c}\n{c}'{c}  {c}"
             if self.cut.findall(text) != [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]:
                 wrong.append(regex.escape(c))
-        return rf"[^\x00-\u{VERIFIED - 1:04x}]" + (f"|[{''.join(wrong)}]" if wrong else "")
+        return rf"[^\x00-\u{VERIFIED - 1:04x}{'' if not wrong else ']|[' + ''.join(wrong)}]"
 
-    def counts(self, texts: list[str]) -> list[int]:
-        """Tokens of whole texts. Pre-tokens are encoded once each; texts with
-        special strings or unverified characters go to the library whole."""
-        if self.odd is None:
-            return self.encoded_lengths(texts)
+    def _parts(self, texts: list[str]) -> list[list[str] | None]:
+        """The pre-tokens of each text, whose counts are then known; null for
+        texts with special strings or unverified characters."""
         if len(self.known) > KNOWN:
             self.known.clear()
-        parts = [None if self.odd.search(t) else self.cut.findall(t) for t in texts]
-        new = list(set().union(*(p for p in parts if p is not None)) - self.known.keys())
-        self.known.update(zip(new, self.encoded_lengths(new), strict=True))
+        free = [not any(s in t for s in self.specials) and (t.isascii() or not self.odd.search(t)) for t in texts]
+        parts = [self.cut.findall(t) if f else None for t, f in zip(texts, free, strict=True)]
+        merged, letters = self.library.model.tokenize, self.letters
+        for p in set().union(*(p for p in parts if p is not None)) - self.known.keys():
+            self.known[p] = len(merged(p.encode().decode("latin-1").translate(letters)))
+        return parts
+
+    def counts(self, texts: list[str]) -> list[int]:
+        """Tokens of whole texts. Pre-tokens are encoded once each; texts that
+        can't be cut here go to the library whole."""
+        if self.cut is None:
+            return self.encoded_lengths(texts)
+        parts = self._parts(texts)
         whole = iter(self.encoded_lengths([t for t, p in zip(texts, parts, strict=True) if p is None]))
         return [next(whole) if p is None else sum(map(self.known.__getitem__, p)) for p in parts]
 
     def starts(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         """Of each text where its pre-tokens start, how many tokens lie before
         each start, and how many there are."""
-        for e in self.library.encode_batch(texts, add_special_tokens=False):
+        for text, parts in zip(texts, self._parts(texts), strict=True):
+            if parts is not None:
+                places = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+                before = np.cumsum(np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts)))
+                yield np.r_[0, places[:-1]], np.r_[0, before[:-1]], int(before[-1])
+                continue
+            e = self.library.encode(text, add_special_tokens=False)
             words = np.array(e.word_ids, dtype=np.int64)
             first = np.flatnonzero(np.diff(words, prepend=-1))
             yield np.array([a for a, _ in e.offsets], dtype=np.int64)[first], first, len(words)
 
 
+@lru_cache(maxsize=2)
+def tokens_of(path: str) -> Tokens:
+    """Kept in a Python worker for its next tasks, with the pre-tokens it knows."""
+    return Tokens(path)
+
+
 CHUNK_ROW = "row long, doc_id {id}, n_bytes long, chunk long, start long, last boolean, text string"
 SUMMARY = "row long, doc_id {id}, n_bytes long, chunk long, last boolean, left_at array<long>, left_n array<long>, right_at array<long>, right_n array<long>, n long"
 
@@ -147,7 +179,7 @@ def _summaries(chunks: DataFrame, path: str, chunk: int, overlap: int, end_margi
     kind = chunks.schema["doc_id"].dataType.simpleString()
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(path)
+        tokens = tokens_of(path)
         for batch in batches:
             for at in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(at, TOGETHER)
@@ -213,7 +245,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, huge: int = HUG
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(path)
+        tokens = tokens_of(path)
         for batch in batches:
             n = []
             for at in range(0, batch.num_rows, TOGETHER):
