@@ -11,6 +11,7 @@ from lodestone.llm.piece_codec import op4_sentencepiece
 from lodestone.llm.repeated_spans import op10_repeated_spans
 from lodestone.llm.secret_scan import op6_secret_scan
 from lodestone.llm.simhash import op7_simhash
+from lodestone.llm.spelling import OP11_SQL, op11_spelling
 from lodestone.llm.token_counts import op12_token_counts
 from lodestone.llm.url_filter import OP9_SQL, op9_url_filter
 from lodestone.llm.warc import OP5_SQL, op5_warc
@@ -26,8 +27,9 @@ QUERIES = {
     "op8_code_search": op8_code_search,
     "op9_url_filter": op9_url_filter,
     "op10_repeated_spans": op10_repeated_spans,
+    "op11_spelling": op11_spelling,
     "op12_token_counts": op12_token_counts,
     "op13_importance": op13_importance,
 }
 
-SQL = {"op1_exact_dedup": OP1_SQL, "op5_warc": OP5_SQL, "op8_code_search": OP8_SQL, "op9_url_filter": OP9_SQL, "op13_importance": OP13_SQL}
+SQL = {"op1_exact_dedup": OP1_SQL, "op5_warc": OP5_SQL, "op8_code_search": OP8_SQL, "op9_url_filter": OP9_SQL, "op11_spelling": OP11_SQL, "op13_importance": OP13_SQL}
