@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.numbering import numbered
+
 
 def expand(nodes: DataFrame, edges: DataFrame, starts: DataFrame, out: bool = True, limit: int = 20) -> DataFrame:
     """One hop from (label, id) starts: relation and neighbour, `limit` each by
@@ -60,3 +62,12 @@ def repeated_keys(nodes: DataFrame) -> DataFrame:
 def entity_ids(nodes: DataFrame) -> DataFrame:
     """A stable id per (label, name): a hash, so no global order is needed."""
     return nodes.select("label", "name").distinct().withColumn("entity", F.concat(F.lit("E"), F.substring(F.md5(F.concat_ws(":", "label", "name").cast("binary")), 1, 12)))
+
+
+def numbered_entities(rows: DataFrame, seq: str = "seq") -> DataFrame:
+    """(label, name, entity): E1, E2 ... in the order in which `rows` (label,
+    name, seq) first show each entity; ties by label and name. The order spans
+    the whole table, but no task holds more than its range of it."""
+    first = rows.groupBy("label", "name").agg(F.min(seq).alias("first"))
+    placed = numbered(first, [F.col("first"), F.col("label"), F.col("name")])
+    return placed.select("label", "name", F.concat(F.lit("E"), (F.col("number") + 1).cast("string")).alias("entity"))

@@ -9,6 +9,7 @@ from lodestone.functions import records as D
 from lodestone.functions import text as T
 from lodestone.functions import vectors as V
 from lodestone.operators import history as H
+from lodestone.operators.numbering import numbered
 from lodestone.operators.retrieval import dropoff_cut, ranked
 
 PLACEHOLDER = "新对话"  # fixed value: the title of conversations that nobody has named
@@ -111,11 +112,15 @@ def memory_context(asked: DataFrame, facts: DataFrame, profiles: DataFrame, turn
 def import_batches(edges: DataFrame, nodes: DataFrame, done: DataFrame, size: int = 500) -> DataFrame:
     """Relation batches (relation, src_label, dst_label, batch) still to be
     imported: edges in order of their ends, `size` each, with how many of them
-    will be lost for want of an end. Batches of `done` are skipped."""
-    by = ["relation", "src_label", "dst_label"]
-    place = F.expr(f"row_number() OVER (PARTITION BY {', '.join(by)} ORDER BY src, dst)")
-    known = lambda label, end: nodes.select(F.col("label").alias(label), F.col("id").alias(end), F.lit(1).alias(f"has_{end}"))
-    placed = edges.withColumn("batch", ((place - 1) / size).cast("int")).join(known("src_label", "src"), ["src_label", "src"], "left").join(known("dst_label", "dst"), ["dst_label", "dst"], "left")
+    will be lost for want of an end; nodes may repeat. Batches of `done` are
+    skipped. Edges are numbered over the whole table, and a relation's own
+    numbers begin at its first one, so no task holds a relation."""
+    by, ends = ["relation", "src_label", "dst_label"], nodes.select("label", "id").distinct()
+    known = lambda label, end: ends.select(F.col("label").alias(label), F.col("id").alias(end), F.lit(1).alias(f"has_{end}"))
+    placed = numbered(edges.select(*by, "src", "dst"), [F.col(c) for c in (*by, "src", "dst")], "place")
+    first = placed.groupBy(*by).agg(F.min("place").alias("first"))
+    placed = placed.join(first, by).withColumn("batch", ((F.col("place") - F.col("first")) / size).cast("int"))
+    placed = placed.join(known("src_label", "src"), ["src_label", "src"], "left").join(known("dst_label", "dst"), ["dst_label", "dst"], "left")
     counts = placed.groupBy(*by, "batch").agg(F.count("*").alias("edges"), F.count_if(F.col("has_src").isNull() | F.col("has_dst").isNull()).alias("lost"))
     return counts.join(done.select(*by, "batch").distinct(), [*by, "batch"], "left_anti")
 

@@ -18,7 +18,7 @@ from lodestone.operators import history as H
 from lodestone.operators import retrieval as R
 from lodestone.operators import sessions as S
 from lodestone.plans.table_queries import GRAPH, _graph
-from lodestone.session import table
+from lodestone.session import staged, table
 
 QUERIES, SQL = {}, {}
 NOW = datetime(2024, 6, 1)
@@ -176,9 +176,8 @@ FROM b WHERE batch % 2 = 0 GROUP BY ALL
 """)
 def import_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _graph(spark, sf_dir)
-    labels = edges.select("relation", "src_label", "dst_label").distinct()
-    done = labels.crossJoin(spark.range(1, 100_000, 2).select(F.col("id").cast("int").alias("batch")))  # a checkpoint of every second batch; one row a relation
-    return S.import_batches(edges, nodes, done)
+    batches = staged(S.import_batches(edges, nodes, edges.limit(0).withColumn("batch", F.lit(0))), "batches")
+    return S.import_batches(edges, nodes.unionByName(nodes), batches.filter("batch % 2 = 1"))  # every second batch is done; each node stands twice
 
 
 @query("""
