@@ -162,27 +162,6 @@ def bm25_search(docs: DataFrame, queries: DataFrame, words: Column, query_words:
     return ranked(found, k)
 
 
-def contained_terms(docs: DataFrame, queries: DataFrame, words: Column, query_words: Column) -> DataFrame:
-    """The fallback score: how many of a query's distinct terms of two
-    characters or more a document holds as words."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(query_words)).alias("term")).filter(F.length("term") >= 2)
-    held = docs.select("id", F.explode(F.array_distinct(words)).alias("term"))
-    return asked.join(held, "term").groupBy("query_id", "id").agg(F.count("*").cast("double").alias("score"))
-
-
-def sparse_search(docs: DataFrame, queries: DataFrame, words: Column, k: int) -> DataFrame:
-    """The k best documents (id) of each query (query_id, and the word lists of
-    its variants), by the best BM25 score of any variant; a query of which no
-    variant scores takes the count of contained terms instead. A document among
-    the k best is among the k best of the variant that scores it highest, so
-    variants are searched one by one."""
-    each = staged(queries.select(F.col("query_id").alias("whole"), F.explode("variants").alias("asked")).withColumn("query_id", F.monotonically_increasing_id()), "query-variants")
-    hits = bm25_search(docs, each, words, F.col("asked"), k).join(each.select("query_id", "whole"), "query_id")
-    best = staged(hits.groupBy(F.col("whole").alias("query_id"), "id").agg(F.max("score").alias("score")), "sparse-best")
-    left = queries.join(best, "query_id", "left_anti").select("query_id", F.flatten("variants").alias("asked"))
-    return ranked(best.unionByName(contained_terms(docs, left, words, F.col("asked"))), k)
-
-
 def rrf(lists: list[DataFrame], weights: list[float] | None = None, k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion (query_id, id, rrf_score) of ranked hits; ranks
     count from 1 here, so k stands for k + 1 from 0."""

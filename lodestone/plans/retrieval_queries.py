@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.functions import vectors as V
+from lodestone.functions.segment import segmenter
+from lodestone.operators import containment as C
 from lodestone.operators import evaluation as E
 from lodestone.operators import retrieval as R
 from lodestone.session import spread, staged, table
@@ -171,30 +173,70 @@ def bm25_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.term_weights(docs, F.col("words")).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-@query(f"""
-WITH {SPARSE}, held AS (SELECT query_id, id, CAST(count(*) AS DOUBLE) AS score FROM asked JOIN posted USING (term) WHERE length(term) >= 2 GROUP BY query_id, id)
-SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM held) WHERE rank <= {K}
-""")
+HELD = r"""
+qt AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '\w+')) AS term FROM benchmark),
+held AS (SELECT query_id, doc_id AS id, CAST(count(*) AS DOUBLE) AS score FROM qt JOIN documents ON contains(lower(text), term) WHERE length(term) >= 2 GROUP BY ALL)"""
+
+
+@query(f"WITH {HELD} SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM held) WHERE rank <= {K}")
 def term_contains_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, asked = _corpus(spark, sf_dir)
-    return R.ranked(R.contained_terms(docs, asked, F.col("words"), F.col("asked")), K)
+    """By substrings, so a term also counts inside a longer word."""
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("text")))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.tokens(F.col("text")).alias("terms"))
+    return C.contained_search(docs, asked, K)
 
 
 VARIED = SPARSE.replace("asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '\\w+')) AS term FROM benchmark) GROUP BY query_id, term)", r"""
-variants AS (SELECT item_id AS query_id, item_id * 2 AS v, CASE WHEN item_id % 7 = 0 THEN [] ELSE regexp_extract_all(lower(text), '\w+') END AS asked FROM benchmark UNION ALL
+variants AS (SELECT item_id AS query_id, item_id * 2 AS v, CASE WHEN item_id % 7 = 0 THEN [text[5:12]] ELSE regexp_extract_all(lower(text), '\w+') END AS asked FROM benchmark UNION ALL
   SELECT item_id, item_id * 2 + 1, CASE WHEN item_id % 7 = 0 THEN [] ELSE regexp_extract_all(lower(text), '\w+')[1:5] END FROM benchmark),
 asked AS (SELECT v AS query_id, term, count(*) AS times FROM (SELECT v, unnest(asked) AS term FROM variants) GROUP BY ALL)""")
 
 
 @query(f"""
-WITH {VARIED}, best AS (SELECT v.query_id, id, max(score) AS score FROM scored JOIN variants v ON v.v = scored.query_id WHERE score > 0 GROUP BY ALL)
+WITH {VARIED}, best AS (SELECT v.query_id, id, max(score) AS score FROM scored JOIN variants v ON v.v = scored.query_id WHERE score > 0 GROUP BY ALL UNION ALL
+  SELECT item_id, doc_id, 1.0::DOUBLE FROM benchmark b JOIN documents d ON contains(d.text, b.text[5:12]) WHERE item_id % 7 = 0)
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM best) WHERE rank <= {K}
 """)
 def sparse_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every item as a whole and by its first five words; every seventh has no word and so no hit."""
-    docs, asked = _corpus(spark, sf_dir)
-    words = F.when(F.col("query_id") % 7 == 0, F.array().cast("array<string>")).otherwise(F.col("asked"))
-    return R.sparse_search(docs, asked.select("query_id", F.array(words, F.slice(words, 1, 5)).alias("variants")), F.col("words"), K)
+    """Every item as a whole and by its first five words; every seventh has a
+    part that is no word, and so only what contains it."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("id"), "text")
+    items, words = table(spark, sf_dir, "benchmark"), T.tokens(F.col("text"))
+    odd = F.array(F.array(F.substring("text", 5, 8)), F.array().cast("array<string>"))
+    variants = F.when(F.col("item_id") % 7 == 0, odd).otherwise(F.array(words, F.slice(words, 1, 5)))
+    return C.sparse_search(docs, items.select(F.col("item_id").alias("query_id"), variants.alias("variants")), words, K)
+
+
+TERMS = """terms AS (SELECT term, min(item_id) AS place FROM (SELECT item_id, unnest(list_concat([text[1:24]], regexp_extract_all(text, '[a-z]{6,}'))) AS term FROM benchmark) WHERE term <> '' GROUP BY term),
+found AS (SELECT doc_id AS id, place, term, CAST(instr(text, term) - 1 AS BIGINT) AS first FROM documents JOIN terms ON contains(text, term))"""
+
+
+def _terms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Texts, and the beginnings and longer words of all items as terms."""
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    words = F.concat(F.array(F.substring("text", 1, 24)), F.regexp_extract_all("text", F.lit("([a-z]{6,})"), F.lit(1)))
+    return docs, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("place"), F.explode(words).alias("term"))
+
+
+@query(f"WITH {TERMS} SELECT * FROM found")
+def terms_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.contained_terms(*_terms(spark, sf_dir)).drop("n")
+
+
+@query(f"WITH {TERMS} SELECT id, place, term, first FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY place, term) AS r FROM found) WHERE r <= {C.MOST_TERMS}")
+def first_terms_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.contained_terms(*_terms(spark, sf_dir), C.MOST_TERMS).drop("n")
+
+
+@query()
+def segmented_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts whose spaces are gone, cut again by the words that the table has
+    three times or more."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text")))
+    counts = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), F.lit(1))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).filter("n >= 3")
+    cut = segmenter(counts, ascii_words=False)
+    pieces = docs.select("doc_id", cut(F.regexp_replace("text", r"[^\p{L}\n]", "")).alias("pieces"))
+    return pieces.select("doc_id", F.size("pieces").cast("bigint").alias("n_pieces"), F.md5(F.array_join("pieces", " ").cast("binary")).alias("digest"))
 
 
 def _hashed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

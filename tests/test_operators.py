@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import records
 from lodestone.functions import text as T
-from lodestone.operators import evaluation, history, retrieval, tables
+from lodestone.operators import containment, evaluation, history, retrieval, tables
 from lodestone.operators import retrieval as R
 from lodestone.sources import documents as D
 from lodestone.sources.documents import sections
@@ -182,9 +182,9 @@ def test_sparse_search_equals_brute_force(spark, monkeypatch, at_once):
 
 
 def test_variants_take_the_best_score_and_fall_back_on_contained_terms(spark):
-    docs = spark.createDataFrame([(1, ["red", "fox"]), (2, ["red", "dog"]), (3, ["cat"]), (4, ["owl", "owl"])], "id long, words array<string>")
+    docs = spark.createDataFrame([(1, ["red", "fox"]), (2, ["red", "dog"]), (3, ["cat"]), (4, ["owl", "owl"])], "id long, words array<string>").withColumn("text", F.array_join("words", " "))
     asked = spark.createDataFrame([(7, [["cat"], ["dog", "owl"]]), (8, [["red"]]), (9, [["none"]]), (10, [[]])], "query_id long, variants array<array<string>>")
-    found = {(r["query_id"], r["id"]): r["score"] for r in retrieval.sparse_search(docs, asked, F.col("words"), 10).collect()}
+    found = {(r["query_id"], r["id"]): r["score"] for r in containment.sparse_search(docs, asked, F.col("words"), 10).collect()}
     single = spark.createDataFrame([(1, ["cat"]), (2, ["dog", "owl"])], "query_id long, asked array<string>")
     scores = {r["id"]: r["score"] for r in retrieval.bm25_search(docs, single, F.col("words"), F.col("asked"), 10).collect()}
     assert {i: s for (q, i), s in found.items() if q == 7} == scores and set(scores) == {2, 3, 4}
