@@ -30,18 +30,40 @@ def log_bound(text: Column, end: bool = False) -> Column:
     return _instant(text, "23:59:59.999999" if end else "00:00:00", "+08:00")
 
 
+def _values(text: Column) -> Column:
+    """A JSON object as a map of values with their types; null if it is none."""
+    return F.from_json(text, "map<string,variant>")
+
+
+def _kind(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+
+
 def scalar_attributes(text: Column) -> Column:
-    """A JSON object as a map of its scalar values that aren't null; nested
-    values, seen by their opening bracket, are left out."""
-    return F.map_filter(F.from_json(text, "map<string,string>"), lambda k, v: v.isNotNull() & ~v.rlike(r"^\s*[\[{]"))
+    """A JSON object as a map of its scalar values that aren't null, as text;
+    lists and objects are left out."""
+    kept = F.map_filter(_values(text), lambda k, v: ~_kind(v).startswith("OBJECT") & ~_kind(v).startswith("ARRAY") & (_kind(v) != "VOID"))
+    return F.transform_values(kept, lambda k, v: F.variant_get(v, "$", "string"))
 
 
 def patched(details: Column, patch: Column) -> Column:
-    """A JSON object with the values of another one set; values become text.
-    Malformed or null objects count as empty."""
-    empty = F.lit("{}")
-    of = lambda c: F.coalesce(F.from_json(F.coalesce(c, empty), "map<string,string>"), F.from_json(empty, "map<string,string>"))
-    return F.map_zip_with(of(details), of(patch), lambda k, a, b: F.coalesce(b, a))
+    """A JSON object with the values of another one set, as JSON: values keep
+    their types, nested ones are replaced whole, and a null in the patch sets
+    null. Malformed or null objects count as empty."""
+    of = lambda c: F.coalesce(_values(c), F.from_json(F.lit("{}"), "map<string,variant>"))
+    return F.to_json(F.map_zip_with(of(details), of(patch), lambda k, a, b: F.coalesce(b, a)))
+
+
+def json_lists(text: Column, keys: list[str]) -> Column:
+    """The lists of an object in model text, each as clean distinct names: code
+    fences are dropped, the whole text or else its widest braces are read. A key
+    without a list gives an empty one, and so does text that is no object."""
+    bare = F.regexp_replace(F.regexp_replace(T.strip(text), r"(?i)^```(?:json)?\s*", ""), r"\s*```$", "")
+    whole, inner = F.try_parse_json(bare), F.try_parse_json(F.regexp_extract(bare, r"(?s)(\{.*\})", 1))
+    found = F.when(_kind(whole).startswith("OBJECT"), whole).otherwise(inner)
+    none = F.array().cast("array<string>")
+    own = lambda k: distinct_names(F.coalesce(F.try_variant_get(found, f"$.{k}", "array<string>"), none))
+    return F.struct(*[own(k).alias(k) for k in keys])
 
 
 def distinct_names(items: Column, longest: int = 20) -> Column:

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import records as D
 from lodestone.functions import text as T
-from lodestone.functions import vectors as V
 from lodestone.operators import history as H
 from lodestone.operators.numbering import numbered
-from lodestone.operators.retrieval import dropoff_cut, ranked
+from lodestone.operators.retrieval import QUERIES_AT_ONCE, _best_of, _no_hits, dropoff_cut, ranked
+from lodestone.session import staged
 
 PLACEHOLDER = "新对话"  # fixed value: the title of conversations that nobody has named
 ISSUE_STATES = ["open", "confirmed", "resolved", "ignored"]
@@ -36,18 +41,19 @@ def own_orphans(rows: DataFrame, owner: str) -> DataFrame:
 def named_conversations(conversations: DataFrame, messages: DataFrame) -> DataFrame:
     """Placeholder titles taken from each conversation's first question; other titles stay."""
     first = messages.filter("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("question"))
-    bare = F.coalesce(F.trim("title"), F.lit("")).isin("", PLACEHOLDER)
+    bare = F.coalesce(T.strip(F.col("title")), F.lit("")).isin("", PLACEHOLDER)
     return conversations.join(first, "conv_id", "left").withColumn("title", F.when(bare, T.title_of(F.col("question"), default=PLACEHOLDER)).otherwise(F.col("title"))).drop("question")
 
 
 def review_issues(issues: DataFrame, reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(issues, accepted reviews): reviews (id, to_status, reviewer, note, at)
     of known issues (id, status) move them to a known state; closing ones need
-    a note. Each review records the state before it, the last one stays."""
-    sound = F.col("to_status").isin(ISSUE_STATES) & (~F.col("to_status").isin(NEEDS_NOTE) | (F.trim(F.coalesce("note", F.lit(""))) != ""))
-    before = F.expr("lag(to_status) OVER (PARTITION BY id ORDER BY at)")
+    a note that isn't blank. Each review records the state before it, the last
+    one stays; reviews of one moment go by state, reviewer and note."""
+    sound = F.col("to_status").isin(ISSUE_STATES) & (~F.col("to_status").isin(NEEDS_NOTE) | (T.strip(F.coalesce("note", F.lit(""))) != ""))
+    before = F.expr("lag(to_status) OVER (PARTITION BY id ORDER BY at, to_status, reviewer, note)")
     accepted = reviews.filter(sound).join(issues.select("id", "status"), "id").withColumn("from_status", F.coalesce(before, "status")).drop("status")
-    last = accepted.groupBy("id").agg(F.max_by(F.struct("to_status", "reviewer"), "at").alias("r"))
+    last = accepted.groupBy("id").agg(F.max_by(F.struct("to_status", "reviewer"), F.struct("at", "to_status", "reviewer", "note")).alias("r"))
     moved = issues.join(last, "id", "left").withColumn("status", F.coalesce("r.to_status", "status")).withColumn("reviewer", F.col("r.reviewer")).drop("r")
     return moved, accepted
 
@@ -80,10 +86,37 @@ def golden_summary(golden: DataFrame) -> DataFrame:
 def memory_search(memories: DataFrame, asked: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """For each query (query_id, user_id, vector) the k best memories (id,
     user_id, vector) of its user only, without those of similarity 0 or less.
-    Vectors of other lengths count as 0."""
-    a, b = asked.select("query_id", "user_id", F.col("vector").alias("qv")), memories.select("id", "user_id", F.col("vector").alias("mv"))
-    met = a.join(b, "user_id").withColumn("score", F.when(F.size("qv") == F.size("mv"), F.round(V.dot(F.col("qv"), F.col("mv")), digits)).otherwise(0.0))
-    return ranked(met.select("query_id", "id", "score"), k).filter("score > 0")
+    Vectors of other lengths count as 0.
+
+    Queries go in blocks, one at a time through the driver. A task multiplies
+    the memories of each user with that user's queries and passes on the k best
+    of each, so neither pairs nor a user with very many memories are shuffled.
+    """
+    blocks = math.ceil(asked.count() / QUERIES_AT_ONCE) or 1
+    found = None
+    for block in range(blocks):
+        rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).filter("user_id IS NOT NULL AND vector IS NOT NULL").collect()
+        own: dict = {}
+        for r in rows:
+            own.setdefault((r["user_id"], len(r["vector"])), []).append((r["query_id"], r["vector"]))
+        own = {key: (np.array([q for q, _ in pairs], dtype=np.int64), np.array([v for _, v in pairs], dtype=np.float64).T) for key, pairs in own.items()}
+
+        def best(batches: Iterator[pd.DataFrame], own=own) -> Iterator[pd.DataFrame]:
+            kept: dict = {}
+            for batch in batches:
+                for key, part in batch.groupby([batch["user_id"], batch["vector"].map(len)]):
+                    if key in own:
+                        ids, matrix = own[key]
+                        scores = np.round(np.stack(part["vector"].to_numpy()).astype(np.float64) @ matrix, digits)
+                        kept[key] = _best_of(kept.get(key, _no_hits()), ids, part["id"].to_numpy(), scores, k, 0.0)
+            yield from kept.values() if kept else [_no_hits()]
+
+        held = memories.filter("user_id IS NOT NULL AND vector IS NOT NULL").select("id", "user_id", "vector")
+        hits = held.mapInPandas(best, "query_id long, id long, score double")
+        if blocks > 1:
+            hits = staged(ranked(hits, k).drop("rank"), "memory-hits")
+        found = hits if found is None else found.unionByName(hits)
+    return ranked(found, k)
 
 
 def forget(facts: DataFrame, keys: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from lodestone.functions import vectors as V
 from lodestone.functions.segment import segmenter
 from lodestone.operators import containment as C
 from lodestone.operators import evaluation as E
+from lodestone.operators import hybrid as Y
 from lodestone.operators import retrieval as R
 from lodestone.session import spread, staged, table
 
@@ -300,6 +301,47 @@ def hybrid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.filter("score >= 0.35 OR sparse").select("query_id", "id", "score", "rank")
 
 
+SERVED = VARIED.replace("scored AS (", "scored0 AS (").replace("sparse AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM scored WHERE score > 0) WHERE rank <= 20)", """
+best AS (SELECT v.query_id, id, max(score) AS score FROM scored0 JOIN variants v ON v.v = scored0.query_id WHERE score > 0 GROUP BY ALL UNION ALL
+  SELECT item_id, doc_id, 1.0::DOUBLE FROM benchmark b JOIN documents d ON contains(d.text, b.text[5:12]) WHERE item_id % 7 = 0),
+sparse AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM best) WHERE rank <= 32)""")
+SERVED = f"""WITH {SERVED}, {HASHED.replace('rank <= 20', 'rank <= 32')},
+terms AS (SELECT DISTINCT item_id AS query_id, unnest(list_concat([text[1:12]], regexp_extract_all(lower(text), '[a-z]{{5,}}'))) AS term FROM benchmark),
+cand AS (SELECT fr.query_id, fr.id, CAST(row_number() OVER (PARTITION BY fr.query_id ORDER BY round(w, 9) DESC, fr.id) AS INTEGER) AS rank_before, coalesce(hashed.score, 0.45) AS base_score, source, text FROM fused fr LEFT JOIN hashed ON hashed.query_id = fr.query_id AND hashed.id = fr.id JOIN documents ON doc_id = fr.id),
+th AS (SELECT query_id, id, rank_before, base_score, count(*) FILTER (contains(coalesce(source, ''), term)) AS title_hits, count(*) FILTER (contains(coalesce(text, ''), term)) AS body_hits FROM cand LEFT JOIN terms USING (query_id) WHERE length(term) >= 2 OR term IS NULL GROUP BY ALL),
+rs AS (SELECT *, round(least(0.28, title_hits * 0.12 + body_hits * 0.03), 6) AS rule_score FROM th),
+rr AS (SELECT *, round(base_score + rule_score, 6) AS rerank_score FROM rs),
+rk AS (SELECT query_id, id, least(1.0, rerank_score) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rule_score DESC, rank_before) AS INTEGER) AS rank FROM rr),
+mixed AS (SELECT * FROM rk WHERE rank <= 8 AND (score >= 0.35 OR (query_id, id) IN (SELECT (query_id, id) FROM sparse))),
+seen AS (SELECT m.*, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r FROM mixed m JOIN documents d ON d.doc_id = m.id
+  WHERE id % 17 <> 5 AND (query_id % 5 = 0 OR ((id % 3 > 0 OR coalesce(source, '') = '' OR source = concat('src', query_id % 4)) AND (id % 4 > 0 OR coalesce(lang, '') = '' OR lang = CASE WHEN query_id % 2 = 0 THEN 'en' ELSE 'fr' END))))
+SELECT query_id, id, score, CAST(r AS INTEGER) AS rank FROM seen WHERE r <= 4"""
+
+
+def _served(spark: SparkSession, sf_dir: str, lam: float | None) -> DataFrame:
+    """Items ask as a whole, by their first words and by an odd part; departments
+    and roles come from sources and languages, every seventeenth id is blocked."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
+    dept, roles = F.when(F.col("doc_id") % 3 == 0, F.col("source")), F.when(F.col("doc_id") % 4 == 0, F.col("lang"))
+    docs = docs.select(F.col("doc_id").alias("id"), "doc_id", dept.alias("dept"), roles.alias("roles"), F.col("source").alias("title"), "text", V.character_vector("text").alias("vector"))
+    n, words = F.col("item_id"), T.tokens(F.col("text"))
+    odd = F.array(F.array(F.substring("text", 5, 8)), F.array().cast("array<string>"))
+    terms = F.concat(F.array(F.substring("text", 1, 12)), F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{5,})"), F.lit(1)))
+    role = F.when(n % 5 == 0, "admin").when(n % 2 == 0, "en").otherwise("fr")
+    asked = table(spark, sf_dir, "benchmark").select(n.alias("query_id"), V.character_vector("text").alias("vector"), F.when(n % 7 == 0, odd).otherwise(F.array(words, F.slice(words, 1, 5))).alias("variants"), terms.alias("terms"), F.concat(F.lit("src"), (n % 4).cast("string")).alias("user_dept"), role.alias("user_role"))
+    return Y.served_search(docs, asked, words, docs.filter("doc_id % 17 = 5").select("doc_id"), lam=lam)
+
+
+@query(SERVED)
+def served_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _served(spark, sf_dir, None)
+
+
+@query()
+def served_search_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _served(spark, sf_dir, 0.5)
+
+
 @query()
 def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, _ = _corpus(spark, sf_dir)

@@ -18,6 +18,7 @@ from lodestone.operators import history as H
 from lodestone.operators import retrieval as R
 from lodestone.operators import sessions as S
 from lodestone.plans.table_queries import GRAPH, _graph
+from lodestone.plans.text_queries import REDACTED_SQL
 from lodestone.session import staged, table
 
 QUERIES, SQL = {}, {}
@@ -158,13 +159,16 @@ def memory_forget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH f AS (SELECT c_custkey AS query_id, string_agg(concat('- ', 'order ', o_orderkey, ' ', o_orderpriority), chr(10) ORDER BY o_orderkey) AS facts FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1)
-SELECT c_custkey AS query_id, concat_ws(chr(10) || chr(10), '【长期记忆】' || chr(10) || facts, '【用户画像】' || chr(10) || '- segment: ' || nullif(c_mktsegment, ''), '【当前输入】' || chr(10) || c_name) AS context FROM customer LEFT JOIN f ON query_id = c_custkey
+WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS back FROM orders),
+f AS (SELECT o_custkey AS query_id, string_agg(concat('- ', 'order ', o_orderkey, ' ', o_orderpriority), chr(10) ORDER BY o_orderkey) AS facts, string_agg(concat(CASE WHEN o_orderkey % 2 = 0 THEN '用户：' ELSE '助手：' END, 'turn ', o_orderkey), chr(10) ORDER BY o_orderkey) FILTER (back <= 3) AS turns FROM o GROUP BY 1)
+SELECT c_custkey AS query_id, concat_ws(chr(10) || chr(10), '【长期记忆】' || chr(10) || facts, '【用户画像】' || chr(10) || '- segment: ' || nullif(c_mktsegment, ''), turns, '【当前输入】' || chr(10) || c_name) AS context FROM customer LEFT JOIN f ON query_id = c_custkey
 """)
 def memory_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders stand for facts, and a customer's last three for the turns within the budget."""
     people, orders = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("query_id"), F.col("c_name").alias("input"), F.col("c_mktsegment").alias("v")), table(spark, sf_dir, "orders")
     facts = orders.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("rank"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(" "), "o_orderpriority").alias("text"))
-    turns = facts.limit(0).select("query_id", F.col("rank").alias("turn"), F.lit("user").alias("role"), "text")
+    said = orders.select(F.col("o_custkey").alias("conv_id"), F.col("o_orderkey").alias("turn"), F.when(F.col("o_orderkey") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("turn "), F.col("o_orderkey").cast("string")).alias("text"))
+    turns = H.budget_suffix(said, F.lit(10), 30).withColumnRenamed("conv_id", "query_id").select("query_id", "turn", "role", "text")
     return S.memory_context(people, facts, people.select("query_id", F.lit("segment").alias("k"), "v"), turns)
 
 
@@ -216,10 +220,10 @@ def trace_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.spans(events)
 
 
-@query("SELECT o_custkey, o_orderpriority, o_orderkey, concat('mail [REDACTED] ', repeat('x', 1984), '...[truncated]') AS note FROM orders")
+@query(f"WITH r AS (SELECT doc_id, lang, {REDACTED_SQL} AS t FROM documents) SELECT doc_id, lang, CASE WHEN length(t) > 2000 THEN substring(t, 1, 2000) || '...[truncated]' ELSE t END AS text FROM r")
 def trace_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    note = F.concat(F.lit("mail someone@example.com "), F.lit("x" * 3000))
-    return S.trace_summary(table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority", "o_orderkey", note.alias("note")))
+    """Whole documents as traces."""
+    return S.trace_summary(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
 
 
 @query("""
@@ -241,12 +245,19 @@ def date_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", D.iso_instant(text).alias("at"), D.log_bound(text, end=True).alias("day_end"))
 
 
-@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k, event_id % 2 = 0 AS flagged, 'click' AS last FROM events""")
+@query("""
+SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k, event_id % 2 = 0 AS flagged, 'click' AS last,
+  concat('{"k":', json_extract(props, '$.k'), ',"last":"click","nested":{"a":1,"b":[true]},"none":null}') AS patched, CASE WHEN event_id % 2 = 0 THEN 'a1,b' ELSE '' END AS herbs, CASE WHEN event_id % 2 = 0 THEN '' ELSE 'x' END AS books FROM events
+""")
 def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flag = F.concat(F.lit("```json\n{\"ok\": "), F.when(F.col("event_id") % 2 == 0, '"Yes"').otherwise("0"), F.lit("}\n```"))
-    merged = D.patched(F.col("props"), F.lit('{"last": "click", "nested": {"a": 1}, "none": null}'))
-    scalars = D.scalar_attributes(F.to_json(merged))
-    return table(spark, sf_dir, "events").select("event_id", scalars["k"].alias("k"), D.json_flag(flag, "ok").alias("flagged"), scalars["last"].alias("last"))
+    even = F.col("event_id") % 2 == 0
+    flag = F.concat(F.lit("```json\n{\"ok\": "), F.when(even, '"Yes"').otherwise("0"), F.lit("}\n```"))
+    said = F.when(even, 'so: {"herbs": ["a1", "A1", " b ", ""], "books": "none"} as asked').otherwise('```\n{"books": ["x"], "herbs": null}\n```')
+    lists = D.json_lists(said, ["herbs", "books"])
+    merged = D.patched(F.col("props"), F.lit('{"last": "click", "nested": {"a": 1, "b": [true]}, "none": null}'))
+    scalars = D.scalar_attributes(merged)
+    named = lambda k: F.array_join(lists[k], ",").alias(k)
+    return table(spark, sf_dir, "events").select("event_id", scalars["k"].alias("k"), D.json_flag(flag, "ok").alias("flagged"), scalars["last"].alias("last"), merged.alias("patched"), named("herbs"), named("books"))
 
 
 @query("""
@@ -351,7 +362,14 @@ def six_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.six_metrics(_samples(spark, sf_dir))
 
 
-@query(f"WITH {SAMPLES} SELECT count(*) AS n, round(avg(context_precision), 3) AS context_precision, round(avg(context_recall), 3) AS context_recall, count(context_recall) AS judged FROM six")
+METRICS = ["faithfulness", "answer_relevancy", "context_precision", "context_recall", "answer_semantic_similarity", "answer_correctness"]
+MEANS = ", ".join(f"round(avg({m}), 3) AS {m}, count({m}) AS n_{m}" for m in METRICS)
+
+
+@query(f"WITH {SAMPLES} SELECT refuse, count(*) AS n, {MEANS} FROM six JOIN (SELECT conv_id * 1000 + turn AS id, refuse FROM s) USING (id) GROUP BY refuse")
 def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    means = E.means(six_metrics(spark, sf_dir), ["context_precision", "context_recall"])
-    return means.select("n", F.round("context_precision", 3).alias("context_precision"), F.round("context_recall", 3).alias("context_recall"), F.col("n_context_recall").alias("judged"))
+    """All six means with their counts, of items to be refused and of others."""
+    scores = six_metrics(spark, sf_dir).join(_samples(spark, sf_dir).select("id", F.coalesce(F.col("category") == D.REFUSAL_CATEGORY, F.lit(False)).alias("refuse")), "id")
+    parts = [E.means(scores.filter(F.col("refuse") == r), METRICS).withColumn("refuse", F.lit(r)) for r in (True, False)]
+    both = parts[0].unionByName(parts[1])
+    return both.select("refuse", "n", *[x for m in METRICS for x in (F.round(m, 3).alias(m), f"n_{m}")])

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 
-# What a page's text leaves out, and the blocks it keeps.
-NOISE_TAGS = {"script", "style", "noscript", "nav", "header", "footer", "aside", "form", "button", "iframe", "svg", "template", "sup"}
+# What a page's text leaves out, its root, and the blocks it keeps.
+NOISE_SELECTORS = ["table.infobox", "table.navbox", ".mw-editsection", "#toc", ".toc", ".sister-projects", ".mw-empty-elt", "sup.reference", ".noprint", "style", "script", ".hatnote", ".ambox"]
+ROOT_CLASS = "mw-parser-output"
 BLOCK_TAGS = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "blockquote"}
+VOID_TAGS = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 UPLOAD_SUFFIXES = [".md", ".txt", ".pdf"]
 MAX_UPLOAD_BYTES = 8 << 20
 
@@ -27,42 +29,82 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 class _Blocks(HTMLParser):
+    """Walks a page once with the stack of open elements. An element that a
+    noise selector matches hides all until it is closed, and an end tag closes
+    what is open within it, so pages with missing end tags hide no more than
+    their own parents hold. A block within a block is text of the outer one."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.hidden, self.block, self.parts = 0, None, []
+        self.open: list[tuple[str, str]] = []  # tags, and what each began: noise, root, block or nothing
+        self.hidden = self.blocks = self.roots = 0
+        self.parts: list[str] = []
+        self.rows: list[tuple[bool, str, str]] = []  # in the root, tag, text
+        self.rooted = False
+
+    @staticmethod
+    def _is_noise(tag: str, found: dict) -> bool:
+        classes = (found.get("class") or "").split()
+        return any(s == tag or s == f"#{found.get('id')}" or any(s in (f".{c}", f"{tag}.{c}") for c in classes) for s in NOISE_SELECTORS)
 
     def handle_starttag(self, tag, attrs):
-        if tag in NOISE_TAGS:
-            self.hidden += 1
-        elif tag in BLOCK_TAGS and not self.hidden:
-            self.close()
-            self.block = tag
+        if tag in VOID_TAGS:
+            return
+        found, begins = dict(attrs), ""
+        if self._is_noise(tag, found):
+            begins, self.hidden = "noise", self.hidden + 1
+        elif not self.hidden and tag in BLOCK_TAGS:
+            begins, self.blocks = "block", self.blocks + 1
+        elif not self.rooted and ROOT_CLASS in (found.get("class") or "").split():
+            begins, self.roots, self.rooted = "root", 1, True
+        self.open.append((tag, begins))
+
+    def handle_startendtag(self, tag, attrs):
+        if tag not in VOID_TAGS:
+            self.handle_starttag(tag, attrs)
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if tag in NOISE_TAGS:
-            self.hidden = max(0, self.hidden - 1)
-        elif tag == self.block:
-            self.close()
+        if any(t == tag for t, _ in self.open):
+            while self._pop() != tag:
+                pass
+
+    def _pop(self) -> str:
+        tag, began = self.open.pop()
+        if began == "noise":
+            self.hidden -= 1
+        elif began == "root":
+            self.roots = 0
+        elif began == "block":
+            self.blocks -= 1
+            if not self.blocks:
+                if self.parts:
+                    self.rows.append((bool(self.roots), tag, " ".join(self.parts)))
+                self.parts = []
+        return tag
 
     def handle_data(self, data):
-        if self.block and not self.hidden:
-            self.parts.append(data)
+        if self.blocks and not self.hidden and data.strip():
+            self.parts.append(data.strip())
 
-    def close(self):
-        text = " ".join("".join(self.parts).split())
-        if self.block and text:
-            mark = "#" * int(self.block[1]) + " " if self.block[0] == "h" else {"li": "- ", "blockquote": "> "}.get(self.block, "")
-            self.out.append(mark + text)
-        self.block, self.parts = None, []
+    def finish(self) -> list[tuple[str, str]]:
+        self.close()
+        while self.open:
+            self._pop()
+        return [(tag, text) for inside, tag, text in self.rows if inside or not self.rooted]
 
 
 def html_to_markdown(html: str | None) -> str:
     """Headings, paragraphs, list items and quotes of a page, without its noise."""
     blocks = _Blocks()
     blocks.feed(html or "")
-    blocks.close()
-    return "\n\n".join(blocks.out)
+    lines: list[str] = []
+    for tag, text in blocks.finish():
+        if tag == "li":
+            lines.append(f"- {text}")
+        else:
+            lines += [f"{'#' * int(tag[1])} {text}" if tag[0] == "h" else text, ""]
+    return "\n".join(lines).strip()
 
 
 def pages_to_markdown(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

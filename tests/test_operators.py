@@ -46,8 +46,16 @@ def test_paragraphs_are_packed(spark):
 
 
 def test_html_noise_is_dropped():
-    page = "<html><nav><p>menu</p></nav><h2>T</h2><p>a <b>b</b></p><ul><li>c</li></ul><script>x</script></html>"
-    assert D.html_to_markdown(page) == "## T\n\na b\n\n- c"
+    page = "<html><table class='infobox x'><tr><td><p>box</p></table><h2>T</h2><p>a <b>b</b></p><ul><li>c<li>d</ul><sup>up</sup><p>e<sup class=reference>[1]</sup> f</p><script>x</script><blockquote>q</blockquote></html>"
+    assert D.html_to_markdown(page) == "## T\n\na b\n\n- c d\ne f\n\nq"
+
+
+def test_broken_html_hides_no_more_than_its_noise():
+    assert D.html_to_markdown("<div><div class=toc><ul><li>x</div><p>after</p></div>") == "after"
+    assert D.html_to_markdown("<div id='toc'><p>never closed") == ""
+    assert D.html_to_markdown("<p>one<p>two</p></p><li>three</i></b>") == "one two\n\n- three"
+    wiki = '<p>menu</p><div class="x mw-parser-output"><span class="mw-editsection">[e]</span><h2><span>H</span></h2><p>body<br/>more</p></div><p>foot</p>'
+    assert D.html_to_markdown(wiki) == "## H\n\nbody more" and D.html_to_markdown(None) == ""
 
 
 def test_mmr_keeps_the_diverse_hit(spark):
