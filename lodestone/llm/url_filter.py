@@ -56,14 +56,22 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def lookups(host: Column, path: Column) -> Column:
-    """Canonical URLs that cover a page: each domain suffix of two labels or
-    more, with the site root, each directory and the path without its final slash."""
-    labels = F.split(host, r"\.")
-    sites = F.when(F.size(labels) < 2, F.array(host)).otherwise(F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    parts = F.filter(F.split(path, "/"), lambda p: p != "")
+def lookups(host: Column, path: Column, longest: int) -> Column:
+    """Canonical URLs of `longest` characters or fewer that cover a page: each
+    domain suffix of two labels or more, with the site root, each directory and
+    the path without its final slash. What is longer than any listed entry is cut
+    off first, so a url's lookups don't grow with its length."""
+    end = F.right(host, F.lit(longest + 1))
+    labels = F.split(end, r"\.")
+    labels = F.when(F.length(host) > longest + 1, F.slice(labels, 2, F.size(labels))).otherwise(labels)  # the first may be half a label
+    sites = F.when(F.size(F.split(host, r"\.")) < 2, F.array(host)).otherwise(F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(labels) - 1)), lambda i: i < F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+    flat = F.regexp_replace(path, "/+", "/")
+    parts = F.split(F.left(flat, F.lit(longest + 1)), "/")
+    parts = F.when(F.length(flat) > longest + 1, F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)  # the last may be half a directory
+    parts = F.filter(parts, lambda p: p != "")
     paths = F.concat(F.array(F.lit("/")), F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")))).otherwise(F.array().cast("array<string>")))
-    return F.array_distinct(F.flatten(F.transform(sites, lambda s: F.transform(paths, lambda p: F.concat(s, p)))))
+    each = F.flatten(F.transform(sites, lambda s: F.transform(F.filter(paths, lambda p: F.length(s) + F.length(p) <= longest), lambda p: F.concat(s, p))))
+    return F.array_distinct(each)
 
 
 def _block(key: str, blocks: int) -> Column:
@@ -76,10 +84,11 @@ def _mask(key: str) -> Column:
     return bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).bitwiseOR(bits[3])
 
 
-def bloom_blocks(listed: DataFrame, max_blocks: int = MAX_BLOCKS) -> tuple[DataFrame, int]:
-    """The filter as rows (block, word): a power of two of blocks, `max_blocks`
-    at most, so 16 MB bound the broadcast however long the list grows."""
-    blocks, keys = 1, listed.count()
+def bloom_blocks(listed: DataFrame, keys: int, max_blocks: int = MAX_BLOCKS) -> tuple[DataFrame, int]:
+    """The filter of `keys` entries as rows (block, word): a power of two of
+    blocks, `max_blocks` at most, so 16 MB bound the broadcast however long the
+    list grows."""
+    blocks = 1
     while blocks < max_blocks and blocks * KEYS_PER_BLOCK < keys * 2:
         blocks *= 2
     words = listed.groupBy(_block("entry", blocks).alias("block")).agg(F.bit_or(_mask("entry")).alias("word"))
@@ -95,15 +104,17 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, id_col: str =
 
     Defined cases: a null url, or one without `://`, has an empty host and path
     and is allowed; null and repeated entries are harmless; repeated pages and
-    null ids each keep their row; empty tables give empty results; other
+    null ids each keep their row; a url of any length costs what its length and
+    the list's longest entry say; empty tables give empty results; other
     columns are ignored, whatever their names.
     """
     parsed = pages.select(F.col(id_col).alias("page_id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     ruled = parsed.withColumns({"rule": name, "ruling": verdict})
     entries = listed.select("entry").filter("entry IS NOT NULL").distinct()
-    words, blocks = bloom_blocks(entries, max_blocks)
-    asked = ruled.filter("rule IS NULL").select("host", "path").distinct().select("host", "path", F.explode(lookups(F.col("host"), F.col("path"))).alias("entry"))
+    keys, longest = entries.agg(F.count("*"), F.coalesce(F.max(F.length("entry")), F.lit(0))).first()
+    words, blocks = bloom_blocks(entries, keys, max_blocks)
+    asked = ruled.filter("rule IS NULL").select("host", "path").distinct().select("host", "path", F.explode(lookups(F.col("host"), F.col("path"), longest)).alias("entry"))
     possible = (
         asked.withColumns({"block": _block("entry", blocks), "mask": _mask("entry")})
         .join(F.broadcast(words), "block")  # 16 bytes a row, MAX_BLOCKS rows at most

@@ -335,3 +335,16 @@ def test_url_filter_with_a_long_list(spark, max_blocks):
     found = url_filter.filter_urls(pages, spark.createDataFrame([(x,) for x in entries], "entry string"), rules=[("allow", "none", "/")], max_blocks=max_blocks).collect()
     assert {r["page_id"]: r["verdict"] == "block" for r in found} == {i: blocked(u) for i, u in enumerate(urls)}
     assert 1000 < sum(map(blocked, urls)) < 4500
+
+
+def test_urls_of_a_megabyte_and_of_odd_shapes(spark):
+    listed = ["bad.example.org/", "good.example.org/x/y", "a.b.c.example.org/deep/er", "solo/", "h.org/é/ü"]
+    segments = "/".join(["s"] * 250_000)
+    urls = [f"http://bad.example.org/{segments}", f"http://good.example.org/{segments}", f"http://good.example.org{'/' * 100_000}x//y/{segments}", "http://good.example.org/x/yy", "http://good.example.org/x/y/", "http://a.b.c.example.org/deep/er/z", "http://b.c.example.org/deep/er", f"http://{'q.' * 100_000}bad.example.org/", f"http://{'q.' * 100_000}xbad.example.org/", "http://solo/p", "http://x.solo/p", f"http://{'z' * 100_000}", "http://h.org/é/ü/1", "http://.h.org/é/ü", "http://h.org", None]
+    blocked = [0, 2, 4, 5, 7, 9, 12, 13]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(4)
+    found = url_filter.filter_urls(pages, spark.createDataFrame([(x,) for x in listed], "entry string"), rules=[]).collect()
+    assert sorted(r["page_id"] for r in found if r["verdict"] == "block") == blocked
+    assert len(found) == len(urls)
+    none = url_filter.filter_urls(pages, spark.createDataFrame([], "entry string"), rules=[])
+    assert none.filter("verdict = 'block'").isEmpty()
