@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.session import staged
+from lodestone.session import spread, staged
 
 RRF_K = 60
 SPARSE_ONLY_SCORE = 0.45
@@ -126,10 +126,11 @@ def bm25_search(docs: DataFrame, queries: DataFrame, words: Column, query_words:
     the driver holds one block at a time. A task walks its documents once for a
     block, adds up what their terms weigh and passes on the k best of each
     query, so neither postings nor pairs are shuffled and a common term has no
-    task of its own.
+    task of its own. Words are taken once and staged for the three passes.
     """
-    mean = docs.agg(F.avg(F.size(words).cast("double"))).first()[0] or 1.0
-    idf = term_weights(docs, words)
+    docs = staged(docs.select("id", words.alias("words")), "bm25-words")
+    mean = docs.agg(F.avg(F.size("words").cast("double"))).first()[0] or 1.0
+    idf = term_weights(docs, F.col("words"))
     asked = queries.select("query_id", F.explode(query_words).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     asked = staged(asked.join(idf, "term").select("query_id", "term", (F.col("times") * F.col("idf") * (k1 + 1)).alias("weight")), "bm25-queries")
     blocks = math.ceil(queries.count() / SPARSE_QUERIES_AT_ONCE) or 1
@@ -155,7 +156,7 @@ def bm25_search(docs: DataFrame, queries: DataFrame, words: Column, query_words:
                     kept = _best_of(kept, ids, part["id"].to_numpy(), np.round(scores, 6), k, 0.0)
             yield kept
 
-        hits = docs.select("id", words.alias("words")).mapInPandas(best, "query_id long, id long, score double")
+        hits = spread(docs).mapInPandas(best, "query_id long, id long, score double")
         if blocks > 1:
             hits = staged(ranked(hits, k).drop("rank"), "bm25-hits")
         found = hits if found is None else found.unionByName(hits)

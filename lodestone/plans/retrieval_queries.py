@@ -260,7 +260,7 @@ fr AS (SELECT query_id, id, round(w, 6) AS rrf_score, CAST(row_number() OVER (PA
 
 def _fused(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs, asked = _hashed(spark, sf_dir)
-    dense = R.dense_search(docs, asked, 20)
+    dense = staged(R.dense_search(docs, asked, 20), "dense-hits")
     sparse = staged(_sparse(spark, sf_dir), "sparse-hits")
     fused = R.rrf([dense, sparse]).withColumn("order", F.round("rrf_score", 9)).withColumn("rrf_score", F.round("rrf_score", 6))
     return R.ranked(fused, order="`order` DESC, id").drop("order"), dense, sparse
