@@ -14,7 +14,7 @@ from lodestone.functions import records as D
 from lodestone.functions import text as T
 from lodestone.operators import history as H
 from lodestone.operators.numbering import numbered
-from lodestone.operators.retrieval import QUERIES_AT_ONCE, _best_of, _no_hits, dropoff_cut, ranked
+from lodestone.operators.retrieval import QUERIES_AT_ONCE, _best_of, _no_hits, dense_search, dropoff_cut, ranked
 from lodestone.session import staged
 
 PLACEHOLDER = "新对话"  # fixed value: the title of conversations that nobody has named
@@ -171,6 +171,26 @@ def match_entities(hits: DataFrame, least: float = 0.6, ratio: float = 0.6) -> D
     return dropoff_cut(ranked(best), least, ratio)
 
 
+def typed_entities(entities: DataFrame, named: DataFrame, kinds: dict[str, str], k: int = 3, least: float = 0.6, ratio: float = 0.6) -> DataFrame:
+    """(query_id, category, id, score, rank): what the names (query_id,
+    category, name, vector) of questions stand for among entities (id, type,
+    vector). `kinds` gives the type of each category, and a name finds entities
+    of that type alone; names of other categories find none. Of each name the k
+    nearest of `least` similarity or more count, up to the first sharp drop; of
+    each category each entity once with its best score. Vectors are those of
+    `Type: name` texts."""
+    types = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
+    asked = staged(named.select("query_id", "category", types[F.col("category")].alias("type"), "vector").filter("type IS NOT NULL").withColumn("name_id", F.monotonically_increasing_id()), "typed-names")
+    found = None
+    for kind in dict.fromkeys(kinds.values()):  # a few fixed types
+        own = asked.filter(F.col("type") == kind).select(F.col("name_id").alias("query_id"), "vector")
+        hits = dropoff_cut(dense_search(entities.filter(F.col("type") == kind).select("id", "vector"), own, k), least, ratio)
+        found = hits if found is None else found.unionByName(hits)
+    met = found.select(F.col("query_id").alias("name_id"), "id", "score").join(asked.select("name_id", "query_id", "category"), "name_id")
+    best = met.groupBy("query_id", "category", "id").agg(F.max("score").alias("score"))
+    return ranked(best, by="query_id, category")
+
+
 def spans(events: DataFrame) -> DataFrame:
     """Latency, time to the first token and cost of each trace (trace_id, kind,
     ts, tokens_in, tokens_out), whose kinds are start, first and end."""

@@ -6,9 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import prompts as P
+from lodestone.functions import records as B
+from lodestone.functions import text as T
+from lodestone.functions import vectors as X
+from lodestone.operators import graph as K
+from lodestone.operators import retrieval as R
 from lodestone.operators import services as V
+from lodestone.operators import sessions as S
 from lodestone.plans.table_queries import GRAPH, _graph
-from lodestone.session import table
+from lodestone.session import new_path, table
+from lodestone.sources import documents as D
 
 QUERIES, SQL = {}, {}
 
@@ -207,3 +214,86 @@ def extraction_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.array(F.when(F.col("doc_id") % 3 == 0, one[0]).when(F.col("doc_id") % 3 == 1, one[1]).otherwise(one[2]))
     meta = F.array(F.struct(F.lit("lang").alias("key"), F.col("lang").alias("value")), F.struct(F.lit("none").alias("key"), F.lit("").alias("value")))
     return table(spark, sf_dir, "documents").select("doc_id", P.extraction_text(F.col("source"), meta, own).alias("body"))
+
+
+@query("""
+WITH v AS (SELECT vec_id AS id, CASE label % 3 WHEN 0 THEN 'Herb' WHEN 1 THEN 'Effect' ELSE 'Source' END AS type, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings),
+q AS (SELECT id AS name_id, id // 100 AS query_id, CASE id % 4 WHEN 0 THEN 'herbs' WHEN 1 THEN 'effects' WHEN 2 THEN 'sources' ELSE 'unknown' END AS category, CASE id % 4 WHEN 0 THEN 'Herb' WHEN 1 THEN 'Effect' WHEN 2 THEN 'Source' END AS type, vector FROM v WHERE id % 25 = 0),
+p AS (SELECT name_id, query_id, category, v.id, round(list_dot_product(q.vector, v.vector), 6) AS score FROM q JOIN v USING (type)),
+r AS (SELECT *, row_number() OVER (PARTITION BY name_id ORDER BY score DESC, id) AS r FROM p),
+k AS (SELECT *, lag(score) OVER (PARTITION BY name_id ORDER BY r) AS before FROM r WHERE r <= 3 AND score >= 0.3),
+c AS (SELECT *, max(CASE WHEN score / before < 0.8 THEN 1 ELSE 0 END) OVER (PARTITION BY name_id ORDER BY r) AS cut FROM k),
+b AS (SELECT query_id, category, id, max(score) AS score FROM c WHERE cut = 0 GROUP BY ALL)
+SELECT *, CAST(row_number() OVER (PARTITION BY query_id, category ORDER BY score DESC, id) AS INTEGER) AS rank FROM b
+""")
+def typed_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as entities of three types and, at ids that 25 divides, as names
+    of four categories, one of which has no type."""
+    rows, n = table(spark, sf_dir, "embeddings"), F.col("vec_id") % 4
+    kind = F.when(F.col("label") % 3 == 0, "Herb").when(F.col("label") % 3 == 1, "Effect").otherwise("Source")
+    category = F.when(n == 0, "herbs").when(n == 1, "effects").when(n == 2, "sources").otherwise("unknown")
+    named = rows.filter("vec_id % 25 = 0").select(F.expr("vec_id div 100").alias("query_id"), category.alias("category"), F.col("embedding").alias("vector"))
+    kinds = {"herbs": "Herb", "effects": "Effect", "sources": "Source"}
+    return S.typed_entities(rows.select(F.col("vec_id").alias("id"), kind.alias("type"), F.col("embedding").alias("vector")), named, kinds, 3, 0.3, 0.8)
+
+
+@query("""
+SELECT conv_id, turn, CASE WHEN turn % 3 <> 0 AND turn % 4 = 0 THEN '未查到相关内容' WHEN turn % 2 = 0 THEN '（仅供参考）' || text ELSE text END AS answer FROM conversations
+""")
+def final_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn = F.col("turn")
+    answer = R.final_answer(F.col("text"), F.when(turn % 2 == 0, "medium").otherwise("high"), turn % 3 == 0, (turn % 4).cast("int"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", answer.alias("answer"))
+
+
+@query("""
+SELECT vec_id, label % 2 = 0 AS short, CASE WHEN label % 2 = 0 THEN 80 ELSE 80 END AS width, round(list_sum(CAST(embedding[1:CASE WHEN label % 2 = 0 THEN 80 ELSE 64 END] AS DOUBLE[])), 6) AS total, round(CAST(embedding[64] AS DOUBLE), 6) AS last, 0.0::DOUBLE AS pad FROM embeddings
+""")
+def fitted_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as a store of 80 dimensions takes them, padded with zeros."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 2 == 0).alias("short"), X.fit_width(F.col("embedding"), 80).alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x)
+    return rows.select("vec_id", "short", F.size("v").alias("width"), F.round(total, 6).alias("total"), F.round(F.element_at("v", 64), 6).alias("last"), F.element_at("v", 80).alias("pad"))
+
+
+@query("SELECT lang AS label, source AS id, count(*) AS n FROM documents GROUP BY ALL HAVING count(*) > 1")
+def repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.repeated_keys(table(spark, sf_dir, "documents").select(F.col("lang").alias("label"), F.col("source").alias("id")))
+
+
+@query("""
+SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN trim(concat('Title ', source)) ELSE '' END AS title FROM documents WHERE source IS NOT NULL
+UNION ALL SELECT doc_id, '' FROM documents WHERE source IS NULL
+""")
+def first_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, source = F.col("doc_id") % 3, F.col("source")
+    text = F.when(n == 0, F.concat(F.lit("## no title\n"), source)).when(n == 1, F.concat(F.lit("x\n# Title "), source, F.lit(" （note）\n# other"))).otherwise(F.concat(F.lit("# Title "), source, F.lit(" (note)")))
+    return table(spark, sf_dir, "documents").select("doc_id", D.first_heading(F.coalesce(text, F.lit(""))).alias("title"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 0 END AS n, CASE WHEN event_id % 4 = 0 THEN concat('a', event_id) WHEN event_id % 4 = 1 THEN 'b' END AS first, concat(event_type, ' of ', user_id) AS triple FROM events")
+def json_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists that are the whole text, stand within it, are empty or no lists."""
+    n, i = F.col("event_id") % 4, F.col("event_id").cast("string")
+    text = F.when(n == 0, F.concat(F.lit('["a'), i, F.lit('", "c"]'))).when(n == 1, 'Here: ["b"] as asked').when(n == 2, "[]").otherwise("none")
+    found = T.json_array(text, "array<string>")
+    triple = B.triple_text(F.col("event_type"), F.lit("of"), F.col("user_id").cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", F.when(found.isNotNull(), F.size(found)).alias("n"), F.try_element_at(found, F.lit(1)).alias("first"), triple.alias("triple"))
+
+
+@query("""
+WITH s AS (SELECT concat('kind=', coalesce(source, 'none')) AS doc_type, string_agg(concat(doc_id, ': ', coalesce(substring(replace(replace(text, chr(10), ' '), chr(13), ' '), 1, 40), '')), chr(10) ORDER BY doc_id) || chr(10) AS text FROM documents GROUP BY 1)
+SELECT doc_type, length(text) AS size, md5(text) AS digest FROM s
+""")
+def folder_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text file for each source, written below a folder and read again."""
+    line = F.concat(F.col("doc_id").cast("string"), F.lit(": "), F.coalesce(F.substring(F.translate("text", "\n\r", "  "), 1, 40), F.lit("")))
+    lines, path = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("none")).alias("kind"), "doc_id", line.alias("value")), new_path(spark, "texts")
+    lines.repartition("kind").sortWithinPartitions("kind", "doc_id").select("kind", "value").write.partitionBy("kind").text(path)
+    return D.read_documents(spark, path).select("doc_type", F.length("text").cast("bigint").alias("size"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("SELECT event_id, ts FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id LIMIT 50")
+def tagged_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest fifty traces with a tag, as a report shows them."""
+    return table(spark, sf_dir, "events").filter("event_type = 'error'").orderBy(F.desc("ts"), "event_id").limit(50).select("event_id", "ts")
