@@ -12,11 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.retrieval import _best_of, _no_hits, bm25_search, ranked
-from lodestone.session import staged, unstage
+from lodestone.operators import blocks as B
+from lodestone.operators.retrieval import ROWS_AT_ONCE, bm25_search, ranked
+from lodestone.session import staged
 
 BLOCK_BYTES = 32 << 20
 QUERIES_AT_ONCE = 1024
@@ -74,37 +76,29 @@ def contained_search(docs: DataFrame, queries: DataFrame, k: int, least: int = L
     (query_id, terms), as substrings: (query_id, id, score, rank). Terms of
     fewer than `least` characters don't count.
 
-    A task walks its documents once for a block of queries and passes on the k
-    best of each, so a common term makes no rows of its own.
+    Queries are stored in blocks, which meet chunks of documents. A task walks a
+    document once for all queries of a block and passes on the k best of each, so
+    a common term makes no rows of its own.
     """
-    asked = staged(queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term")).filter(F.length("term") >= least), "contained-queries")
-    blocks = math.ceil(queries.count() / QUERIES_AT_ONCE) or 1
-    found = None
-    for block in range(blocks):
-        rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toPandas()
-        ids, at = np.unique(rows["query_id"].to_numpy(np.int64), return_inverse=True)
-        own = {term: at[i] for term, i in rows.groupby("term").indices.items()}
-
-        def best(batches: Iterator[pd.DataFrame], ids=ids, own=own) -> Iterator[pd.DataFrame]:
-            kept, known = _no_hits(), automaton(own)
-            for batch in batches:
-                for start in range(0, len(batch) if len(ids) else 0, 256):
-                    part = batch.iloc[start : start + 256]
-                    scores = np.zeros((len(part), len(ids)))
-                    for row, text in enumerate(part["text"]):
-                        held = {id(v): v for _, (_, v) in known.iter(text)} if text else {}
-                        if held:
-                            scores[row] = np.bincount(np.concatenate(list(held.values())), minlength=len(ids))
-                    kept = _best_of(kept, ids, part["id"].to_numpy(), scores, k, 0.0)
-            yield kept
-
-        hits = docs.select("id", "text").mapInPandas(best, "query_id long, id long, score double")
-        if blocks > 1:
-            hits = staged(ranked(hits, k).drop("rank"), "contained-hits")
-        found = hits if found is None else found.unionByName(hits)
-    if blocks > 1:
-        unstage(asked)
-    return ranked(found, k)
+    asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term")).filter(F.length("term") >= least)
+    blocks = B.query_blocks(asked, queries.count(), QUERIES_AT_ONCE)
+
+    def prepare(queries: pa.Array, terms: pa.Array):
+        ids, at = np.unique(queries.to_numpy(), return_inverse=True)
+        return ids, automaton({term: at[i] for term, i in pd.Series(terms.to_pylist()).groupby(terms.to_pylist()).indices.items()})
+
+    def score(asked, ids: pa.Array, texts: pa.Array):
+        queries, known = asked
+        for start in range(0, len(ids), ROWS_AT_ONCE):
+            part = texts.slice(start, ROWS_AT_ONCE).to_pylist()
+            scores = np.zeros((len(part), len(queries)))
+            for row, text in enumerate(part):
+                held = {id(v): v for _, (_, v) in known.iter(text)} if text else {}
+                if held:
+                    scores[row] = np.bincount(np.concatenate(list(held.values())), minlength=len(queries))
+            yield queries, ids.slice(start, ROWS_AT_ONCE).to_numpy(), scores
+
+    return ranked(B.search(docs.select(F.col("id").cast("long").alias("id"), "text"), blocks, k, prepare, score, 0.0), k)
 
 
 def sparse_search(docs: DataFrame, queries: DataFrame, words: Column, k: int) -> DataFrame:

@@ -6,16 +6,16 @@ scores go by id.
 
 from __future__ import annotations
 
-import math
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.session import spread, staged
+from lodestone.operators import blocks as B
+from lodestone.session import staged
 
 RRF_K = 60
 SPARSE_ONLY_SCORE = 0.45
@@ -34,46 +34,23 @@ def dense_search(index: DataFrame, queries: DataFrame, k: int, min_score: float
     """The k largest inner products of each query (query_id, vector) with all
     rows of `index` (id, vector), rounded, and `min_score` or more.
 
-    Queries go in blocks of about QUERIES_AT_ONCE; a task multiplies its rows
-    with a block and passes on the k best of each query, so what is shuffled
-    and held doesn't grow with the index. The hits of a block are written
-    before the next one is fetched, so the driver holds one block at a time.
-    Null vectors match nothing.
+    Queries are stored in blocks of about QUERIES_AT_ONCE, which meet the chunks
+    of the index. A task multiplies a chunk with a block and passes on the k best
+    of each query, so what is shuffled and held doesn't grow with the index, and
+    nothing passes through the driver. Null vectors match nothing.
     """
-    queries = queries.filter("vector IS NOT NULL")
-    blocks = math.ceil(queries.count() / QUERIES_AT_ONCE) or 1
-    found = None
-    for block in range(blocks):
-        rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
-        ids, matrix = np.array([r["query_id"] for r in rows], dtype=np.int64), np.array([r["vector"] for r in rows], dtype=np.float64)
-
-        def best(batches: Iterator[pd.DataFrame], ids=ids, matrix=matrix) -> Iterator[pd.DataFrame]:
-            kept = _no_hits()
-            for batch in batches:
-                if len(ids) and len(batch):
-                    scores = np.round(np.stack(batch["vector"].to_numpy()).astype(np.float64) @ matrix.T, digits)
-                    kept = _best_of(kept, ids, batch["id"].to_numpy(), scores, k)
-            yield kept
-
-        hits = index.filter("vector IS NOT NULL").select("id", "vector").mapInPandas(best, "query_id long, id long, score double")
-        if blocks > 1:
-            hits = staged(ranked(hits, k).drop("rank"), "dense-hits")
-        found = hits if found is None else found.unionByName(hits)
-    found = ranked(found, k)
-    return found if min_score is None else found.filter(F.col("score") >= min_score)
-
+    queries = queries.filter("vector IS NOT NULL").select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    blocks = B.query_blocks(queries, queries.count(), QUERIES_AT_ONCE)
 
-def _no_hits() -> pd.DataFrame:
-    return pd.DataFrame({"query_id": [], "id": [], "score": []})
+    def prepare(ids: pa.Array, vectors: pa.Array):
+        return ids.to_numpy(), B.matrix_of(vectors).T
 
+    def score(asked, ids: pa.Array, vectors: pa.Array):
+        yield asked[0], ids.to_numpy(), np.round(B.matrix_of(vectors) @ asked[1], digits)
 
-def _best_of(kept: pd.DataFrame, queries: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int, above: float = -np.inf) -> pd.DataFrame:
-    """The k best hits of each query of those kept and of new scores (id, query)."""
-    n = min(k, len(scores))
-    least = np.partition(scores, len(scores) - n, axis=0)[len(scores) - n]
-    at, q = np.nonzero((scores >= least) & (scores > above))  # ties of the kth stay for now
-    new = pd.DataFrame({"query_id": queries[q], "id": ids[at], "score": scores[at, q]})
-    return pd.concat([kept, new]).sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id").head(k)
+    held = index.filter("vector IS NOT NULL").select(F.col("id").cast("long").alias("id"), "vector")
+    found = ranked(B.search(held, blocks, k, prepare, score, rows=QUERIES_AT_ONCE), k)
+    return found if min_score is None else found.filter(F.col("score") >= min_score)
 
 
 def dropoff_cut(hits: DataFrame, least: float = 0.6, ratio: float = 0.6) -> DataFrame:
@@ -122,45 +99,39 @@ def bm25_search(docs: DataFrame, queries: DataFrame, words: Column, query_words:
     """The k best Okapi scores above 0 (query_id, id, score, rank) of documents
     (id) for each query; a query's repeated words count again.
 
-    Queries go in blocks of about SPARSE_QUERIES_AT_ONCE, whose weighted terms
-    the driver holds one block at a time. A task walks its documents once for a
-    block, adds up what their terms weigh and passes on the k best of each
-    query, so neither postings nor pairs are shuffled and a common term has no
-    task of its own. Words are taken once and staged for the three passes.
+    Queries are stored in blocks of about SPARSE_QUERIES_AT_ONCE with their
+    weighted terms, which meet the chunks of the documents' words. A task adds up
+    what a document's terms weigh and passes on the k best of each query, so
+    neither postings nor pairs are shuffled, a common term has no task of its
+    own, and nothing passes through the driver. Words are taken once.
     """
-    docs = staged(docs.select("id", words.alias("words")), "bm25-words")
+    docs = staged(docs.select(F.col("id").cast("long").alias("id"), words.alias("words")), "bm25-words")
     mean = docs.agg(F.avg(F.size("words").cast("double"))).first()[0] or 1.0
     idf = term_weights(docs, F.col("words"))
     asked = queries.select("query_id", F.explode(query_words).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    asked = staged(asked.join(idf, "term").select("query_id", "term", (F.col("times") * F.col("idf") * (k1 + 1)).alias("weight")), "bm25-queries")
-    blocks = math.ceil(queries.count() / SPARSE_QUERIES_AT_ONCE) or 1
-    found = None
-    for block in range(blocks):
-        rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toPandas()
-        ids, at = np.unique(rows["query_id"].to_numpy(np.int64), return_inverse=True)
-        terms = {term: (at[i], rows["weight"].to_numpy()[i]) for term, i in rows.groupby("term").indices.items()}
-
-        def best(batches: Iterator[pd.DataFrame], ids=ids, terms=terms) -> Iterator[pd.DataFrame]:
-            kept = _no_hits()
-            for batch in batches:
-                for start in range(0, len(batch) if len(ids) else 0, ROWS_AT_ONCE):
-                    part = batch.iloc[start : start + ROWS_AT_ONCE]
-                    scores = np.zeros((len(part), len(ids)))
-                    for row, held in enumerate(part["words"]):
-                        met = {t: n for t, n in Counter(held).items() if t in terms}
-                        if met:
-                            size = k1 * (1 - b + b * len(held) / mean)
-                            pairs = [terms[t] for t in met]
-                            gain = np.repeat([n / (n + size) for n in met.values()], [len(p[0]) for p in pairs])
-                            scores[row] = np.bincount(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]) * gain, len(ids))
-                    kept = _best_of(kept, ids, part["id"].to_numpy(), np.round(scores, 6), k, 0.0)
-            yield kept
-
-        hits = spread(docs).mapInPandas(best, "query_id long, id long, score double")
-        if blocks > 1:
-            hits = staged(ranked(hits, k).drop("rank"), "bm25-hits")
-        found = hits if found is None else found.unionByName(hits)
-    return ranked(found, k)
+    asked = asked.join(idf, "term").select("query_id", "term", (F.col("times") * F.col("idf") * (k1 + 1)).alias("weight"))
+    blocks = B.query_blocks(asked, queries.count(), SPARSE_QUERIES_AT_ONCE)
+
+    def prepare(queries: pa.Array, terms: pa.Array, weights: pa.Array):
+        ids, at = np.unique(queries.to_numpy(), return_inverse=True)
+        weight = weights.to_numpy()
+        return ids, {term: (at[i], weight[i]) for term, i in pd.Series(terms.to_pylist()).groupby(terms.to_pylist()).indices.items()}
+
+    def score(asked, ids: pa.Array, words: pa.Array):
+        queries, terms = asked
+        for start in range(0, len(ids), ROWS_AT_ONCE):
+            part = words.slice(start, ROWS_AT_ONCE).to_pylist()
+            scores = np.zeros((len(part), len(queries)))
+            for row, held in enumerate(part):
+                met = {t: n for t, n in Counter(held).items() if t in terms} if held else {}
+                if met:
+                    size = k1 * (1 - b + b * len(held) / mean)
+                    pairs = [terms[t] for t in met]
+                    gain = np.repeat([n / (n + size) for n in met.values()], [len(p[0]) for p in pairs])
+                    scores[row] = np.bincount(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]) * gain, len(queries))
+            yield queries, ids.slice(start, ROWS_AT_ONCE).to_numpy(), np.round(scores, 6)
+
+    return ranked(B.search(docs, blocks, k, prepare, score, 0.0), k)
 
 
 def rrf(lists: list[DataFrame], weights: list[float] | None = None, k: int = RRF_K) -> DataFrame:

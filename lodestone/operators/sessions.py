@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import records as D
 from lodestone.functions import text as T
+from lodestone.operators import blocks as B
 from lodestone.operators import history as H
 from lodestone.operators.numbering import numbered
-from lodestone.operators.retrieval import QUERIES_AT_ONCE, _best_of, _no_hits, dense_search, dropoff_cut, ranked
+from lodestone.operators.retrieval import QUERIES_AT_ONCE, dense_search, dropoff_cut, ranked
 from lodestone.session import staged
 
 PLACEHOLDER = "新对话"  # fixed value: the title of conversations that nobody has named
@@ -88,35 +87,31 @@ def memory_search(memories: DataFrame, asked: DataFrame, k: int, digits: int = 6
     user_id, vector) of its user only, without those of similarity 0 or less.
     Vectors of other lengths count as 0.
 
-    Queries go in blocks, one at a time through the driver. A task multiplies
-    the memories of each user with that user's queries and passes on the k best
-    of each, so neither pairs nor a user with very many memories are shuffled.
+    Queries are stored in blocks, which meet chunks of memories. A task
+    multiplies the memories of each user with that user's queries and passes on
+    the k best of each, so neither pairs nor a user with very many memories are
+    shuffled.
     """
-    blocks = math.ceil(asked.count() / QUERIES_AT_ONCE) or 1
-    found = None
-    for block in range(blocks):
-        rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).filter("user_id IS NOT NULL AND vector IS NOT NULL").collect()
-        own: dict = {}
-        for r in rows:
-            own.setdefault((r["user_id"], len(r["vector"])), []).append((r["query_id"], r["vector"]))
-        own = {key: (np.array([q for q, _ in pairs], dtype=np.int64), np.array([v for _, v in pairs], dtype=np.float64).T) for key, pairs in own.items()}
-
-        def best(batches: Iterator[pd.DataFrame], own=own) -> Iterator[pd.DataFrame]:
-            kept: dict = {}
-            for batch in batches:
-                for key, part in batch.groupby([batch["user_id"], batch["vector"].map(len)]):
-                    if key in own:
-                        ids, matrix = own[key]
-                        scores = np.round(np.stack(part["vector"].to_numpy()).astype(np.float64) @ matrix, digits)
-                        kept[key] = _best_of(kept.get(key, _no_hits()), ids, part["id"].to_numpy(), scores, k, 0.0)
-            yield from kept.values() if kept else [_no_hits()]
-
-        held = memories.filter("user_id IS NOT NULL AND vector IS NOT NULL").select("id", "user_id", "vector")
-        hits = held.mapInPandas(best, "query_id long, id long, score double")
-        if blocks > 1:
-            hits = staged(ranked(hits, k).drop("rank"), "memory-hits")
-        found = hits if found is None else found.unionByName(hits)
-    return ranked(found, k)
+    asked = asked.filter("user_id IS NOT NULL AND vector IS NOT NULL").select("query_id", F.col("user_id").cast("string").alias("user_id"), F.col("vector").cast("array<double>").alias("vector"))
+    blocks = B.query_blocks(asked, asked.count(), QUERIES_AT_ONCE)
+
+    def groups(users: pa.Array, vectors: pa.Array) -> dict:
+        sizes = vectors.value_lengths().to_pylist()
+        return pd.Series(range(len(sizes))).groupby([users.to_pylist(), sizes]).indices
+
+    def prepare(ids: pa.Array, users: pa.Array, vectors: pa.Array):
+        number = ids.to_numpy()
+        return {key: (number[at], B.matrix_of(vectors.take(pa.array(at))).T) for key, at in groups(users, vectors).items()}
+
+    def score(known, ids: pa.Array, users: pa.Array, vectors: pa.Array):
+        number = ids.to_numpy()
+        for key, at in groups(users, vectors).items():
+            if key in known:
+                queries, matrix = known[key]
+                yield queries, number[at], np.round(B.matrix_of(vectors.take(pa.array(at))) @ matrix, digits)
+
+    held = memories.filter("user_id IS NOT NULL AND vector IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("user_id").cast("string").alias("user_id"), "vector")
+    return ranked(B.search(held, blocks, k, prepare, score, 0.0, QUERIES_AT_ONCE), k)
 
 
 def forget(facts: DataFrame, keys: DataFrame) -> DataFrame:
