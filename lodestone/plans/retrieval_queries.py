@@ -349,11 +349,20 @@ def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.mmr(hits.join(docs.select("id", F.array_distinct(F.filter("words", lambda w: F.length(w) >= 2)).alias("words")), "id"), 5)
 
 
-@query()
+def _scaled(score: str) -> str:
+    low, high = f"min({score}) OVER (PARTITION BY query_id)", f"max({score}) OVER (PARTITION BY query_id)"
+    return f"CASE WHEN {high} = {low} THEN 0.5 ELSE ({score} - {low}) / ({high} - {low}) END"
+
+
+@query(f"""
+WITH {SPARSE}, s AS (SELECT query_id, id, {_scaled('score')} AS score FROM sparse), r AS (SELECT query_id, id, score, ln(1 + length(text)) AS raw FROM s JOIN documents ON doc_id = id)
+SELECT query_id, id, round(raw, 6) AS raw_score, round(least(1.0, score + 0.25 * {_scaled('raw')}), 6) AS cross_score FROM r
+""")
 def cross_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reranked with a stand-in for the injected model: length of the text."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.log1p(F.length("text")).alias("raw"))
-    return R.cross_rerank(_sparse(spark, sf_dir).withColumn("score", R.minmax("score")).join(docs, "id"), F.col("raw")).select("query_id", "id", "raw_score", "cross_score")
+    hits = R.cross_rerank(_sparse(spark, sf_dir).withColumn("score", R.minmax("score")).join(docs, "id"), F.col("raw"))
+    return hits.select("query_id", "id", F.round("raw_score", 6).alias("raw_score"), F.round("cross_score", 6).alias("cross_score"))
 
 
 @query(f"""
