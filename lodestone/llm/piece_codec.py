@@ -14,12 +14,12 @@ import heapq
 import math
 from array import array
 from collections.abc import Iterator
-from itertools import count
+from itertools import accumulate, count
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.session import table
@@ -193,13 +193,18 @@ class PieceLattice:
         """Ids of the best segmentation (as the bytes of an int32 array), the n
         best scores in falling order, and for each after the first its changed
         words as (word index, ids)."""
+        parts, scores, changes = self.segmented(text, n)
+        return b"".join(parts), scores, changes
+
+    def segmented(self, text: str | None, n: int = 1) -> tuple[tuple[bytes, ...], list[float], list[list[tuple[int, tuple[int, ...]]]]]:
+        """What `encode` gives, with the ids of each word apart."""
         if not text:
-            return b"", [], []
+            return (), [], []
         words, get, best = self.words(text), self.seen.get, self.best
         parts, scores, losses = zip(*[get(w) or best(w) for w in words], strict=True)
-        ids, total = b"".join(parts), float(sum(scores))
+        total = float(sum(scores))
         if n == 1:
-            return ids, [total], []
+            return parts, [total], []
         gaps = np.array(losses)
         near = np.argpartition(gaps, n - 2)[: n - 1] if len(gaps) > n - 1 else range(len(gaps))
         chosen: list[tuple[float, list[tuple[int, tuple[int, ...]]]]] = [(0.0, [])]
@@ -208,13 +213,14 @@ class PieceLattice:
                 continue
             ways = self.ways.get((words[i], n))
             if ways is None:
-                ways = self.n_best(words[i], n)
+                own = tuple(np.frombuffer(parts[i], dtype=np.int32).tolist())  # among equal sums the search may begin with another
+                ways = [(scores[i], own), *(way for way in self.n_best(words[i], n) if way[1] != own)][:n]
                 if len(words[i]) <= CACHED_LENGTH:
                     self._hold(400 + len(ways) * (150 + 8 * len(words[i])))
                     self.ways[(words[i], n)] = ways
             top = ways[0][0]
-            chosen = heapq.nsmallest(n, ((loss + top - score, changed + ([(i, way)] if k else [])) for loss, changed in chosen for k, (score, way) in enumerate(ways)), key=lambda x: x[0])
-        return ids, [total - loss for loss, _ in chosen], [changed for _, changed in chosen[1:]]
+            chosen = heapq.nsmallest(n, ((loss + max(0.0, top - score), changed + ([(i, way)] if k else [])) for loss, changed in chosen for k, (score, way) in enumerate(ways)), key=lambda x: x[0])
+        return parts, [total - loss for loss, _ in chosen], [changed for _, changed in chosen[1:]]
 
     def decode(self, ids) -> str:
         """The text of ids; each byte piece stands for its byte."""
@@ -229,16 +235,26 @@ def normalised(text: str) -> str:
     return text.replace(SPACE, " ")
 
 
-RESULT = "ids array<int>, n_tokens long, score double, nbest_scores array<double>, round_trip boolean"
+CHANGES = "array<array<struct<first:int,length:int,ids:array<int>>>>"
+CHANGES_TYPE = pa.list_(pa.list_(pa.struct([("first", pa.int32()), ("length", pa.int32()), ("ids", pa.list_(pa.int32()))])))
+RESULT = f"ids array<int>, n_tokens long, score double, nbest_scores array<double>, nbest_changes {CHANGES}, round_trip boolean"
+
+
+def _changed_runs(parts: tuple[bytes, ...], changes: list[list[tuple[int, tuple[int, ...]]]]) -> list[list[tuple[int, int, tuple[int, ...]]]]:
+    """Changed words as (place of the first id replaced, how many, ids instead)."""
+    ends = list(accumulate(map(len, parts))) if changes else []
+    return [[((ends[i] - len(parts[i])) // 4, len(parts[i]) // 4, ids) for i, ids in changed] for changed in changes]
 
 
 def encode_documents(docs: DataFrame, pieces: list[tuple[str, float, str]], n_best: int = N_BEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, ids, n_tokens, score, nbest_scores and
-    round_trip, whether the ids decode to the text again.
+    """One row per document: doc_id, ids, n_tokens, score, nbest_scores,
+    nbest_changes and round_trip, whether the ids decode to the text again.
 
     nbest_scores holds the `n_best` largest sums of piece scores over all
-    segmentations of the whole text, fewer if there are fewer. A character that
-    no piece holds becomes its UTF-8 bytes.
+    segmentations of the whole text, fewer if there are fewer; nbest_changes says
+    how each after the best differs from it: in place of the `length` ids from
+    `first` on (0 is the first) it has others. `nbest_ids` writes them out. A
+    character that no piece holds becomes its UTF-8 bytes.
 
     Defined cases: null and empty texts have no ids, score 0 and no
     alternatives; the space symbol U+2581 reads as a space; of equal sums the
@@ -253,24 +269,33 @@ def encode_documents(docs: DataFrame, pieces: list[tuple[str, float, str]], n_be
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                ids, ends, scores, best, same = [], [0], [], [], []
+                ids, ends, scores, best, changed, same = [], [0], [], [], [], []
                 for text in part.column(1).to_pylist():
-                    own, sums, _ = lattice.encode(text, n_best)
+                    words, sums, changes = lattice.segmented(text, n_best)
+                    own = b"".join(words)
                     ids.append(own)
                     ends.append(ends[-1] + len(own) // 4)
                     scores.append(sums[0] if sums else 0.0)
                     best.append(sums)
+                    changed.append(_changed_runs(words, changes))
                     same.append(lattice.decode(np.frombuffer(own, dtype=np.int32).tolist()) == normalised(text or ""))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32), pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), lists, pa.array(np.diff(ends), pa.int64()), pa.array(scores, pa.float64()), pa.array(best, pa.list_(pa.float64())), pa.array(same, pa.bool_())],
-                    ["doc_id", "ids", "n_tokens", "score", "nbest_scores", "round_trip"],
+                    [part.column(0), lists, pa.array(np.diff(ends), pa.int64()), pa.array(scores, pa.float64()), pa.array(best, pa.list_(pa.float64())), pa.array(changed, CHANGES_TYPE), pa.array(same, pa.bool_())],
+                    ["doc_id", "ids", "n_tokens", "score", "nbest_scores", "nbest_changes", "round_trip"],
                 )
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(encoded, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {RESULT}")
 
 
+def nbest_ids(ids: Column, changes: Column) -> Column:
+    """The ids of the best segmentations, from the best one on; none of an empty text."""
+    put = lambda at, c: F.concat(F.slice(at, F.lit(1), c["first"]), c["ids"], F.slice(at, c["first"] + c["length"] + 1, F.size(at)))
+    others = F.transform(changes, lambda runs: F.aggregate(F.reverse(runs), ids, put))
+    return F.when(F.size(ids) > 0, F.concat(F.array(ids), others)).otherwise(F.array().cast("array<array<int>>"))
+
+
 def decode_documents(encoded: DataFrame, pieces: list[tuple[str, float, str]], id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """One row per row of ids: doc_id and text; null ids give an empty text."""
     shared = encoded.sparkSession.sparkContext.broadcast(pieces)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import piece_codec
-from lodestone.llm.piece_codec import MODEL_FILE, PieceLattice, decode_documents, encode_documents, load_pieces, log_probabilities, normalised
+from lodestone.llm.piece_codec import MODEL_FILE, PieceLattice, decode_documents, encode_documents, load_pieces, log_probabilities, nbest_ids, normalised
 
 
 @pytest.fixture(scope="module")
@@ -102,6 +102,35 @@ def test_text_ids_keep_their_type(spark, pieces):
     assert [r["doc_id"] for r in out.collect()] == ["a1"] and [r["text"] for r in decode_documents(out, pieces).collect()] == ["hello"]
 
 
+def all_ways(lattice, word):
+    """(score, ids) of every segmentation, by plain recursion."""
+    if not word:
+        return [(0.0, ())]
+    out = []
+    for end in range(1, len(word) + 1):
+        piece = word[:end]
+        if piece in lattice.ids or end == 1:
+            score = lattice.reach.get(piece, lattice.rare)
+            out += [(score + s, (*lattice.edge_ids(piece), *ids)) for s, ids in all_ways(lattice, word[end:])]
+    return out
+
+
+def test_n_best_ids_equal_enumeration(spark, pieces, lattice):
+    texts = ["to a", "is it\nso", "a  b", " x y", "the é", "aaaa", "a", "zz zz", "", None]
+    out = encode_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), pieces, 4)
+    rows = {r["doc_id"]: r for r in out.withColumn("all", nbest_ids(F.col("ids"), F.col("nbest_changes"))).collect()}
+    for n, text in enumerate(texts):
+        got = [tuple(ids) for ids in rows[n]["all"]]
+        if not text:
+            assert got == [] and rows[n]["nbest_changes"] == []
+            continue
+        ways = {ids: score for score, ids in all_ways(lattice, "▁" + text.replace(" ", "▁"))}
+        assert len(set(got)) == len(got) == len(rows[n]["nbest_scores"]) == min(4, len(ways)) and list(got[0]) == rows[n]["ids"]
+        assert np.allclose([ways[ids] for ids in got], rows[n]["nbest_scores"])
+        assert np.allclose(rows[n]["nbest_scores"], heapq.nlargest(4, ways.values()))
+        assert {lattice.decode(ids) for ids in got} == {normalised(text)}
+
+
 def test_documents(spark, pieces):
     rows = [(1, "hello there", "x"), (1, "hello there", "x"), (None, None, "y"), (3, "", None), (4, "x" * 100_000, "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string").withColumn("score", F.lit(1))
