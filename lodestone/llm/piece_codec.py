@@ -14,7 +14,7 @@ import heapq
 import math
 from array import array
 from collections.abc import Iterator
-from itertools import accumulate, count
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -242,8 +242,7 @@ RESULT = f"ids array<int>, n_tokens long, score double, nbest_scores array<doubl
 
 def _changed_runs(parts: tuple[bytes, ...], changes: list[list[tuple[int, tuple[int, ...]]]]) -> list[list[tuple[int, int, tuple[int, ...]]]]:
     """Changed words as (place of the first id replaced, how many, ids instead)."""
-    ends = list(accumulate(map(len, parts))) if changes else []
-    return [[((ends[i] - len(parts[i])) // 4, len(parts[i]) // 4, ids) for i, ids in changed] for changed in changes]
+    return [[(len(b"".join(parts[:i])) // 4, len(parts[i]) // 4, ids) for i, ids in changed] for changed in changes]
 
 
 def encode_documents(docs: DataFrame, pieces: list[tuple[str, float, str]], n_best: int = N_BEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
