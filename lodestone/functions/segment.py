@@ -4,20 +4,28 @@ A run of letters becomes a graph with an edge for each dictionary word at each
 place; the most probable path, found from its end by dynamic programming, gives
 its words. A character at which no word begins stands alone. Runs of ASCII
 letters and digits are words as they are.
+
+Tasks hold the dictionary as sorted arrays, about 80 bytes a word, and look up
+all places of a text at once, so its words may be millions.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-MOST_WORDS = 1_000_000
+TEXTS_AT_ONCE = 256
+END = 0x110000  # behind a run; no character, so in no word
 RUN = r"[\p{L}\p{M}\p{N}]+"
 RUN_BESIDE_ASCII = r"[A-Za-z0-9]+|[\p{L}\p{M}\p{N}--[A-Za-z0-9]]+"
 
@@ -54,33 +62,146 @@ class WordGraph:
             i = end[i]
         return out
 
+    def paths(self, runs: list[str]) -> list[str]:
+        return [word for run in runs for word in self.path(run)]
+
     def words(self, text: str | None) -> list[str]:
         out: list[str] = []
-        for run in self.runs.findall((text or "").lower()):
-            out += [run] if self.ascii_words and run.isascii() else self.path(run)
+        for whole, runs in groupby(self.runs.findall((text or "").lower()), lambda run: self.ascii_words and run.isascii()):
+            out += runs if whole else self.paths(list(runs))
+        return out
+
+
+class PackedWords:
+    """Words with their counts as arrays. For each length there are the hashes of
+    all beginnings of that length in order, for each of these the row of the word
+    that it is, or -1, and whether longer words begin with it; and for each row
+    the word's characters and score."""
+
+    def __init__(self, words: pa.Array, counts: pa.Array):
+        counts = counts.to_numpy()
+        total = math.log(int(counts.sum()) or 1)
+        kinds, at = np.unique(counts, return_inverse=True)
+        scores = np.array([math.log(int(n)) - total for n in kinds])[at]
+        self.alone = -total
+        lengths = pc.utf8_length(words).to_numpy()
+        order = np.argsort(lengths, kind="stable")
+        sizes, starts = np.unique(lengths[order], return_index=True)
+        self.cells, self.scores = {}, {}
+        for size, start, stop in zip(sizes.tolist(), starts, np.append(starts, len(order))[1:], strict=True):
+            rows = order[start:stop]
+            self.cells[size] = points("".join(words.take(pa.array(rows)).to_pylist())).reshape(-1, size)
+            self.scores[size] = scores[rows]
+        self.factor = 0x9E3779B97F4A7C15
+        while not self._index():  # two words of one hash
+            self.factor = (self.factor * 0x2545F4914F6CDD1D) % (1 << 64)
+
+    def _index(self) -> bool:
+        hashes = {size: np.zeros(len(cells), np.uint64) for size, cells in self.cells.items()}
+        self.begins, self.row, self.longer = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, bool)]
+        for n in range(1, max(self.cells, default=0) + 1):
+            for size in hashes:
+                if size >= n:
+                    hashes[size] = hashes[size] * np.uint64(self.factor) + self.cells[size][:, n - 1]
+            whole = hashes.get(n, np.zeros(0, np.uint64))
+            longer = np.unique(np.concatenate([np.zeros(0, np.uint64), *(h for size, h in hashes.items() if size > n)]))
+            begins = np.unique(np.concatenate([whole, longer]))
+            row = np.full(len(begins), -1, np.int32)
+            row[np.searchsorted(begins, whole)] = np.arange(len(whole))
+            if np.count_nonzero(row >= 0) < len(whole):
+                return False
+            more = np.zeros(len(begins), bool)
+            more[np.searchsorted(begins, longer)] = True
+            self.begins, self.row, self.longer = [*self.begins, begins], [*self.row, row], [*self.longer, more]
+        return True
+
+    def found(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, length, score) of all words in a text's characters, by place
+        and length."""
+        at, hashes = np.arange(len(text)), np.zeros(len(text), np.uint64)
+        out = [(at[:0], at[:0], np.zeros(0))]
+        for n in range(1, len(self.begins)):
+            inside = at <= len(text) - n
+            at, hashes = at[inside], hashes[inside] * np.uint64(self.factor) + text[at[inside] + n - 1]
+            place = np.minimum(np.searchsorted(self.begins[n], hashes), len(self.begins[n]) - 1)
+            known = self.begins[n][place] == hashes
+            at, hashes, place = at[known], hashes[known], place[known]
+            row = self.row[n][place]
+            if n in self.cells:
+                begin, row = at[row >= 0], row[row >= 0]
+                same = (self.cells[n][row] == text[begin[:, None] + np.arange(n)]).all(axis=1)
+                out.append((begin[same], np.full(np.count_nonzero(same), n), self.scores[n][row[same]]))
+            more = self.longer[n][place]
+            at, hashes = at[more], hashes[more]
+        places, lengths, scores = (np.concatenate(c) for c in zip(*out, strict=True))
+        order = np.lexsort((lengths, places))
+        return places[order], lengths[order], scores[order]
+
+
+def points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+class PackedGraph(WordGraph):
+    """The same paths as WordGraph's, with the words as arrays; the runs of a text
+    are walked together."""
+
+    def __init__(self, packed: PackedWords, ascii_words: bool = True):
+        self.packed, self.alone, self.ascii_words = packed, packed.alone, ascii_words
+        self.runs = regex.compile(RUN_BESIDE_ASCII if ascii_words else RUN, regex.V1)
+
+    def path(self, run: str) -> list[str]:
+        return self.paths([run])
+
+    def paths(self, runs: list[str]) -> list[str]:
+        text = np.concatenate([np.zeros(0, np.uint32), *(np.append(points(run), np.uint32(END)) for run in runs)])
+        places, lengths, scores = (c.tolist() for c in self.packed.found(text))
+        ends = set(np.flatnonzero(text == END).tolist())
+        n, m = len(text), len(places) - 1
+        best, step = [0.0] * (n + 1), [1] * n
+        for i in range(n - 1, -1, -1):
+            if i in ends:
+                continue
+            top = None
+            while m >= 0 and places[m] == i:  # longest first, so a shorter one has to be better
+                score = scores[m] + best[i + lengths[m]]
+                if top is None or score > top:
+                    top, step[i] = score, lengths[m]
+                m -= 1
+            best[i] = self.alone + best[i + 1] if top is None else top
+        out, begin = [], 0
+        for run in runs:
+            i = 0
+            while i < len(run):
+                out.append(run[i : i + step[begin + i]])
+                i += step[begin + i]
+            begin += len(run) + 1
         return out
 
 
-def word_graph(dictionary: DataFrame, most: int = MOST_WORDS) -> dict[str, int]:
-    """The counts of a dictionary (word, n), lower-cased, as a task needs them
-    whole. A dictionary of more than `most` words is an error: take its most
-    frequent ones."""
-    rows = dictionary.filter("word <> '' AND n > 0").groupBy(F.lower("word").alias("word")).agg(F.sum("n").alias("n")).limit(most + 1).collect()
-    if len(rows) > most:
+def word_counts(dictionary: DataFrame, most: int | None = None) -> pa.Table:
+    """The counts of a dictionary (word, n), lower-cased, as tasks need them
+    whole. More than `most` words are an error where that is given."""
+    rows = dictionary.filter("word <> '' AND n > 0").groupBy(F.lower("word").alias("word")).agg(F.sum("n").alias("n"))
+    found = (rows if most is None else rows.limit(most + 1)).toArrow()
+    if most is not None and found.num_rows > most:
         raise ValueError(f"the dictionary has more than {most} words")
-    return {r["word"]: r["n"] for r in rows}
+    return found.combine_chunks()
 
 
-def segmenter(dictionary: DataFrame, ascii_words: bool = True, most: int = MOST_WORDS):
+def segmenter(dictionary: DataFrame, ascii_words: bool = True, most: int | None = None):
     """A function from a text column to its words, to be used wherever `tokens`
     is. Null texts have no words; white space and punctuation part runs."""
-    shared = dictionary.sparkSession.sparkContext.broadcast(word_graph(dictionary, most))  # of a checked size
+    counts = word_counts(dictionary, most)
+    whole = lambda c: pa.concat_arrays(counts.column(c).chunks) if counts.num_rows else pa.array([], counts.schema.field(c).type)
+    shared = dictionary.sparkSession.sparkContext.broadcast(PackedWords(whole("word"), whole("n")))
 
     @F.pandas_udf(ArrayType(StringType()))
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        graph = WordGraph(shared.value, ascii_words)
+        graph = PackedGraph(shared.value, ascii_words)
         for texts in batches:
-            yield pd.Series([graph.words(t) for t in texts])
+            for start in range(0, len(texts), TEXTS_AT_ONCE):  # words take many times the room of their text
+                yield pd.Series([graph.words(t) for t in texts.iloc[start : start + TEXTS_AT_ONCE]])
 
     def words(text: Column) -> Column:
         return cut(text)

@@ -3,10 +3,11 @@ import re
 from collections import Counter
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.functions.segment import WordGraph, cohesive_words, segmenter
+from lodestone.functions.segment import PackedGraph, PackedWords, WordGraph, cohesive_words, segmenter
 from lodestone.operators import containment as C
 from lodestone.operators import retrieval as R
 from lodestone.plans import registry
@@ -50,6 +51,25 @@ def test_search_and_diversity_take_segmented_words(spark):
         segmenter(spark.createDataFrame(list(COUNTS.items()), "word string, n long"), most=3)
 
 
+@pytest.mark.parametrize("ascii_words", [True, False])
+def test_packed_words_give_the_same_paths(ascii_words):
+    rng = random.Random(4)
+    for counts in (COUNTS, {}, {"".join(rng.choice("abc𠀀湯") for _ in range(rng.randint(1, 7))): rng.randint(1, 3) for _ in range(300)}):
+        plain = WordGraph(counts, ascii_words)
+        packed = PackedGraph(PackedWords(pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())), ascii_words)
+        for _ in range(100):
+            text = "".join(rng.choice("abcX𠀀湯桂枝主治 ,\n1") for _ in range(rng.randrange(80)))
+            assert packed.words(text) == plain.words(text), text
+        assert packed.words(None) == packed.words("") == packed.path("") == []
+
+
+def test_a_dictionary_of_over_a_million_words(spark):
+    words = spark.range(1_100_000).select(F.concat(F.lit("w"), F.lpad(F.col("id").cast("string"), 7, "0")).alias("word"), F.lit(3).alias("n"))
+    cut = segmenter(words, ascii_words=False)
+    found = spark.createDataFrame([("w0000007w1099999\nw1100000",)], "text string").select(cut(F.col("text")).alias("w")).first()["w"]
+    assert found == ["w0000007", "w1099999", *"w1100000"]
+
+
 def test_cohesive_words(spark):
     rng = random.Random(9)
     text = "，".join("".join(rng.sample(["甘草", "人參", "白朮", "茯苓", "之", "與"], 4)) for _ in range(400))
