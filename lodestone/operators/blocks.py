@@ -13,7 +13,6 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,21 +20,50 @@ from pyspark.sql import functions as F
 from lodestone.session import staged
 
 CHUNK_ROWS = 1024
+CHUNK_BYTES = 4 << 20
+TILE_CELLS = 1 << 20  # scores at once
+ROWS_HELD = 1 << 17  # hits of a block, with ties, between two cuts
 BLOCKS_HELD = 8  # of queries, prepared, and their best so far, in a task
 HITS = "query_id long, id long, score double"
 
 
-def no_hits() -> pd.DataFrame:
-    return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
-
-
-def best_of(kept: pd.DataFrame, queries: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int, above: float = -np.inf) -> pd.DataFrame:
-    """The k best hits of each query of those kept and of new scores (id, query)."""
-    n = min(k, len(scores))
-    least = np.partition(scores, len(scores) - n, axis=0)[len(scores) - n]
-    at, q = np.nonzero((scores >= least) & (scores > above))  # ties of the kth stay for now
-    new = pd.DataFrame({"query_id": queries[q], "id": ids[at], "score": scores[at, q]})
-    return pd.concat([kept, new]).sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id").head(k)
+class Best:
+    """The k best hits above `above` of each query of a block, of scores that
+    come in tiles. Ties of the kth stay until there are too many rows."""
+
+    def __init__(self, queries: np.ndarray, k: int, above: float = -math.inf):
+        self.queries, self.k, self.above = queries, k, above
+        self.least = np.full(len(queries), -math.inf)  # of the kth hit so far
+        self.parts, self.rows, self.room = [], 0, max(ROWS_HELD, 2 * k * len(queries))
+
+    def add(self, ids: np.ndarray, scores: np.ndarray, places: np.ndarray | None = None) -> None:
+        """Scores by id and query, of all queries or of those at `places`."""
+        least = self.least if places is None else self.least[places]
+        step = max(1, TILE_CELLS // max(1, len(least)))
+        for start in range(0, len(ids), step):
+            part = scores[start : start + step]
+            at, q = np.nonzero((part >= least) & (part > self.above))
+            self.parts.append((q if places is None else places[q], ids[start + at], part[at, q]))
+            self.rows += len(q)
+            if self.rows > self.room:
+                self._cut()
+
+    def _cut(self) -> None:
+        q, ids, scores = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        order = np.lexsort((ids, -scores, q))
+        q, ids, scores = q[order], ids[order], scores[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        last = place == self.k - 1
+        self.least[q[last]] = scores[last]
+        kept = place < self.k
+        self.parts = [(q[kept], ids[kept], scores[kept])]
+        self.rows = int(np.count_nonzero(kept))
+
+    def hits(self) -> Iterator[pa.RecordBatch]:
+        if self.rows:
+            self._cut()
+            for q, ids, scores in self.parts:
+                yield pa.RecordBatch.from_arrays([pa.array(self.queries[q], pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, pa.float64())], ["query_id", "id", "score"])
 
 
 def query_blocks(queries: DataFrame, count: int, at_once: int) -> DataFrame:
@@ -47,12 +75,14 @@ def query_blocks(queries: DataFrame, count: int, at_once: int) -> DataFrame:
 
 
 def index_chunks(index: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
-    """Rows of `index` packed by `rows` as they are read, without a shuffle."""
+    """Rows of `index` packed as they are read, without a shuffle: by `rows`, and
+    by about CHUNK_BYTES where rows are long."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            step = max(1, min(rows, batch.num_rows * CHUNK_BYTES // max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 ends = pa.array([0, part.num_rows], pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, c) for c in part.columns], part.schema.names)
 
@@ -64,35 +94,33 @@ def search(index: DataFrame, blocks: DataFrame, k: int, prepare: Callable, score
     the rows that a task sees, to be ranked over all tasks.
 
     `prepare(*columns of asked)` makes of a block's Arrow columns what
-    `score(prepared, *columns of the index)` takes; that gives (query ids, ids,
-    scores by id and query) once or several times a chunk.
+    `score(prepared, *columns of the index)` takes, with its query ids first;
+    that gives (ids, scores by id and query) once or several times a chunk, and
+    the places of the queries where it isn't all of them.
     """
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prepared: dict = {}
-        kept: dict[int, pd.DataFrame] = {}
+        held: dict[int, tuple] = {}
         for batch in batches:
             block_of = batch.column("block").to_pylist()
             for row, block in enumerate(block_of):
-                if block not in prepared:
-                    if len(prepared) >= BLOCKS_HELD:
-                        yield from map(_hits, kept.values())
-                        prepared, kept = {}, {}
-                    prepared[block] = prepare(*batch.column("asked")[row].values.flatten())
-                columns = [batch.column(c)[row].values for c in names]
-                for queries, ids, scores in score(prepared[block], *columns):
-                    if len(queries) and len(ids):
-                        kept[block] = best_of(kept.get(block, no_hits()), queries, ids, scores, k, above)
-        yield from map(_hits, kept.values())
+                if block not in held:
+                    if len(held) >= BLOCKS_HELD:
+                        for _, top in held.values():
+                            yield from top.hits()
+                        held = {}
+                    prepared = prepare(*batch.column("asked")[row].values.flatten())
+                    held[block] = prepared, Best(prepared[0], k, above)
+                prepared, top = held[block]
+                for found in score(prepared, *[batch.column(c)[row].values for c in names]):
+                    top.add(*found)
+        for _, top in held.values():
+            yield from top.hits()
 
     names = index.columns
     return index_chunks(index, rows).crossJoin(blocks).mapInArrow(best, HITS)  # chunks and blocks, not rows
 
 
-def _hits(frame: pd.DataFrame) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(frame["query_id"], pa.int64()), pa.array(frame["id"], pa.int64()), pa.array(frame["score"], pa.float64())], ["query_id", "id", "score"])
-
-
 def matrix_of(vectors: pa.Array) -> np.ndarray:
     """Vectors of one length as rows of a matrix."""
     return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)

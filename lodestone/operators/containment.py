@@ -96,7 +96,7 @@ def contained_search(docs: DataFrame, queries: DataFrame, k: int, least: int = L
                 held = {id(v): v for _, (_, v) in known.iter(text)} if text else {}
                 if held:
                     scores[row] = np.bincount(np.concatenate(list(held.values())), minlength=len(queries))
-            yield queries, ids.slice(start, ROWS_AT_ONCE).to_numpy(), scores
+            yield ids.slice(start, ROWS_AT_ONCE).to_numpy(), scores
 
     return ranked(B.search(docs.select(F.col("id").cast("long").alias("id"), "text"), blocks, k, prepare, score, 0.0), k)
 

@@ -46,7 +46,10 @@ def dense_search(index: DataFrame, queries: DataFrame, k: int, min_score: float
         return ids.to_numpy(), B.matrix_of(vectors).T
 
     def score(asked, ids: pa.Array, vectors: pa.Array):
-        yield asked[0], ids.to_numpy(), np.round(B.matrix_of(vectors) @ asked[1], digits)
+        ids, rows = ids.to_numpy(), max(1, B.TILE_CELLS // len(asked[0]))
+        for start in range(0, len(ids), rows):
+            scores = B.matrix_of(vectors.slice(start, rows)) @ asked[1]
+            yield ids[start : start + rows], np.round(scores, digits, out=scores)
 
     held = index.filter("vector IS NOT NULL").select(F.col("id").cast("long").alias("id"), "vector")
     found = ranked(B.search(held, blocks, k, prepare, score, rows=QUERIES_AT_ONCE), k)
@@ -129,7 +132,7 @@ def bm25_search(docs: DataFrame, queries: DataFrame, words: Column, query_words:
                     pairs = [terms[t] for t in met]
                     gain = np.repeat([n / (n + size) for n in met.values()], [len(p[0]) for p in pairs])
                     scores[row] = np.bincount(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]) * gain, len(queries))
-            yield queries, ids.slice(start, ROWS_AT_ONCE).to_numpy(), np.round(scores, 6)
+            yield ids.slice(start, ROWS_AT_ONCE).to_numpy(), np.round(scores, 6, out=scores)
 
     return ranked(B.search(docs, blocks, k, prepare, score, 0.0), k)
 

@@ -101,14 +101,18 @@ def memory_search(memories: DataFrame, asked: DataFrame, k: int, digits: int = 6
 
     def prepare(ids: pa.Array, users: pa.Array, vectors: pa.Array):
         number = ids.to_numpy()
-        return {key: (number[at], B.matrix_of(vectors.take(pa.array(at))).T) for key, at in groups(users, vectors).items()}
+        return number, {key: (at, B.matrix_of(vectors.take(pa.array(at))).T) for key, at in groups(users, vectors).items()}
 
-    def score(known, ids: pa.Array, users: pa.Array, vectors: pa.Array):
-        number = ids.to_numpy()
+    def score(asked, ids: pa.Array, users: pa.Array, vectors: pa.Array):
+        number, known = ids.to_numpy(), asked[1]
         for key, at in groups(users, vectors).items():
             if key in known:
-                queries, matrix = known[key]
-                yield queries, number[at], np.round(B.matrix_of(vectors.take(pa.array(at))) @ matrix, digits)
+                places, matrix = known[key]
+                rows = max(1, B.TILE_CELLS // len(places))
+                for start in range(0, len(at), rows):
+                    own = at[start : start + rows]
+                    scores = B.matrix_of(vectors.take(pa.array(own))) @ matrix
+                    yield number[own], np.round(scores, digits, out=scores), places
 
     held = memories.filter("user_id IS NOT NULL AND vector IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("user_id").cast("string").alias("user_id"), "vector")
     return ranked(B.search(held, blocks, k, prepare, score, 0.0, QUERIES_AT_ONCE), k)
