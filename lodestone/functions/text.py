@@ -122,9 +122,10 @@ def tokens(text: Column) -> Column:
 
 def bigrams(text: Column) -> Column:
     """Distinct character pairs without white space; one character is itself."""
-    flat = F.regexp_replace(text, rf"{BLANK}+", "")
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(flat) - 1, F.lit(1))), lambda i: F.substring(flat, i, F.lit(2)))
-    return F.when(F.length(flat) > 0, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+    # cut into characters once: substring would count from the start of the text for each pair
+    one = F.regexp_extract_all(F.regexp_replace(F.coalesce(text, F.lit("")), rf"{BLANK}+", ""), F.lit("(?s)."), F.lit(0))
+    two = lambda c: F.transform(F.arrays_zip(F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(1))).alias("a"), F.slice(c, 2, F.size(c)).alias("b")), lambda x: F.concat(x["a"], F.coalesce(x["b"], F.lit(""))))
+    return F.transform(F.array(one), lambda c: F.array_distinct(two(c)))[0]
 
 
 def characters(text: Column) -> Column:

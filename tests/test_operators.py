@@ -1,3 +1,4 @@
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -149,6 +150,15 @@ def test_windows_equal_slices(spark, size, overlap):
         assert _one(spark, T.windows(F.col("t"), size, overlap), t=text) == [body[i * step : i * step + size] for i in range(count)]
 
 
+def test_bigrams_of_odd_and_long_texts(spark):
+    texts = ["ab c", "", " \n", None, "x", "a\U00020000b\U00020000b", "aaaa", "a\n\x85z"]
+    found = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.bigrams(F.col("t"))).collect()]
+    assert found == [["ab", "bc"], [], [], [], ["x"], ["a\U00020000", "\U00020000b", "b\U00020000"], ["aa"], ["a\x85", "\x85z"]]
+    long, begun = "".join(chr(97 + i * i * (i // 26) % 26) for i in range(150_000)), time.monotonic()
+    assert set(one(spark, T.bigrams(F.col("t")), t=long)) == {long[i : i + 2] for i in range(len(long) - 1)}
+    assert time.monotonic() - begun < 30  # time grew with the square of the length
+
+
 def test_records(spark):
     assert _one(spark, records.json_flag(F.col("t"), "ok"), t='so: {"ok": "是"} then') is True
     assert _one(spark, records.json_flag(F.col("t"), "ok"), t="nothing") is None
