@@ -150,8 +150,8 @@ def import_batches(edges: DataFrame, nodes: DataFrame, done: DataFrame, size: in
     by, ends = ["relation", "src_label", "dst_label"], nodes.select("label", "id").distinct()
     known = lambda label, end: ends.select(F.col("label").alias(label), F.col("id").alias(end), F.lit(1).alias(f"has_{end}"))
     placed = numbered(edges.select(*by, "src", "dst"), [F.col(c) for c in (*by, "src", "dst")], "place")
-    first = placed.groupBy(*by).agg(F.min("place").alias("first"))
-    placed = placed.join(first, by).withColumn("batch", ((F.col("place") - F.col("first")) / size).cast("int"))
+    first = placed.groupBy(*by).agg(F.min("place").alias("first"))  # one row a relation; a join by it would deal a relation to one task
+    placed = placed.join(F.broadcast(first), by).withColumn("batch", ((F.col("place") - F.col("first")) / size).cast("int"))
     placed = placed.join(known("src_label", "src"), ["src_label", "src"], "left").join(known("dst_label", "dst"), ["dst_label", "dst"], "left")
     counts = placed.groupBy(*by, "batch").agg(F.count("*").alias("edges"), F.count_if(F.col("has_src").isNull() | F.col("has_dst").isNull()).alias("lost"))
     return counts.join(done.select(*by, "batch").distinct(), [*by, "batch"], "left_anti")

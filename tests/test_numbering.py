@@ -1,7 +1,9 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
+from lodestone.operators import sessions
 from lodestone.operators.numbering import numbered, running_sums
 
 
@@ -24,3 +26,16 @@ def test_running_sums(spark):
     for k, n in sorted(rows, reverse=True):
         assert found[k] == total
         total += n or 0
+
+
+def test_a_relation_is_not_dealt_to_one_task(spark):
+    edges = spark.range(2000).select(F.lit("R").alias("relation"), F.lit("a").alias("src_label"), F.col("id").alias("src"), F.lit("b").alias("dst_label"), (F.col("id") % 7).alias("dst"))
+    nodes = spark.range(1999).select(F.lit("a").alias("label"), "id").unionByName(spark.range(7).select(F.lit("b").alias("label"), "id"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = sessions.import_batches(edges, nodes, edges.limit(0).withColumn("batch", F.lit(0)))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"SortMergeJoin \[relation#\d+, src_label#\d+, dst_label#\d+\]", plan)
+        assert sorted((r["batch"], r["edges"], r["lost"]) for r in found.collect()) == [(0, 500, 0), (1, 500, 0), (2, 500, 0), (3, 500, 1)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
