@@ -42,7 +42,7 @@ def _kind(value: Column) -> Column:
 def scalar_attributes(text: Column) -> Column:
     """A JSON object as a map of its scalar values that aren't null, as text;
     lists and objects are left out."""
-    kept = F.map_filter(_values(text), lambda k, v: ~_kind(v).startswith("OBJECT") & ~_kind(v).startswith("ARRAY") & (_kind(v) != "VOID"))
+    kept = F.map_filter(_values(text), lambda k, v: ~_kind(v).rlike("^(?:OBJECT|ARRAY|VOID$)"))
     return F.transform_values(kept, lambda k, v: F.variant_get(v, "$", "string"))
 
 
@@ -59,11 +59,11 @@ def json_lists(text: Column, keys: list[str]) -> Column:
     fences are dropped, the whole text or else its widest braces are read. A key
     without a list gives an empty one, and so does text that is no object."""
     bare = F.regexp_replace(F.regexp_replace(T.strip(text), r"(?i)^```(?:json)?\s*", ""), r"\s*```$", "")
-    whole, inner = F.try_parse_json(bare), F.try_parse_json(F.regexp_extract(bare, r"(?s)(\{.*\})", 1))
-    found = F.when(_kind(whole).startswith("OBJECT"), whole).otherwise(inner)
+    # a text that is an object as a whole is its own widest braces, so it is read once for both and all keys
+    found = F.try_parse_json(F.regexp_extract(bare, r"(?s)(\{.*\})", 1))
     none = F.array().cast("array<string>")
-    own = lambda k: distinct_names(F.coalesce(F.try_variant_get(found, f"$.{k}", "array<string>"), none))
-    return F.struct(*[own(k).alias(k) for k in keys])
+    own = lambda v, k: distinct_names(F.coalesce(F.try_variant_get(v, f"$.{k}", "array<string>"), none))
+    return F.transform(F.array(found), lambda v: F.struct(*[own(v, k).alias(k) for k in keys]))[0]
 
 
 def distinct_names(items: Column, longest: int = 20) -> Column:

@@ -19,7 +19,7 @@ from lodestone.operators import retrieval as R
 from lodestone.operators import sessions as S
 from lodestone.plans.table_queries import GRAPH, _graph
 from lodestone.plans.text_queries import REDACTED_SQL
-from lodestone.session import staged, table
+from lodestone.session import spread, staged, table
 
 QUERIES, SQL = {}, {}
 NOW = datetime(2024, 6, 1)
@@ -257,7 +257,7 @@ def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = D.patched(F.col("props"), F.lit('{"last": "click", "nested": {"a": 1, "b": [true]}, "none": null}'))
     scalars = D.scalar_attributes(merged)
     named = lambda k: F.array_join(lists[k], ",").alias(k)
-    return table(spark, sf_dir, "events").select("event_id", scalars["k"].alias("k"), D.json_flag(flag, "ok").alias("flagged"), scalars["last"].alias("last"), merged.alias("patched"), named("herbs"), named("books"))
+    return spread(table(spark, sf_dir, "events").select("event_id", "props")).select("event_id", scalars["k"].alias("k"), D.json_flag(flag, "ok").alias("flagged"), scalars["last"].alias("last"), merged.alias("patched"), named("herbs"), named("books"))
 
 
 @query("""

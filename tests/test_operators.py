@@ -8,6 +8,7 @@ from lodestone.functions import records
 from lodestone.functions import text as T
 from lodestone.operators import containment, evaluation, history, retrieval, tables
 from lodestone.operators import retrieval as R
+from lodestone.plans import registry
 from lodestone.sources import documents as D
 from lodestone.sources.documents import sections
 from lodestone.streaming import memory
@@ -230,3 +231,14 @@ def test_precision_recall_counts_near_vectors_and_keeps_samples_with_an_empty_si
     samples = spark.createDataFrame(rows, "sample int, refs array<array<double>>, ret array<array<double>>")
     found = {r["sample"]: (r["context_precision"], r["context_recall"]) for r in evaluation.precision_recall(samples).collect()}
     assert found == {1: (1.0, 1.0), 2: (1.0, 0.5), 3: (0.0, 0.0), 4: (0.0, 0.0), 5: (None, None), 6: (None, None)}
+
+
+def test_a_text_of_lists_is_read_once_and_on_all_cores(spark):
+    lists = records.json_lists(F.col("t"), ["a", "b"])
+    told = [('```json\n{"a": ["x", "X"]}\n```', "x", ""), ('so {"a": ["x"], "b": ["y"]} it is', "x", "y"), ('[{"b": ["y"]}]', "", "y"), ('{"a": ["x"]} {"b": ["y"]}', "x", ""), ('{"a": "x"', "", ""), (None, "", "")]
+    df = spark.createDataFrame(told, "t string, a string, b string")
+    found = df.select("a", "b", F.array_join(lists["a"], ",").alias("x"), F.array_join(lists["b"], ",").alias("y"))
+    assert all((r["a"], r["b"]) == (r["x"], r["y"]) for r in found.collect())
+    plan = df.select(lists.alias("found"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("parse_json") == 1
+    assert registry.QUERIES["json_records"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
