@@ -6,11 +6,10 @@ scores go by id.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,8 +107,9 @@ def bm25_search(docs: DataFrame, queries: DataFrame, words: Column, query_words:
     neither postings nor pairs are shuffled, a common term has no task of its
     own, and nothing passes through the driver. Words are taken once.
     """
-    docs = staged(docs.select(F.col("id").cast("long").alias("id"), words.alias("words")), "bm25-words")
-    mean = docs.agg(F.avg(F.size("words").cast("double"))).first()[0] or 1.0
+    docs = docs.select(F.col("id").cast("long").alias("id"), words.alias("words"))
+    docs = staged(docs.withColumn("size", F.size("words").cast("double")), "bm25-words")
+    mean = docs.agg(F.avg("size")).first()[0] or 1.0
     idf = term_weights(docs, F.col("words"))
     asked = queries.select("query_id", F.explode(query_words).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     asked = asked.join(idf, "term").select("query_id", "term", (F.col("times") * F.col("idf") * (k1 + 1)).alias("weight"))
@@ -117,24 +117,34 @@ def bm25_search(docs: DataFrame, queries: DataFrame, words: Column, query_words:
 
     def prepare(queries: pa.Array, terms: pa.Array, weights: pa.Array):
         ids, at = np.unique(queries.to_numpy(), return_inverse=True)
-        weight = weights.to_numpy()
-        return ids, {term: (at[i], weight[i]) for term, i in pd.Series(terms.to_pylist()).groupby(terms.to_pylist()).indices.items()}
+        codes = terms.dictionary_encode()
+        known, codes = codes.dictionary, codes.indices.to_numpy()
+        order = np.argsort(codes, kind="stable")
+        starts = np.searchsorted(codes[order], np.arange(len(known) + 1))  # of the queries of each term
+        return ids, known, starts, at[order], weights.to_numpy()[order]
 
     def score(asked, ids: pa.Array, words: pa.Array):
-        queries, terms = asked
+        queries, known, starts, at, weight = asked
+        sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy().astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        codes = pc.fill_null(pc.index_in(words.flatten(), known), -1).to_numpy()
         for start in range(0, len(ids), ROWS_AT_ONCE):
-            part = words.slice(start, ROWS_AT_ONCE).to_pylist()
-            scores = np.zeros((len(part), len(queries)))
-            for row, held in enumerate(part):
-                met = {t: n for t, n in Counter(held).items() if t in terms} if held else {}
-                if met:
-                    size = k1 * (1 - b + b * len(held) / mean)
-                    pairs = [terms[t] for t in met]
-                    gain = np.repeat([n / (n + size) for n in met.values()], [len(p[0]) for p in pairs])
-                    scores[row] = np.bincount(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]) * gain, len(queries))
+            own = sizes[start : start + ROWS_AT_ONCE]
+            found = codes[ends[start] : ends[start + len(own)]]
+            met = found >= 0
+            pairs, n = np.unique(np.repeat(np.arange(len(own)), own)[met] * len(known) + found[met], return_counts=True)
+            row, term = np.divmod(pairs, len(known))
+            gain = n / (n + k1 * (1 - b + b * own[row] / mean))
+            scores, asking = np.zeros(len(own) * len(queries)), starts[term + 1] - starts[term]
+            bounds = np.searchsorted(np.cumsum(asking), np.arange(0, max(1, asking.sum()), B.TILE_CELLS), side="right")
+            for lo, hi in zip(bounds, [*bounds[1:], len(pairs)], strict=True):
+                each = asking[lo:hi]
+                places = np.arange(each.sum()) + np.repeat(starts[term[lo:hi]] - (np.cumsum(each) - each), each)
+                scores += np.bincount(np.repeat(row[lo:hi] * len(queries), each) + at[places], weight[places] * np.repeat(gain[lo:hi], each), len(scores))
+            scores = scores.reshape(len(own), len(queries))
             yield ids.slice(start, ROWS_AT_ONCE).to_numpy(), np.round(scores, 6, out=scores)
 
-    return ranked(B.search(docs, blocks, k, prepare, score, 0.0), k)
+    return ranked(B.search(docs.select("id", "words"), blocks, k, prepare, score, 0.0), k)
 
 
 def rrf(lists: list[DataFrame], weights: list[float] | None = None, k: int = RRF_K) -> DataFrame:

@@ -344,9 +344,10 @@ def served_search_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, _ = _corpus(spark, sf_dir)
-    hits = _sparse(spark, sf_dir).withColumn("score", R.minmax("score"))
-    return R.mmr(hits.join(docs.select("id", F.array_distinct(F.filter("words", lambda w: F.length(w) >= 2)).alias("words")), "id"), 5)
+    hits = staged(_sparse(spark, sf_dir), "sparse-hits").withColumn("score", R.minmax("score"))
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    words = F.array_distinct(F.filter(T.tokens(F.col("text")), lambda w: F.length(w) >= 2))  # of the hits alone
+    return R.mmr(hits.join(texts, "id").withColumn("words", words), 5)
 
 
 def _scaled(score: str) -> str:

@@ -242,3 +242,15 @@ def test_a_text_of_lists_is_read_once_and_on_all_cores(spark):
     plan = df.select(lists.alias("found"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("parse_json") == 1
     assert registry.QUERIES["json_records"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_bm25_of_documents_that_hold_no_term(spark):
+    docs = spark.createDataFrame([(i, ["z"] * (i % 3)) for i in range(600)] + [(600, None), (601, ["a", "z", "a"]), (602, ["a"])], "id long, words array<string>").coalesce(1)
+    asked = spark.createDataFrame([(1, ["a", "a", "b"]), (2, ["b"])], "query_id long, asked array<string>")
+    found = [(r["query_id"], r["id"], r["rank"]) for r in R.bm25_search(docs, asked, F.col("words"), F.col("asked"), 5).collect()]
+    assert sorted(found) == [(1, 601, 2), (1, 602, 1)]
+
+
+def test_mmr_select_cuts_the_texts_of_hits_alone(spark):
+    plan = registry.QUERIES["mmr_select"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" in plan[: plan.index("Join")] and "regexp_extract_all" not in plan[plan.index("Join") :]
