@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import answers as A
-from lodestone.session import table
+from lodestone.session import spread, table
 from lodestone.sources import chapters as C
 from lodestone.sources import detail_pages as P
 
@@ -35,7 +35,7 @@ def chapter_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("doc_name"), F.concat(F.lit("# "), F.coalesce("lang", F.lit("-")), F.lit("\n"), F.replace("text", F.lit("\n"), F.lit("\n\n"))).alias("text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")).select("doc_id", F.col("source").alias("doc_name"), F.concat(F.lit("# "), F.coalesce("lang", F.lit("-")), F.lit("\n"), F.replace("text", F.lit("\n"), F.lit("\n\n"))).alias("text"))
     return C.build_chunks(docs).withColumn("section_path", F.array_join("section_path", " / "))
 
 

@@ -254,3 +254,8 @@ def test_bm25_of_documents_that_hold_no_term(spark):
 def test_mmr_select_cuts_the_texts_of_hits_alone(spark):
     plan = registry.QUERIES["mmr_select"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" in plan[: plan.index("Join")] and "regexp_extract_all" not in plan[plan.index("Join") :]
+
+
+def test_section_chunks_runs_on_all_cores(spark):
+    found = registry.QUERIES["section_chunks"](spark, "/root/testdata/sf0.001")
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
