@@ -5,18 +5,18 @@ place; the most probable path, found from its end by dynamic programming, gives
 its words. A character at which no word begins stands alone. Runs of ASCII
 letters and digits are words as they are.
 
-Tasks hold the dictionary as sorted arrays, about 80 bytes a word, and look up
-all places of a text at once, so its words may be millions.
+Tasks hold the dictionary as a trie in arrays and look up all places of many
+texts at once, so its words may be millions.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import chain, groupby, pairwise
+from operator import add
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -24,8 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-TEXTS_AT_ONCE = 256
-END = 0x110000  # behind a run; no character, so in no word
+TEXT_CHARACTERS = 1 << 22  # of the texts that are cut at once
+RUN_CHARACTERS = 1 << 19  # of the runs that are walked together
+FEW_RUNS = 8
+LAST_KEY = np.uint64(0xFFFFFFFFFFFFFFFF)  # so that no key is behind all others
 RUN = r"[\p{L}\p{M}\p{N}]+"
 RUN_BESIDE_ASCII = r"[A-Za-z0-9]+|[\p{L}\p{M}\p{N}--[A-Za-z0-9]]+"
 
@@ -72,11 +74,42 @@ class WordGraph:
         return out
 
 
+class Children:
+    """Numbers, from 0, of pairs of a parent's number and a character's. Where
+    one of 16 pairs or more is known, a table has all of them; else the known
+    ones lie in the order of their keys, with the places where the keys of each of
+    their leading bits begin."""
+
+    def __init__(self, pairs: np.ndarray, parents: int, base: int):
+        self.base, self.keys, self.numbers = base, None, np.full(0, -1, np.int32)
+        if parents * base <= 16 * len(pairs):
+            self.numbers = np.full(parents * base, -1, np.int32)
+            self.numbers[pairs] = np.arange(len(pairs))
+            return
+        keys = spread_keys(pairs)
+        order = np.argsort(keys)
+        bits = len(pairs).bit_length()
+        self.keys, self.numbers, self.shift = np.append(keys[order], LAST_KEY), np.append(order, -1).astype(np.int32), np.uint64(64 - bits)
+        self.begins = np.searchsorted(keys[order] >> self.shift, np.arange(1 << bits, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, parents: np.ndarray, characters: np.ndarray) -> np.ndarray:
+        """The numbers of these pairs, or -1."""
+        if self.keys is None:
+            return self.numbers[parents * self.base + characters]
+        keys = spread_keys(parents * self.base + characters)
+        place = self.begins[(keys >> self.shift).view(np.int64)].astype(np.int64)
+        late = np.flatnonzero(self.keys[place] < keys)
+        while len(late):
+            place[late] += 1
+            late = late[self.keys[place[late]] < keys[late]]
+        return np.where(self.keys[place] == keys, self.numbers[place], np.int32(-1))
+
+
 class PackedWords:
-    """Words with their counts as arrays. For each length there are the hashes of
-    all beginnings of that length in order, for each of these the row of the word
-    that it is, or -1, and whether longer words begin with it; and for each row
-    the word's characters and score."""
+    """Words with their counts as a trie in arrays, whose nodes are the beginnings
+    of words. For each length there are the children of the nodes before, and for
+    each node the score of the word that it is, or NaN, and whether longer words
+    begin with it."""
 
     def __init__(self, words: pa.Array, counts: pa.Array):
         counts = counts.to_numpy()
@@ -87,55 +120,47 @@ class PackedWords:
         lengths = pc.utf8_length(words).to_numpy()
         order = np.argsort(lengths, kind="stable")
         sizes, starts = np.unique(lengths[order], return_index=True)
-        self.cells, self.scores = {}, {}
+        cells, score = {}, {}
         for size, start, stop in zip(sizes.tolist(), starts, np.append(starts, len(order))[1:], strict=True):
             rows = order[start:stop]
-            self.cells[size] = points("".join(words.take(pa.array(rows)).to_pylist())).reshape(-1, size)
-            self.scores[size] = scores[rows]
-        self.factor = 0x9E3779B97F4A7C15
-        while not self._index():  # two words of one hash
-            self.factor = (self.factor * 0x2545F4914F6CDD1D) % (1 << 64)
-
-    def _index(self) -> bool:
-        hashes = {size: np.zeros(len(cells), np.uint64) for size, cells in self.cells.items()}
-        self.begins, self.row, self.longer = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, bool)]
-        for n in range(1, max(self.cells, default=0) + 1):
-            for size in hashes:
-                if size >= n:
-                    hashes[size] = hashes[size] * np.uint64(self.factor) + self.cells[size][:, n - 1]
-            whole = hashes.get(n, np.zeros(0, np.uint64))
-            longer = np.unique(np.concatenate([np.zeros(0, np.uint64), *(h for size, h in hashes.items() if size > n)]))
-            begins = np.unique(np.concatenate([whole, longer]))
-            row = np.full(len(begins), -1, np.int32)
-            row[np.searchsorted(begins, whole)] = np.arange(len(whole))
-            if np.count_nonzero(row >= 0) < len(whole):
-                return False
-            more = np.zeros(len(begins), bool)
-            more[np.searchsorted(begins, longer)] = True
-            self.begins, self.row, self.longer = [*self.begins, begins], [*self.row, row], [*self.longer, more]
-        return True
-
-    def found(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place, length, score) of all words in a text's characters, by place
-        and length."""
-        at, hashes = np.arange(len(text)), np.zeros(len(text), np.uint64)
-        out = [(at[:0], at[:0], np.zeros(0))]
-        for n in range(1, len(self.begins)):
-            inside = at <= len(text) - n
-            at, hashes = at[inside], hashes[inside] * np.uint64(self.factor) + text[at[inside] + n - 1]
-            place = np.minimum(np.searchsorted(self.begins[n], hashes), len(self.begins[n]) - 1)
-            known = self.begins[n][place] == hashes
-            at, hashes, place = at[known], hashes[known], place[known]
-            row = self.row[n][place]
-            if n in self.cells:
-                begin, row = at[row >= 0], row[row >= 0]
-                same = (self.cells[n][row] == text[begin[:, None] + np.arange(n)]).all(axis=1)
-                out.append((begin[same], np.full(np.count_nonzero(same), n), self.scores[n][row[same]]))
-            more = self.longer[n][place]
-            at, hashes = at[more], hashes[more]
-        places, lengths, scores = (np.concatenate(c) for c in zip(*out, strict=True))
-        order = np.lexsort((lengths, places))
-        return places[order], lengths[order], scores[order]
+            cells[size] = points("".join(words.take(pa.array(rows)).to_pylist())).reshape(-1, size)
+            score[size] = scores[rows]
+        alphabet = np.unique(np.concatenate([np.zeros(0, np.uint32), *(np.unique(c) for c in cells.values())]))
+        self.codes, base = np.zeros(0x110000, np.int32), len(alphabet) + 1  # 0: in no word
+        self.codes[alphabet] = np.arange(1, base)
+        self.levels, parents, count = [], {size: np.zeros(len(c), np.int64) for size, c in cells.items()}, 1
+        for n in range(1, max(cells, default=0) + 1):
+            pairs = {size: parent * base + self.codes[cells[size][:, n - 1]] for size, parent in parents.items()}
+            whole = pairs.pop(n, np.zeros(0, np.int64))
+            longer = np.unique(np.concatenate([np.zeros(0, np.int64), *pairs.values()]))
+            nodes = np.unique(np.concatenate([whole, longer]))
+            known, more = np.full(len(nodes), np.nan), np.zeros(len(nodes), bool)
+            known[np.searchsorted(nodes, whole)] = score.get(n, 0.0)
+            more[np.searchsorted(nodes, longer)] = True
+            self.levels.append((Children(nodes, count, base), known, more))
+            parents, count = {size: np.searchsorted(nodes, p) for size, p in pairs.items()}, len(nodes)
+
+    def found(self, codes: np.ndarray, behind: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(places, places behind, scores) of the words that begin at these places,
+        shorter ones first. Of each place `codes` has the character's number and
+        `behind` the place behind it."""
+        node, end = np.zeros(len(at), np.int64), at
+        for children, scores, longer in self.levels:
+            node = children.find(node, codes[end])
+            known = np.flatnonzero(node >= 0)
+            at, end, node = at[known], behind[end[known]], node[known].astype(np.int64)
+            score = scores[node]
+            word = np.flatnonzero(~np.isnan(score))
+            yield at[word], end[word], score[word]
+            more = np.flatnonzero(longer[node])
+            at, end, node = at[more], end[more], node[more]
+            if not len(at):
+                break
+
+
+def spread_keys(pairs: np.ndarray) -> np.ndarray:
+    """Numbers over 64 bits, a different one for each, as the factor is odd."""
+    return pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def points(text: str) -> np.ndarray:
@@ -143,40 +168,120 @@ def points(text: str) -> np.ndarray:
 
 
 class PackedGraph(WordGraph):
-    """The same paths as WordGraph's, with the words as arrays; the runs of a text
-    are walked together."""
+    """The same paths as WordGraph's, with the words as arrays. Many runs are
+    walked together, a character of each at a time from their ends; the last few,
+    which are the longest, one by one."""
 
     def __init__(self, packed: PackedWords, ascii_words: bool = True):
         self.packed, self.alone, self.ascii_words = packed, packed.alone, ascii_words
         self.runs = regex.compile(RUN_BESIDE_ASCII if ascii_words else RUN, regex.V1)
 
     def path(self, run: str) -> list[str]:
-        return self.paths([run])
+        starts = np.sort(self.starts([run], np.zeros(1, np.int64))).tolist()
+        return [run[i:j] for i, j in pairwise([*starts, len(run)])]
 
-    def paths(self, runs: list[str]) -> list[str]:
-        text = np.concatenate([np.zeros(0, np.uint32), *(np.append(points(run), np.uint32(END)) for run in runs)])
-        places, lengths, scores = (c.tolist() for c in self.packed.found(text))
-        ends = set(np.flatnonzero(text == END).tolist())
-        n, m = len(text), len(places) - 1
-        best, step = [0.0] * (n + 1), [1] * n
-        for i in range(n - 1, -1, -1):
-            if i in ends:
-                continue
-            top = None
-            while m >= 0 and places[m] == i:  # longest first, so a shorter one has to be better
-                score = scores[m] + best[i + lengths[m]]
-                if top is None or score > top:
-                    top, step[i] = score, lengths[m]
-                m -= 1
-            best[i] = self.alone + best[i + 1] if top is None else top
-        out, begin = [], 0
-        for run in runs:
-            i = 0
-            while i < len(run):
-                out.append(run[i : i + step[begin + i]])
-                i += step[begin + i]
-            begin += len(run) + 1
-        return out
+    def words(self, text: str | None) -> list[str]:
+        return self.split(pa.array([text], pa.string()))[0].as_py()
+
+    def split(self, texts: pa.Array) -> pa.Array:
+        """The list of words of each text."""
+        found = [self.runs.findall((text or "").lower()) for text in texts.to_pylist()]
+        runs = list(chain.from_iterable(found))
+        sizes = np.fromiter(map(len, runs), np.int64, len(runs))
+        begins = np.cumsum(sizes) - sizes
+        walked = np.flatnonzero([not (self.ascii_words and run.isascii()) for run in runs])
+        walked = walked[np.argsort(-sizes[walked], kind="stable")]  # runs of like lengths go together
+        first = np.zeros(sizes.sum(), bool)
+        first[begins] = True
+        for block in np.split(walked, np.flatnonzero(np.diff(np.cumsum(sizes[walked]) // RUN_CHARACTERS)) + 1):
+            first[self.starts([runs[i] for i in block], begins[block])] = True
+        starts, joined = np.flatnonzero(first), "".join(runs)
+        data, at = joined.encode(), starts
+        if len(data) > len(joined):
+            c = points(joined)
+            at = np.cumsum(np.concatenate([[0], 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)]))[starts]
+        offsets = pa.array(np.append(at, len(data)), pa.int32())
+        values = pa.StringArray.from_buffers(len(starts), offsets.buffers()[1], pa.py_buffer(data))
+        ends = np.cumsum([0, *(sum(map(len, some)) for some in found)])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(starts, ends), pa.int32()), values)
+
+    def starts(self, runs: list[str], at: np.ndarray) -> np.ndarray:
+        """The places at which words begin, of runs that begin at these places and
+        are given longest first. Characters that are as far from the ends of their
+        runs are a row of cells; row 0 is behind the runs."""
+        sizes = np.fromiter(map(len, runs), np.int64, len(runs))
+        alive = np.searchsorted(-sizes, -np.arange(sizes.max(initial=0) + 1), "right")
+        rows = np.concatenate([[0], np.cumsum(alive)])
+        behind = np.arange(rows[-1]) - np.repeat(np.append(0, alive[:-1]), alive)
+        ends = np.cumsum(sizes)
+        cell = rows[np.repeat(ends, sizes) - np.arange(sizes.sum())] + np.repeat(np.arange(len(runs)), sizes)
+        codes, place = np.zeros(rows[-1], np.int32), np.zeros(rows[-1], np.int64)
+        codes[cell] = self.packed.codes[points("".join(runs))]
+        place[cell] = np.arange(sizes.sum()) + np.repeat(at - ends + sizes, sizes)
+        edges, goal, score = self._edges(codes, behind, len(runs))
+        best = self._best(edges, goal, score, rows)
+        i, out = rows[sizes] + np.arange(len(runs)), [np.zeros(0, np.int64)]
+        i = i[i >= len(runs)]
+        while len(i) >= FEW_RUNS:
+            out.append(place[i])
+            edge, top = edges[i + 1] - 1, best[i]  # of equal words the last, the longest
+            late = np.flatnonzero(score[edge] + best[goal[edge]] != top)
+            while len(late):
+                edge[late] -= 1
+                late = late[score[edge[late]] + best[goal[edge[late]]] != top[late]]
+            i = goal[edge]
+            i = i[i >= len(runs)]
+        for c in i.tolist():
+            passed = []
+            while c >= len(runs):
+                passed.append(c)
+                edge = edges[c + 1] - 1
+                while score[edge] + best[goal[edge]] != best[c]:
+                    edge -= 1
+                c = int(goal[edge])
+            out.append(place[passed])
+        return np.concatenate(out)
+
+    def _edges(self, codes: np.ndarray, behind: np.ndarray, ends: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each cell's words begin and end in the list of all words, by cell
+        and length, and the cell behind and score of each word."""
+        count, found = np.zeros(len(codes), np.int32), []
+        for here, there, scores in self.packed.found(codes, behind, np.arange(ends, len(codes))):
+            nth = count[here]
+            count[here] = nth + 1
+            found.append((here, there, nth, scores))
+        lone = ends + np.flatnonzero(count[ends:] == 0)
+        count[lone] = 1
+        found.append((lone, behind[lone], 0, self.alone))
+        edges = np.concatenate([[0], np.cumsum(count)])
+        goal, score = np.zeros(edges[-1], np.int64), np.zeros(edges[-1])
+        for here, there, nth, scores in found:
+            edge = edges[here] + nth
+            goal[edge], score[edge] = there, scores
+        return edges, goal, score
+
+    def _best(self, edges: np.ndarray, goal: np.ndarray, score: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The score of the best path from each cell."""
+        best, done = np.zeros(rows[-1]), int(rows[1])
+        first = edges[:-1] - np.repeat(edges[rows[:-1]], np.diff(rows))
+        bounds = edges[rows].tolist()
+        rows = rows.tolist()
+        for k in range(1, len(rows) - 1):
+            a, b, i, j = rows[k], rows[k + 1], bounds[k], bounds[k + 1]
+            if b - a < FEW_RUNS:
+                break
+            best[a:b] = np.maximum.reduceat(score[i:j] + best[goal[i:j]], first[a:b])
+            done = b
+        for a in range(done, len(best), RUN_CHARACTERS // 8):
+            b = min(len(best), a + RUN_CHARACTERS // 8)
+            goals, scores = goal[edges[a] : edges[b]], score[edges[a] : edges[b]].tolist()
+            low, i = int(goals.min()), 0
+            ways, goals = best[low:a].tolist(), (goals - low).tolist()
+            for n in np.diff(edges[a : b + 1]).tolist():
+                ways.append(scores[i] + ways[goals[i]] if n == 1 else max(map(add, scores[i : i + n], [ways[g] for g in goals[i : i + n]])))
+                i += n
+            best[a:b] = ways[a - low :]
+        return best
 
 
 def word_counts(dictionary: DataFrame, most: int | None = None) -> pa.Table:
@@ -196,12 +301,14 @@ def segmenter(dictionary: DataFrame, ascii_words: bool = True, most: int | None
     whole = lambda c: pa.concat_arrays(counts.column(c).chunks) if counts.num_rows else pa.array([], counts.schema.field(c).type)
     shared = dictionary.sparkSession.sparkContext.broadcast(PackedWords(whole("word"), whole("n")))
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(ArrayType(StringType()))
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         graph = PackedGraph(shared.value, ascii_words)
         for texts in batches:
-            for start in range(0, len(texts), TEXTS_AT_ONCE):  # words take many times the room of their text
-                yield pd.Series([graph.words(t) for t in texts.iloc[start : start + TEXTS_AT_ONCE]])
+            share = np.cumsum(pc.utf8_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) // TEXT_CHARACTERS
+            bounds = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), len(texts)]
+            for start, stop in pairwise(bounds):
+                yield graph.split(texts[start:stop])
 
     def words(text: Column) -> Column:
         return cut(text)

@@ -1,5 +1,6 @@
 import random
 import re
+import sys
 from collections import Counter
 from itertools import combinations
 
@@ -7,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions import segment
 from lodestone.functions.segment import PackedGraph, PackedWords, WordGraph, cohesive_words, segmenter
 from lodestone.operators import containment as C
 from lodestone.operators import retrieval as R
@@ -63,6 +65,47 @@ def test_packed_words_give_the_same_paths(ascii_words):
         assert packed.words(None) == packed.words("") == packed.path("") == []
 
 
+def packed_graph(counts, ascii_words):
+    return PackedGraph(PackedWords(pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())), ascii_words)
+
+
+@pytest.mark.parametrize("ascii_words", [True, False])
+@pytest.mark.parametrize(("characters", "few"), [(1 << 19, 8), (64, 3), (16, 1), (64, 1000)])
+def test_many_texts_at_once_give_the_same_words(monkeypatch, ascii_words, characters, few):
+    monkeypatch.setattr(segment, "RUN_CHARACTERS", characters)
+    monkeypatch.setattr(segment, "FEW_RUNS", few)
+    rng = random.Random(6)
+    for letters in ("abc", "abé湯𠀀", "".join(map(chr, range(0x4E00, 0x4E40)))):  # few and many characters: tables and keys
+        counts = {"".join(rng.choice(letters) for _ in range(rng.randint(1, 6))): rng.randint(1, 4) for _ in range(400)}
+        plain, packed = WordGraph(counts, ascii_words), packed_graph(counts, ascii_words)
+        texts = [rng.choice([None, "", "，"])] + ["".join(rng.choice(letters + "x \n") for _ in range(int(rng.paretovariate(0.5)) % 900)) for _ in range(60)]
+        found = packed.split(pa.array([None, *texts], pa.string())[1:])
+        found.validate(full=True)
+        assert found.to_pylist() == [plain.words(t) for t in texts]
+    assert packed.split(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_python_takes_no_step_for_each_character():
+    rng = random.Random(8)
+    counts = {"".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 5))): rng.randint(1, 9) for _ in range(3000)}
+    graph = packed_graph(counts, False)
+    text = "\n".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(50, 150))) for _ in range(400))
+    lines = 0
+
+    def count(frame, event, arg):
+        nonlocal lines
+        lines += event == "line" and frame.f_code.co_filename == segment.__file__
+        return count
+
+    sys.settrace(count)
+    try:
+        words = graph.words(text)
+    finally:
+        sys.settrace(None)
+    assert "".join(words) == text.replace("\n", "")
+    assert lines < len(text) / 4
+
+
 def test_a_dictionary_of_over_a_million_words(spark):
     words = spark.range(1_100_000).select(F.concat(F.lit("w"), F.lpad(F.col("id").cast("string"), 7, "0")).alias("word"), F.lit(3).alias("n"))
     cut = segmenter(words, ascii_words=False)
