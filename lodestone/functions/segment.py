@@ -12,9 +12,9 @@ texts at once, so its words may be millions.
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 from itertools import chain, groupby, pairwise
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 TEXT_CHARACTERS = 1 << 22  # of the texts that are cut at once
-RUN_CHARACTERS = 1 << 19  # of the runs that are walked together
+RUN_CHARACTERS = 1 << 18  # of the runs that are walked together
 FEW_RUNS = 8
 LAST_KEY = np.uint64(0xFFFFFFFFFFFFFFFF)  # so that no key is behind all others
 RUN = r"[\p{L}\p{M}\p{N}]+"
@@ -108,8 +108,7 @@ class Children:
 class PackedWords:
     """Words with their counts as a trie in arrays, whose nodes are the beginnings
     of words. For each length there are the children of the nodes before, and for
-    each node the score of the word that it is, or NaN, and whether longer words
-    begin with it."""
+    each node the score of the word that it is, or NaN."""
 
     def __init__(self, words: pa.Array, counts: pa.Array):
         counts = counts.to_numpy()
@@ -132,12 +131,10 @@ class PackedWords:
         for n in range(1, max(cells, default=0) + 1):
             pairs = {size: parent * base + self.codes[cells[size][:, n - 1]] for size, parent in parents.items()}
             whole = pairs.pop(n, np.zeros(0, np.int64))
-            longer = np.unique(np.concatenate([np.zeros(0, np.int64), *pairs.values()]))
-            nodes = np.unique(np.concatenate([whole, longer]))
-            known, more = np.full(len(nodes), np.nan), np.zeros(len(nodes), bool)
+            nodes = np.unique(np.concatenate([whole, *pairs.values()]))
+            known = np.full(len(nodes), np.nan)
             known[np.searchsorted(nodes, whole)] = score.get(n, 0.0)
-            more[np.searchsorted(nodes, longer)] = True
-            self.levels.append((Children(nodes, count, base), known, more))
+            self.levels.append((Children(nodes, count, base), known))
             parents, count = {size: np.searchsorted(nodes, p) for size, p in pairs.items()}, len(nodes)
 
     def found(self, codes: np.ndarray, behind: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -145,15 +142,13 @@ class PackedWords:
         shorter ones first. Of each place `codes` has the character's number and
         `behind` the place behind it."""
         node, end = np.zeros(len(at), np.int64), at
-        for children, scores, longer in self.levels:
+        for children, scores in self.levels:
             node = children.find(node, codes[end])
             known = np.flatnonzero(node >= 0)
             at, end, node = at[known], behind[end[known]], node[known].astype(np.int64)
             score = scores[node]
             word = np.flatnonzero(~np.isnan(score))
             yield at[word], end[word], score[word]
-            more = np.flatnonzero(longer[node])
-            at, end, node = at[more], end[more], node[more]
             if not len(at):
                 break
 
@@ -215,14 +210,21 @@ class PackedGraph(WordGraph):
         behind = np.arange(rows[-1]) - np.repeat(np.append(0, alive[:-1]), alive)
         ends = np.cumsum(sizes)
         cell = rows[np.repeat(ends, sizes) - np.arange(sizes.sum())] + np.repeat(np.arange(len(runs)), sizes)
-        codes, place = np.zeros(rows[-1], np.int32), np.zeros(rows[-1], np.int64)
+        codes, place = np.zeros(rows[-1], np.int64), np.zeros(rows[-1], np.int64)
         codes[cell] = self.packed.codes[points("".join(runs))]
         place[cell] = np.arange(sizes.sum()) + np.repeat(at - ends + sizes, sizes)
         edges, goal, score = self._edges(codes, behind, len(runs))
-        best = self._best(edges, goal, score, rows)
+        best, done, chosen = self._best(edges, goal, score, rows)
         i, out = rows[sizes] + np.arange(len(runs)), [np.zeros(0, np.int64)]
+        for n in np.flatnonzero(i >= done).tolist():
+            c, passed = int(i[n]), []
+            while c >= done:
+                passed.append(c)
+                c = chosen[c - done]
+            i[n] = c
+            out.append(place[passed])
         i = i[i >= len(runs)]
-        while len(i) >= FEW_RUNS:
+        while len(i):
             out.append(place[i])
             edge, top = edges[i + 1] - 1, best[i]  # of equal words the last, the longest
             late = np.flatnonzero(score[edge] + best[goal[edge]] != top)
@@ -231,15 +233,6 @@ class PackedGraph(WordGraph):
                 late = late[score[edge[late]] + best[goal[edge[late]]] != top[late]]
             i = goal[edge]
             i = i[i >= len(runs)]
-        for c in i.tolist():
-            passed = []
-            while c >= len(runs):
-                passed.append(c)
-                edge = edges[c + 1] - 1
-                while score[edge] + best[goal[edge]] != best[c]:
-                    edge -= 1
-                c = int(goal[edge])
-            out.append(place[passed])
         return np.concatenate(out)
 
     def _edges(self, codes: np.ndarray, behind: np.ndarray, ends: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -260,9 +253,10 @@ class PackedGraph(WordGraph):
             goal[edge], score[edge] = there, scores
         return edges, goal, score
 
-    def _best(self, edges: np.ndarray, goal: np.ndarray, score: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """The score of the best path from each cell."""
-        best, done = np.zeros(rows[-1]), int(rows[1])
+    def _best(self, edges: np.ndarray, goal: np.ndarray, score: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, int, array]:
+        """The score of the best path from each cell; the first cell of the rows
+        of few runs, and for each cell from there on the next one of its path."""
+        best, done, chosen = np.zeros(rows[-1]), int(rows[1]), array("q")
         first = edges[:-1] - np.repeat(edges[rows[:-1]], np.diff(rows))
         bounds = edges[rows].tolist()
         rows = rows.tolist()
@@ -278,10 +272,17 @@ class PackedGraph(WordGraph):
             low, i = int(goals.min()), 0
             ways, goals = best[low:a].tolist(), (goals - low).tolist()
             for n in np.diff(edges[a : b + 1]).tolist():
-                ways.append(scores[i] + ways[goals[i]] if n == 1 else max(map(add, scores[i : i + n], [ways[g] for g in goals[i : i + n]])))
+                to = goals[i]
+                top = scores[i] + ways[to]
+                for k in range(i + 1, i + n):  # shortest first, so a longer one of the same score counts
+                    way = scores[k] + ways[goals[k]]
+                    if way >= top:
+                        top, to = way, goals[k]
                 i += n
+                ways.append(top)
+                chosen.append(to + low)
             best[a:b] = ways[a - low :]
-        return best
+        return best, done, chosen
 
 
 def word_counts(dictionary: DataFrame, most: int | None = None) -> pa.Table:
